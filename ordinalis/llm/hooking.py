@@ -27,17 +27,17 @@ def _double(tree: DataFrame, n: int, hot_rows: int) -> DataFrame:
     return step.select("node", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved"))
 
 
-def _collapse(hooks: DataFrame, n: int, hot_rows: int) -> DataFrame:
-    """Pointer doubling, two steps to each materialisation, until every node points at its root."""
+def _collapse(hooks: DataFrame, n: int, hot_rows: int) -> tuple[DataFrame, int]:
+    """Pointer doubling, two steps to each materialisation, until every node points at its root; and the number of nodes."""
+    keep = cut if n >= hot_rows else lambda df: df  # hot keys are read several times
+    hooks = keep(hooks)
     step = lookup(hooks, "parent", hooks.select("node", F.col("parent").alias("up")), "node", n, hot_rows=hot_rows)
-    tree = step.select("node", F.when((F.col("up") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent"))
-    if n >= hot_rows:
-        tree = cut(tree)
+    tree = keep(step.select("node", F.when((F.col("up") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node")).otherwise(F.col("parent")).alias("parent")))
     while True:
-        once = _double(tree, n, hot_rows)
-        tree = cut(_double(cut(once) if n >= hot_rows else once, n, hot_rows))
-        if tree.where("moved").isEmpty():
-            return tree.select("node", "parent")
+        tree = cut(_double(keep(_double(tree, n, hot_rows)), n, hot_rows))
+        nodes, moved = tree.agg(F.count("*"), F.max("moved")).first()
+        if not moved:
+            return tree.select("node", "parent"), nodes
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -49,14 +49,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", *, hot_ro
     edges = cut(links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")).where("x and y and lo <> hi").select("lo", "hi").distinct())
     empty = edges.select(F.col("lo").alias("node"), F.col("hi").alias("component")).limit(0)
     levels: list[tuple[DataFrame, int]] = []
-    while not edges.isEmpty():
-        hooks = cut(_hook(edges))
-        n, m = hooks.count(), edges.count()
-        tree = _collapse(hooks, n, hot_rows)
+    while m := edges.count():
+        keep = cut if m >= hot_rows else lambda df: df
+        tree, n = _collapse(_hook(edges), 2 * m, hot_rows)
         levels.append((tree, n))
-        half = lookup(edges, "lo", tree.select("node", F.col("parent").alias("lo_root")), "node", m, hot_rows=hot_rows).select(F.col("lo_root"), "hi")
-        if m >= hot_rows:
-            half = cut(half)
+        half = keep(lookup(edges, "lo", tree.select("node", F.col("parent").alias("lo_root")), "node", m, hot_rows=hot_rows).select("lo_root", "hi"))
         both = lookup(half, "hi", tree.select("node", F.col("parent").alias("hi_root")), "node", m, hot_rows=hot_rows)
         edges = cut(both.select(F.least("lo_root", "hi_root").alias("lo"), F.greatest("lo_root", "hi_root").alias("hi")).where("lo <> hi").distinct())
     if not levels:

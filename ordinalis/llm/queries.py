@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import groups
-from ordinalis.sources.tables import table
+from ordinalis.llm import groups, pii
+from ordinalis.sources.tables import canonical_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.match_groups(table(spark, folder, "match_pairs"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.train_items(table(spark, folder, "train"))
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    train = table(spark, folder, "train").select(canonical_id("PetID").alias("petid"), "Description").distinct()
+    return pii.masked(train, "petid", "Description")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked)}

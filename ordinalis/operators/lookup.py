@@ -17,7 +17,7 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, n_rows:
     Rows with a hot key meet a broadcast of at most ``HOT_SHARE`` table rows, so no task ever receives them together; all other
     rows take the ordinary shuffle join. The result is that of one join. ``rows`` should be materialised: it is read three times.
     """
-    table = table.withColumnRenamed(table_key, "__key")
+    table = table.withColumnRenamed(table_key, "__key").hint("merge")  # tables here grow with the data: no unchecked broadcast
     if n_rows < hot_rows:
         return rows.join(table, F.col(key) == F.col("__key"), how).drop("__key")
     hot = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > n_rows / HOT_SHARE).select("__hot")

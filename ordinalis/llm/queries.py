@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import groups, pii
+from ordinalis.llm import encode, groups, neardup, overlap, pii
 from ordinalis.sources.tables import canonical_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +25,25 @@ def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
     return pii.masked(train, "petid", "Description")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.found(*(table(spark, folder, t) for t in ("train", "test", "image_index")))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(*(table(spark, folder, t) for t in ("train", "test", "image_index")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.train_pairs(table(spark, folder, "train"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.train_groups(table(spark, folder, "train"))
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.document_ids(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_masked)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p7_ids)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import encode, groups, neardup, overlap, pii, vecsearch
+from ordinalis.llm import encode, groups, langid, neardup, overlap, pii, vecsearch
 from ordinalis.sources.tables import canonical_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +45,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return vecsearch.found(table(spark, folder, "probe_photos"), {e: table(spark, folder, f"{e}_img_emb") for e in ("clip", "siglip")})
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.found(table(spark, folder, "train"))
+
+
+def p6_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.relabelled(table(spark, folder, "train"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.document_ids(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p7_ids)}

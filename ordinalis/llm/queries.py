@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import encode, groups, langid, neardup, overlap, pii, vecsearch
+from ordinalis.llm import encode, groups, langid, mixing, neardup, overlap, pii, reading, vecsearch
 from ordinalis.sources.tables import canonical_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,5 +57,22 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.document_ids(table(spark, folder, "documents"))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels")).select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return reading.profile(documents, reading.reading_levels(documents, table(spark, folder, "reading_labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)}

@@ -3,7 +3,8 @@
 Plain banding with ``m * m`` tables needs ``m * m`` independent bands of minhashes. Here two collections of ``m`` small bands are made
 and every table's key combines one band of the first with one of the second: ``2 * m`` bands give ``m * m`` tables. A pair of
 similarity s falls together in some table with probability ``(1 - (1 - s ** r) ** m) ** 2`` (r minhashes to a band): 0.994 at 0.5 and
-0.9997 at 0.6 with the defaults, and unrelated pairs do so at a rate of s ** (2 r). Candidates are verified exactly on their shingle sets.
+0.9997 at 0.6 with the defaults, and unrelated pairs do so at a rate of s ** (2 r). Candidates
+whose 128-bit sketches are close are verified exactly on their shingle sets.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ BANDS, ROWS = 20, 2
 
 
 def prepare(rows: DataFrame, key: str, text: str, *, run: int = S.RUN, min_words: int = S.MIN_WORDS, bands: int = BANDS, depth: int = ROWS) -> DataFrame:
-    """(rec, cls, shingles, left, right) of every text with at least ``min_words`` words; cls names the set of its shingles."""
-    multipliers = S.seeds(2 * bands * depth, 4)
+    """(rec, cls, shingles, s1, s2, left, right) of every text with at least ``min_words`` words; cls names the set of its shingles."""
+    multipliers, bits = S.seeds(2 * bands * depth, 4), S.seeds(S.SKETCH, 3)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,21 +40,23 @@ def prepare(rows: DataFrame, key: str, text: str, *, run: int = S.RUN, min_words
                     sh = S.shingle_set(S.word_hashes(tokens), run)
                     sig = S.minhash(sh, multipliers).reshape(2 * bands, depth)
                     band = S.mix((sig * S.seeds(depth, 11)).sum(axis=1, dtype=np.uint64))
-                    out.append((rec, S.signed(S.mix(np.array([sh.sum(dtype=np.uint64) + np.uint64(len(sh))])))[0], S.signed(sh), S.signed(band[:bands]), S.signed(band[bands:])))
-            yield pd.DataFrame(out, columns=["rec", "cls", "shingles", "left", "right"])
+                    out.append((rec, S.signed(S.mix(np.array([sh.sum(dtype=np.uint64) + np.uint64(len(sh))])))[0], S.signed(sh), *S.sketch(sh, bits), S.signed(band[:bands]), S.signed(band[bands:])))
+            yield pd.DataFrame(out, columns=["rec", "cls", "shingles", "s1", "s2", "left", "right"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, f"rec {kind}, cls long, shingles array<long>, left array<long>, right array<long>")
+    return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, f"rec {kind}, cls long, shingles array<long>, s1 long, s2 long, left array<long>, right array<long>")
 
 
 def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(rec, cls), pairs(c1, c2, similarity)): texts with one shingle set are one class, so copies cost nothing further."""
     prepared = cut(prepared)
     members = prepared.select("rec", "cls").distinct()
-    classes = prepared.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("left").alias("left"), F.first("right").alias("right"))
-    tables = classes.select("cls", F.posexplode("left").alias("i", "a"), "right").select("cls", "i", "a", F.posexplode("right").alias("j", "b")).select("cls", F.xxhash64("i", "a", "j", "b").alias("cell"))
-    one, two = tables.select("cell", F.col("cls").alias("c1")).hint("merge"), tables.select("cell", F.col("cls").alias("c2"))
-    candidates = one.join(two, "cell").where("c1 < c2").select("c1", "c2").distinct()
+    classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "left", "right")))
+    tables = classes.select("cls", "s1", "s2", F.posexplode("left").alias("i", "a"), "right").select("cls", "s1", "s2", "i", "a", F.posexplode("right").alias("j", "b")).select("cls", "s1", "s2", F.xxhash64("i", "a", "j", "b").alias("cell"))
+    one = tables.select("cell", F.col("cls").alias("c1"), F.col("s1").alias("x1"), F.col("s2").alias("x2")).hint("merge")
+    two = tables.select("cell", F.col("cls").alias("c2"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
+    near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= S.MOST_BITS
+    candidates = one.join(two, "cell").where((F.col("c1") < F.col("c2")) & near).select("c1", "c2").distinct()
     sets = prepared.groupBy("cls").agg(F.first("shingles").alias("s"))
     both = candidates.join(sets.select(F.col("cls").alias("c1"), F.col("s").alias("s1")).hint("merge"), "c1").where(F.size("s1") > 0).join(sets.select(F.col("cls").alias("c2"), F.col("s").alias("s2")).hint("merge"), "c2")
     shared = F.size(F.array_intersect("s1", "s2"))

@@ -24,16 +24,13 @@ from ordinalis.sources.tables import canonical_id
 GRAM, WINDOW, COMMON = 8, 4, 200
 #: Lengths of the fingerprint at one place, from the first to the longest.
 LENGTHS = (8, 16, 32, 64)
-#: Two 64-bit words of one-bit minhashes: of 128 bits a pair of similarity 0.5 has 32 +- 4.9 different, an unrelated one 61 +- 5.6.
-SKETCH, MOST_BITS = 128, 52
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
     """(split, rec, source, cls, tokens, s1, s2, prints) of each row (split, rec, source, text) with at least ``min_words`` words."""
-    multipliers = S.seeds(SKETCH, 3)
+    multipliers = S.seeds(S.SKETCH, 3)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             out = []
             with np.errstate(over="ignore"):
@@ -42,8 +39,7 @@ def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
                     if len(tokens) < max(min_words, S.RUN):
                         continue
                     h = S.word_hashes(tokens)
-                    low = (S.mix(S.minhash(S.shingle_set(h), multipliers)) & np.uint64(1)).reshape(2, 64)
-                    s1, s2 = S.signed((low * bit).sum(axis=1, dtype=np.uint64))
+                    s1, s2 = S.sketch(S.shingle_set(h), multipliers)
                     at = S.winnow(S.rolling(h, min(GRAM, len(h))), WINDOW)
                     prints = np.stack([at.astype(np.int64), *(S.signed(S.rolling(h, n, at)) for n in LENGTHS)], axis=1)
                     cls = S.signed(S.rolling(h, len(h)))[0]
@@ -119,10 +115,10 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int =
     members = prepared.select("split", "rec", "source", "cls").distinct()
     sides = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prints").alias("prints"))
     flat = sides.select("cls", "in_train", "in_test", "s1", "s2", F.explode("prints").alias("p")).select("cls", "in_train", "in_test", "s1", "s2", F.col("p")[0].alias("at"), *(F.col("p")[k + 1].alias(f"g{n}") for k, n in enumerate(LENGTHS)))
-    prints = rare_prints(cut(flat), common)
+    prints = cut(rare_prints(cut(flat), common))
     train = prints.where("in_train").select("level", "key", F.col("cls").alias("train_cls"), F.col("at").alias("x"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     test = prints.where("in_test").select("level", "key", F.col("cls").alias("test_cls"), F.col("at").alias("y"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
-    near = F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= MOST_BITS
+    near = F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= S.MOST_BITS
     met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & near)
     found = met.groupBy("train_cls", "test_cls").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
     words = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"))

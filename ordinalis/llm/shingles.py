@@ -87,6 +87,18 @@ def minhash(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).min(axis=1)
 
 
+#: Two 64-bit words of one-bit minhashes: of 128 bits a pair of similarity 0.5 has 32 +- 4.9 different, an unrelated one 61 +- 5.6.
+#: MOST_BITS lies four deviations above the former: such a pair is lost with a probability of 2e-5.
+SKETCH, MOST_BITS = 128, 52
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def sketch(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The low bits of SKETCH minhashes, packed into two signed words."""
+    low = (mix(minhash(shingles, multipliers)) & np.uint64(1)).reshape(SKETCH // 64, 64)
+    return signed((low * _BIT).sum(axis=1, dtype=np.uint64))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Shared part of two sorted sets without repeats."""
     shared = len(np.intersect1d(a, b, assume_unique=True))

@@ -3,8 +3,8 @@
 Every text is reduced to the minima of a rolling hash over windows of word runs: two texts that share a run of ``GRAM + WINDOW - 1``
 words share a fingerprint. A fingerprint with more than ``COMMON`` occurrences is not dropped but replaced, at the same place, by one
 twice as long, until it is rare or ``LENGTHS`` ends: boilerplate then only meets where the texts agree beyond it, and the number of
-join rows stays proportional to the input. Seeds of a pair are chained collinearly, extended word by word and turned into coverage;
-an exact similarity of the shingle sets follows.
+join rows stays proportional to the input. Pairs of close sketches are checked exactly on their shingle sets; their seeds are chained
+collinearly, extended word by word and turned into coverage.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LENGTHS = (8, 16, 32, 64)
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
-    """(split, rec, source, cls, tokens, s1, s2, prints) of each row (split, rec, source, text) with at least ``min_words`` words."""
+    """(split, rec, source, cls, tokens, shingles, s1, s2, at, g8, g16, ...) of each row (split, rec, source, text) with at least ``min_words`` words."""
     multipliers = S.seeds(S.SKETCH, 3)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,14 +39,15 @@ def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
                     if len(tokens) < max(min_words, S.RUN):
                         continue
                     h = S.word_hashes(tokens)
-                    s1, s2 = S.sketch(S.shingle_set(h), multipliers)
+                    sh = S.shingle_set(h)
                     at = S.winnow(S.rolling(h, min(GRAM, len(h))), WINDOW)
-                    prints = np.stack([at.astype(np.int64), *(S.signed(S.rolling(h, n, at)) for n in LENGTHS)], axis=1)
                     cls = S.signed(S.rolling(h, len(h)))[0]
-                    out.append((split, rec, source, cls, S.signed(h), s1, s2, list(prints)))
-            yield pd.DataFrame(out, columns=["split", "rec", "source", "cls", "tokens", "s1", "s2", "prints"])
+                    out.append((split, rec, source, cls, S.signed(h), S.signed(sh), *S.sketch(sh, multipliers), at.astype(np.int64), *(S.signed(S.rolling(h, n, at)) for n in LENGTHS)))
+            yield pd.DataFrame(out, columns=names)
 
-    schema = "split string, rec string, source string, cls long, tokens array<long>, s1 long, s2 long, prints array<array<long>>"
+    grams = [f"g{n}" for n in LENGTHS]
+    names = ["split", "rec", "source", "cls", "tokens", "shingles", "s1", "s2", "at", *grams]
+    schema = "split string, rec string, source string, cls long, tokens array<long>, shingles array<long>, s1 long, s2 long, at array<long>, " + ", ".join(f"{g} array<long>" for g in grams)
     return rows.select("split", "rec", "source", "text").where("rec is not null and text is not null").mapInPandas(make, schema)
 
 
@@ -113,27 +114,29 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int =
     """
     prepared = cut(prepare(rows, min_words=min_words))
     members = prepared.select("split", "rec", "source", "cls").distinct()
-    sides = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prints").alias("prints"))
-    flat = sides.select("cls", "in_train", "in_test", "s1", "s2", F.explode("prints").alias("p")).select("cls", "in_train", "in_test", "s1", "s2", F.col("p")[0].alias("at"), *(F.col("p")[k + 1].alias(f"g{n}") for k, n in enumerate(LENGTHS)))
+    arrays = ["at", *(f"g{n}" for n in LENGTHS)]
+    sides = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in ("s1", "s2", *arrays)))
+    fixed = ("cls", "in_train", "in_test", "s1", "s2")
+    flat = sides.select(*fixed, F.explode(F.arrays_zip(*arrays)).alias("p")).select(*fixed, "p.*")
     prints = cut(rare_prints(cut(flat), common))
     train = prints.where("in_train").select("level", "key", F.col("cls").alias("train_cls"), F.col("at").alias("x"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     test = prints.where("in_test").select("level", "key", F.col("cls").alias("test_cls"), F.col("at").alias("y"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
     near = F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= S.MOST_BITS
     met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & near)
     found = met.groupBy("train_cls", "test_cls").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
-    words = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    pairs = found.join(words.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(words.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
+    texts = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles"))
+    side = lambda split, column, name: texts.select(F.col("cls").alias(f"{split}_cls"), F.col(column).alias(name)).hint("merge")
+    both = found.join(side("train", "shingles", "sa"), "train_cls").join(side("test", "shingles", "sb"), "test_cls")
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    alike = both.withColumn("similarity", shared / (total - shared)).where(F.col("similarity") >= threshold).drop("sa", "sb")
+    pairs = alike.join(side("train", "tokens", "a"), "train_cls").join(side("test", "tokens", "b"), "test_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            with np.errstate(over="ignore"):
-                for p, q, seeds, a, b in batch[["train_cls", "test_cls", "seeds", "a", "b"]].itertuples(index=False):
-                    a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
-                    covered = sum(n for _, _, n in extend(a, b, chain([(s["x"], s["y"]) for s in seeds])))
-                    alike = S.similarity(S.shingle_set(a), S.shingle_set(b))
-                    if alike >= threshold:
-                        out.append((p, q, alike, covered / len(a), covered / len(b)))
+            for p, q, seeds, alike, a, b in batch[["train_cls", "test_cls", "seeds", "similarity", "a", "b"]].itertuples(index=False):
+                covered = sum(n for _, _, n in extend(np.asarray(a), np.asarray(b), chain([(s["x"], s["y"]) for s in seeds])))
+                out.append((p, q, alike, covered / len(a), covered / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])
 
     aligned = pairs.mapInPandas(align, "train_cls long, test_cls long, similarity double, train_cover double, test_cover double")

@@ -57,40 +57,60 @@ def english_share(text: str, scores: WordScores) -> float:
     return en / (en + other) if en + other else 0.0
 
 
-def features(text: str, rarity: np.ndarray) -> np.ndarray:
+class WordFacts:
+    """Per word: length, rarity, syllables and the lists it stands on; remembered for up to a fixed number of words."""
+
+    def __init__(self, rarity: np.ndarray, most: int = 200_000) -> None:
+        self.rarity, self.most, self.known = rarity, most, {}
+
+    def __call__(self, word: str) -> tuple[float, ...]:
+        facts = self.known.get(word)
+        if facts is None:
+            facts = (len(word), float(self.rarity[bucket(word)]), len(_VOWELS.findall(word)), word in CONNECTIVES, word in HARD_CONNECTIVES, word in SUBORDINATORS, word in PERSONS)
+            if len(self.known) < self.most:
+                self.known[word] = facts
+        return facts
+
+
+_VOWELS = re.compile(r"[aeiouy]+")
+
+
+def features(text: str, facts: WordFacts) -> np.ndarray:
     """The feature vector of an English text."""
     low = text.lower()
-    sentences = []
+    words, firsts, marks = [], [], []
     for s in _END.split(low):
         w = _WORD.findall(s)
         if w:
-            sentences.append((w, s))
-    words = [w for ws, _ in sentences for w in ws]
+            firsts.append(len(words))
+            words += w
+            marks.append(s.count(",") + 2 * s.count(";"))
     if not words:
         return np.zeros(FEATURES)
     n = len(words)
-    length = np.array([len(w) for w in words], float)
-    rare = rarity[[bucket(w) for w in words]]
-    per = np.array([[len(ws), sum(map(len, ws)) / len(ws), sum(w in SUBORDINATORS for w in ws), s.count(",") + 2 * s.count(";"), sum(len(w) >= 9 for w in ws) / len(ws), float(np.mean(rarity[[bucket(w) for w in ws]]))] for ws, s in sentences])
-    weight = per[:, 0] / per[:, 0].sum()
-    quart = np.percentile(per[:, [0, 1, 4, 5]], [15, 50, 85], axis=0).ravel()
+    table = np.array([facts(w) for w in words], float)
+    length, rare, syllables = table[:, 0], table[:, 1], table[:, 2]
+    sizes = np.diff([*firsts, n]).astype(float)
+    sums = np.add.reduceat(np.column_stack([length, rare, table[:, 5], length >= 9]), firsts, axis=0)
+    mean_length, mean_rare, clauses, long_share = sums[:, 0] / sizes, sums[:, 1] / sizes, sums[:, 2], sums[:, 3] / sizes
+    weight = sizes / n
+    quart = np.percentile(np.column_stack([sizes, mean_length, long_share, mean_rare]), [15, 50, 85], axis=0).ravel()
     window = 40
     kinds = [len(set(words[i : i + window])) / len(words[i : i + window]) for i in range(0, max(1, n - window // 2), window // 2)]
-    syllables = np.array([len(re.findall(r"[aeiouy]+", w)) for w in words], float)
-    share = lambda group: sum(w in group for w in words) / n
     band_shares = [
-        float(weight[(per[:, 1] < 3.8) & (per[:, 0] < 14)].sum()),
-        float(weight[(per[:, 1] >= 3.8) & (per[:, 1] < 5.0)].sum()),
-        float(weight[(per[:, 1] >= 5.0) & (per[:, 1] < 6.5)].sum()),
-        float(weight[per[:, 1] >= 6.5].sum()),
-        float(weight[per[:, 0] >= 20].sum()),
-        float(weight[per[:, 0] <= 8].sum()),
+        float(weight[(mean_length < 3.8) & (sizes < 14)].sum()),
+        float(weight[(mean_length >= 3.8) & (mean_length < 5.0)].sum()),
+        float(weight[(mean_length >= 5.0) & (mean_length < 6.5)].sum()),
+        float(weight[mean_length >= 6.5].sum()),
+        float(weight[sizes >= 20].sum()),
+        float(weight[sizes <= 8].sum()),
     ]
+    share = table[:, 3:].mean(axis=0)
     return np.array(
         [
-            np.log1p(n), np.log(n / len(sentences)), length.mean(), length.std(), (length >= 7).mean(), (length >= 10).mean(), (length >= 13).mean(), syllables.mean(), (syllables >= 4).mean(), (syllables <= 1).mean(),
+            np.log1p(n), np.log(n / len(firsts)), length.mean(), length.std(), (length >= 7).mean(), (length >= 10).mean(), (length >= 13).mean(), syllables.mean(), (syllables >= 4).mean(), (syllables <= 1).mean(),
             rare.mean(), np.percentile(rare, 90), (rare > 10).mean(), float(np.mean(kinds)), len(set(words)) / np.sqrt(n),
-            share(CONNECTIVES), share(HARD_CONNECTIVES), share(SUBORDINATORS), share(PERSONS), per[:, 2].mean(), per[:, 3].mean(), low.count(",") / n, sum(low.count(c) for c in ";:()") / n,
+            *share, clauses.mean(), float(np.mean(marks)), low.count(",") / n, sum(low.count(c) for c in ";:()") / n,
             *quart, *band_shares,
         ]
     )
@@ -102,7 +122,7 @@ FEATURES = 23 + 12 + 6
 class OrdinalModel:
     """Proportional odds: P(band <= k) = sigmoid(cut_k - w.x), with an L2 penalty, over standardised features and their squares."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 600) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 5.0, steps: int = 600) -> None:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._design(x)
         n, d = z.shape
@@ -172,11 +192,12 @@ def graded_sample(documents: DataFrame, labels: DataFrame, sample: int = GRADED)
 
 def fit(graded: pd.DataFrame, rarity: np.ndarray, scores: WordScores) -> OrdinalModel:
     use = graded[[len(_TOKEN.findall(t)) >= MIN_WORDS and english_share(t, scores) >= ENGLISH for t in graded["text"]]]
+    facts = WordFacts(rarity)
     if len(use) < 8:
         use = graded
     if not len(use):
         return OrdinalModel(np.zeros((1, FEATURES)), np.array([2]), steps=1)
-    return OrdinalModel(np.stack([features(t, rarity) for t in use["text"]]), use["band"].to_numpy(np.int64))
+    return OrdinalModel(np.stack([features(t, facts) for t in use["text"]]), use["band"].to_numpy(np.int64))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = GRADED) -> DataFrame:
@@ -191,12 +212,13 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = GRA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores, rarity, model = sent.value
+        facts = WordFacts(rarity)
         for batch in batches:
             keep, made = [], []
             for doc, t in zip(batch["doc_id"], batch["text"], strict=True):
                 if len(_TOKEN.findall(t)) >= MIN_WORDS and english_share(t, scores) >= ENGLISH:
                     keep.append(doc)
-                    made.append(features(t, rarity))
+                    made.append(features(t, facts))
             if keep:
                 x = np.stack(made)
                 yield pd.DataFrame({"doc_id": keep, "band": model.bands(x), "score": model.score(x)})

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordinalis.session import cut
+
 #: Projections, largest leaf, accepted probability to miss a neighbour at the stop, rows to a tree, queries to a pass.
 PROJECTIONS, LEAF, MISS, BLOCK, QUERIES = 4, 128, 0.05, 65_536, 32_768
 
@@ -33,13 +35,11 @@ def chi_square_quantile(degrees: int, probability: float) -> float:
     return high
 
 
-def unit_rows(column: pa.ChunkedArray | pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, float64 rows of length one) of the usable vectors: null, empty, wrongly sized, zero and non-finite ones drop out."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.asarray(column.value_lengths().fill_null(0))
-    if width is None:
-        width = int(np.bincount(sizes).argmax()) if len(sizes) and sizes.max() else 0
     at = np.flatnonzero(sizes == width) if width else np.zeros(0, np.int64)
     if not len(at):
         return at, np.zeros((0, max(width, 1)))
@@ -125,14 +125,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     exist. Queries beyond ``chunk`` take further passes over the vectors, so what is sent to the executors is bounded.
     """
     spark = vectors.sparkSession
-    wanted = vectors.where(F.col(key).isNotNull()).join(queries.select(F.col(key).alias("__q")).distinct(), F.col(key) == F.col("__q"), "left_semi").groupBy(F.col(key).alias("key")).agg(F.max(vector).alias("vector"))
+    wanted = cut(vectors.where(F.col(key).isNotNull()).join(queries.select(F.col(key).alias("__q")).distinct(), F.col(key) == F.col("__q"), "left_semi").groupBy(F.col(key).alias("key")).agg(F.max(vector).alias("vector")))
     schema = T.StructType([T.StructField("query", vectors.schema[key].dataType), T.StructField("near", vectors.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
-    passes = max(1, -(-queries.count() // chunk))
+    sizes = wanted.where("size(vector) > 0").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").collect()  # a handful
+    width = sizes[0]["size"] if sizes else 0
+    passes = max(1, -(-sum(s["count"] for s in sizes) // chunk))
     stop = chi_square_quantile(projections, 1 - miss)
     parts = []
     for p in range(passes):
         table = wanted.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p).toArrow()
-        at, rows = unit_rows(table["vector"], None)
+        at, rows = unit_rows(table["vector"], width)
         if not len(at):
             continue
         names = table["key"].take(pa.array(at)).combine_chunks()

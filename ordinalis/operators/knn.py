@@ -35,7 +35,9 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, *, chunk: int = C
     """
     spark = queries.sparkSession
     rows = queries.where("q is not null and vec is not null").select("q", "vec", "fold")
-    passes = max(1, -(-rows.count() // chunk))
+    sizes = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").collect()  # a handful of sizes
+    width = sizes[0]["size"] if sizes else 0
+    passes = max(1, -(-sum(s["count"] for s in sizes) // chunk))
     q_type, r_type, y_type = queries.schema["q"].dataType.simpleString(), reference.schema["r"].dataType.simpleString(), reference.schema["y"].dataType.simpleString()
     schema = f"q {q_type}, r {r_type}, y {y_type}, sim double"
     whole = None
@@ -43,7 +45,6 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, *, chunk: int = C
         table = rows.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p).toPandas()
         if not len(table):
             continue
-        width = int(table["vec"].map(len).mode()[0])
         asked, good = _matrix(table["vec"], width)
         names, folds = table["q"].to_numpy()[good], table["fold"].to_numpy(float)[good]
         sent = spark.sparkContext.broadcast((names, folds, asked[good], width))

@@ -38,21 +38,25 @@ def prepare(rows: DataFrame, key: str, text: str, *, run: int = S.RUN, min_words
                     if len(tokens) < max(min_words, run):
                         continue
                     sh = S.shingle_set(S.word_hashes(tokens), run)
-                    sig = S.minhash(sh, multipliers).reshape(2 * bands, depth)
-                    band = S.mix((sig * S.seeds(depth, 11)).sum(axis=1, dtype=np.uint64))
-                    out.append((rec, S.signed(S.mix(np.array([sh.sum(dtype=np.uint64) + np.uint64(len(sh))])))[0], S.signed(sh), *S.sketch(sh, bits), S.signed(band[:bands]), S.signed(band[bands:])))
+                    out.append((rec, S.signed(S.mix(np.array([sh.sum(dtype=np.uint64) + np.uint64(len(sh))])))[0], S.signed(sh), *S.sketch(sh, bits), *S.band_values(sh, multipliers, bands, depth)))
             yield pd.DataFrame(out, columns=["rec", "cls", "shingles", "s1", "s2", "left", "right"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, f"rec {kind}, cls long, shingles array<long>, s1 long, s2 long, left array<long>, right array<long>")
 
 
+def table_cells(classes: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the cell of every table that the bands left and right put a class into."""
+    half = classes.select(*keep, F.posexplode("left").alias("i", "a"), "right")
+    return half.select(*keep, "i", "a", F.posexplode("right").alias("j", "b")).select(*keep, F.xxhash64("i", "a", "j", "b").alias("cell"))
+
+
 def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(rec, cls), pairs(c1, c2, similarity)): texts with one shingle set are one class, so copies cost nothing further."""
     prepared = cut(prepared)
     members = prepared.select("rec", "cls").distinct()
     classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "left", "right")))
-    tables = classes.select("cls", "s1", "s2", F.posexplode("left").alias("i", "a"), "right").select("cls", "s1", "s2", "i", "a", F.posexplode("right").alias("j", "b")).select("cls", "s1", "s2", F.xxhash64("i", "a", "j", "b").alias("cell"))
+    tables = table_cells(classes, "cls", "s1", "s2")
     one = tables.select("cell", F.col("cls").alias("c1"), F.col("s1").alias("x1"), F.col("s2").alias("x2")).hint("merge")
     two = tables.select("cell", F.col("cls").alias("c2"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
     near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= S.MOST_BITS

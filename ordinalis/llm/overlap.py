@@ -3,7 +3,8 @@
 Every text is reduced to the minima of a rolling hash over windows of word runs: two texts that share a run of ``GRAM + WINDOW - 1``
 words share a fingerprint. A fingerprint with more than ``COMMON`` occurrences is not dropped but replaced, at the same place, by one
 twice as long, until it is rare or ``LENGTHS`` ends: boilerplate then only meets where the texts agree beyond it, and the number of
-join rows stays proportional to the input. Pairs of close sketches are checked exactly on their shingle sets; their seeds are chained
+join rows stays proportional to the input. Texts with a considerable share of such fingerprints, members of large groups of rewrites
+among them, meet by tensored minhash tables as well, so that nothing rests on the longer fingerprints alone. Pairs of close sketches are checked exactly on their shingle sets; their seeds are chained
 collinearly, extended word by word and turned into coverage.
 """
 
@@ -14,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
+from ordinalis.llm.neardup import BANDS, ROWS, table_cells
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
 GRAM, WINDOW, COMMON = 8, 4, 200
 #: Lengths of the fingerprint at one place, from the first to the longest.
 LENGTHS = (8, 16, 32, 64)
+#: Texts with at least this share of common fingerprints also meet by minhash tables: a large group of rewrites has no rare ones.
+OFTEN = 0.2
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
@@ -66,6 +70,37 @@ def rare_prints(prints: DataFrame, common: int = COMMON) -> DataFrame:
     raise AssertionError
 
 
+def by_tables(often: DataFrame) -> DataFrame:
+    """(train_cls, test_cls) of the classes that share a cell of the tensored tables; ``often`` has cls, in_train, in_test, s1, s2 and
+    shingles."""
+    multipliers = S.seeds(2 * BANDS * ROWS, 4)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                made = [S.band_values(np.asarray(sh, np.int64).view(np.uint64), multipliers, BANDS, ROWS) for sh in batch["shingles"]]
+            yield batch.drop(columns="shingles").assign(left=[m[0] for m in made], right=[m[1] for m in made])
+
+    banded = often.mapInPandas(make, "cls long, in_train boolean, in_test boolean, s1 long, s2 long, left array<long>, right array<long>")
+    cells = table_cells(banded, "cls", "in_train", "in_test", "s1", "s2")
+    train = cells.where("in_train").select("cell", F.col("cls").alias("train_cls"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    test = cells.where("in_test").select("cell", F.col("cls").alias("test_cls"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
+    return train.hint("merge").join(test, "cell").where((F.col("train_cls") != F.col("test_cls")) & _near()).select("train_cls", "test_cls").distinct()
+
+
+def _near() -> Column:
+    return F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= S.MOST_BITS
+
+
+def shared_places(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Seeds of a pair that met without any: the places of runs of words that stand once in each text."""
+    with np.errstate(over="ignore"):
+        x, y = (S.rolling(np.asarray(t, np.int64).view(np.uint64), S.RUN) for t in (a, b))
+    (vx, ix, nx), (vy, iy, ny) = (np.unique(v, return_index=True, return_counts=True) for v in (x, y))
+    _, i, j = np.intersect1d(vx[nx == 1], vy[ny == 1], assume_unique=True, return_indices=True)
+    return list(zip(ix[nx == 1][i].tolist(), iy[ny == 1][j].tolist(), strict=True))
+
+
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of seeds that rises in both texts."""
     seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
@@ -121,9 +156,12 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int =
     prints = cut(rare_prints(cut(flat), common))
     train = prints.where("in_train").select("level", "key", F.col("cls").alias("train_cls"), F.col("at").alias("x"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     test = prints.where("in_test").select("level", "key", F.col("cls").alias("test_cls"), F.col("at").alias("y"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
-    near = F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= S.MOST_BITS
-    met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & near)
+    met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & _near())
     found = met.groupBy("train_cls", "test_cls").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
+    often = prints.groupBy("cls").agg(F.avg((F.col("level") > 0).cast("double")).alias("share")).where(F.col("share") >= OFTEN).select("cls")
+    bags = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in ("s1", "s2", "shingles")))
+    tabled = by_tables(bags.join(often.hint("merge"), "cls", "left_semi")).withColumn("seeds", F.array().cast("array<struct<x:bigint,y:bigint>>"))
+    found = found.unionByName(tabled).groupBy("train_cls", "test_cls").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
     texts = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles"))
     side = lambda split, column, name: texts.select(F.col("cls").alias(f"{split}_cls"), F.col(column).alias(name)).hint("merge")
     both = found.join(side("train", "shingles", "sa"), "train_cls").join(side("test", "shingles", "sb"), "test_cls")
@@ -135,7 +173,8 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int =
         for batch in batches:
             out = []
             for p, q, seeds, alike, a, b in batch[["train_cls", "test_cls", "seeds", "similarity", "a", "b"]].itertuples(index=False):
-                covered = sum(n for _, _, n in extend(np.asarray(a), np.asarray(b), chain([(s["x"], s["y"]) for s in seeds])))
+                places = [(s["x"], s["y"]) for s in seeds] or shared_places(a, b)
+                covered = sum(n for _, _, n in extend(np.asarray(a), np.asarray(b), chain(places)))
                 out.append((p, q, alike, covered / len(a), covered / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])
 

@@ -87,6 +87,13 @@ def minhash(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).min(axis=1)
 
 
+def band_values(shingles: np.ndarray, multipliers: np.ndarray, bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """One value per band of ``depth`` minhashes, for two collections of ``bands`` bands each."""
+    sig = minhash(shingles, multipliers).reshape(2 * bands, depth)
+    band = mix((sig * seeds(depth, 11)).sum(axis=1, dtype=np.uint64))
+    return signed(band[:bands]), signed(band[bands:])
+
+
 #: Two 64-bit words of one-bit minhashes: of 128 bits a pair of similarity 0.5 has 32 +- 4.9 different, an unrelated one 61 +- 5.6.
 #: MOST_BITS lies four deviations above the former: such a pair is lost with a probability of 2e-5.
 SKETCH, MOST_BITS = 128, 52

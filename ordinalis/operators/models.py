@@ -105,3 +105,40 @@ def project(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
     """(key, projected): principal components fitted on all rows, labels unseen."""
     model = PCA(k=k, inputCol=features, outputCol="__p").fit(df)
     return model.transform(df).select(key, vector_to_array("__p").alias("projected"))
+
+
+def oof_kappa(oof: DataFrame, y: str, score: str = "pred") -> float:
+    """Kappa of labelled rows after cut-points learned on them."""
+    known = oof.where(F.col(y).isNotNull())
+    cuts = metrics.optimise_cuts(known, score, y)
+    return known.select(F.col(y), metrics.apply_cuts(F.col(score), cuts).alias("__p")).agg(metrics.qwk(y, "__p").alias("q")).first()["q"] or 0.0
+
+
+def alpha_grid(df: DataFrame, key: str, y: str, alphas: tuple[float, ...], n_folds: int = 5) -> list[tuple[float, float]]:
+    """(alpha, kappa) of ridge at each penalty, best first; ties go to the smaller penalty."""
+    scores = [(a, oof_kappa(cut(out_of_fold(df, key, y, lambda t, a=a: ridge(t, y, a), n_folds)), y)) for a in alphas]
+    return sorted(scores, key=lambda s: (-s[1], s[0]))
+
+
+def ablation(frame: DataFrame, key: str, y: str, sets: dict[str, list[str]], alpha: float = 3.0, n_folds: int = 5) -> list[tuple[str, int, float]]:
+    """(name, number of columns, kappa) of ridge on each set of columns."""
+    return [(name, len(columns), oof_kappa(cut(out_of_fold(assemble(frame, columns), key, y, lambda t: ridge(t, y, alpha), n_folds)), y)) for name, columns in sets.items()]
+
+
+def ensemble(frames: list[DataFrame], key: str) -> DataFrame:
+    """(key, pred): the mean of several runs' predictions; a row counts where all runs have it."""
+    whole = frames[0].select(key, "pred")
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame.select(key, "pred"))
+    return whole.groupBy(key).agg(F.avg("pred").alias("pred"), F.count("pred").alias("__n")).where(F.col("__n") == len(frames)).select(key, "pred")
+
+
+def full_refit(df: DataFrame, y: str, best_rounds: list[int], growth: float = 1.15, seed: int = 42):
+    """Boosted trees on all labelled rows, with the mean of the folds' best rounds stretched by ``growth``."""
+    rounds = max(1, round(sum(best_rounds) / len(best_rounds) * growth))
+    return gbt(df.where(F.col(y).isNotNull()), y, rounds=rounds, seed=seed)
+
+
+def accept(gain: float, least: float = 0.005) -> bool:
+    """Whether a candidate's honest gain passes the gate."""
+    return gain >= least

@@ -326,6 +326,18 @@ def blended(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("PetID", "fold", F.round("pred", 6).alias("pred"))
 
 
+def column_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    frame, columns = _model_frame(spark, folder, 3)
+    rows = models.ablation(frame, "PetID", "AdoptionSpeed", {"meta": columns[:7], "keywords": columns[7:28], "all": columns}, n_folds=3)
+    return spark.createDataFrame([(n, k, round(v, 6)) for n, k, v in rows], "name string, n_columns int, qwk double")
+
+
+def penalty_grid(spark: SparkSession, folder: str) -> DataFrame:
+    frame, columns = _model_frame(spark, folder, 3)
+    rows = models.alpha_grid(models.assemble(frame, columns), "PetID", "AdoptionSpeed", (1.0, 3.0, 10.0), 3)
+    return spark.createDataFrame([(a, round(v, 6)) for a, v in rows], "alpha double, qwk double")
+
+
 def adversarial_auc(spark: SparkSession, folder: str) -> DataFrame:
     both = _both(spark, folder)
     f = both.select("PetID", (F.col("split") == "test").cast("int").alias("is_test"), *(c.alias(n) for n, c in T.meta_features("Description").items())).dropDuplicates(["PetID"])
@@ -344,6 +356,6 @@ def queries() -> dict[str, Query]:
         first_mean_similarity, photo_bags, attention_pooling, attention_by_slot, zero_shot, tfidf_char, tfidf_word, duplicate_groups,
         duplicate_sweep, kappa, rater_kappa, confusion, roc_auc, spearman, pearson, cut_labels, split_drift, speed_shares, speed_by_age,
         source_by_speed, feature_profile, source_means, length_histogram, speed_spread, largest_group, texts_in_both,
-        photo_pets_missing, submission, top_photos, photo_joins, ridge_oof, stacked, blended, adversarial_auc, principal_components,
+        photo_pets_missing, submission, top_photos, photo_joins, ridge_oof, stacked, blended, column_ablation, penalty_grid, adversarial_auc, principal_components,
     )
     return {f.__name__: f for f in named}

@@ -7,7 +7,7 @@ import pytest
 
 from ordinalis.plans import oracles, queries
 
-SLOW = {"stacked", "blended", "adversarial_auc", "duplicate_sweep"}
+SLOW = {"stacked", "blended", "adversarial_auc", "duplicate_sweep", "column_ablation", "penalty_grid"}
 
 
 def plain(v):

@@ -24,6 +24,9 @@ from ordinalis.session import cut
 #: Projections, largest leaf, accepted probability to miss a neighbour at the stop, rows to a tree, queries to a pass.
 PROJECTIONS, LEAF, MISS, BLOCK, QUERIES = 4, 128, 0.05, 65_536, 32_768
 
+#: Queries that search a tree together, which bounds the memory of a task.
+TOGETHER = 4096
+
 
 def chi_square_quantile(degrees: int, probability: float) -> float:
     """By bisection on the closed form of the distribution for an even number of degrees."""
@@ -156,7 +159,11 @@ def _searcher(sent, k: int, leaf: int, stop: float, block: int):
         names, queries, low, axes = sent.value
         key = pa.concat_arrays([x.cast(names.type) for x in keys])
         tree = Tree(np.concatenate(blocks), axes, leaf)
-        ask, row, cosine, _ = tree.search(queries, low, 2 * k + 2, stop)  # room for the query itself and for repeats of a row
+        parts = []
+        for a in range(0, len(queries), TOGETHER):  # room for the query itself and for repeats of a row
+            ask, row, cosine, _ = tree.search(queries[a : a + TOGETHER], low[a : a + TOGETHER], 2 * k + 2, stop)
+            parts.append((ask + a, row, cosine))
+        ask, row, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
         near = key.take(pa.array(row))
         query = names.take(pa.array(ask))
         return pa.RecordBatch.from_arrays([query, near, pa.array(cosine)], names=["query", "near", "cosine"]).filter(pa.compute.not_equal(query, near))

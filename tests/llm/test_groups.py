@@ -24,13 +24,12 @@ def brute(links):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-@pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
+@pytest.mark.parametrize(("shape", "hot_rows"), [("random", 1_000_000), ("chain", 1_000_000), ("star", 10), ("none", 10)])
 def test_components(spark, shape, hot_rows):
     rng = random.Random(5)
     links = {
         "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 3), (4, None), (5, 5)],
-        "chain": [(k, k + 1) for k in range(64)] + [(k + 1, k) for k in range(10)],
+        "chain": [(k, k + 1) for k in range(24)] + [(k + 1, k) for k in range(10)],
         "star": [(999, k) for k in range(120)],
         "none": [(7, 7), (None, None)],
     }[shape]

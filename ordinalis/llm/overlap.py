@@ -2,10 +2,10 @@
 
 Every text is reduced to the minima of a rolling hash over windows of word runs: two texts that share a run of ``GRAM + WINDOW - 1``
 words share a fingerprint. A fingerprint with more than ``COMMON`` occurrences is not dropped but replaced, at the same place, by one
-twice as long, until it is rare or ``LENGTHS`` ends: boilerplate then only meets where the texts agree beyond it, and the number of
-join rows stays proportional to the input. Texts with a considerable share of such fingerprints, members of large groups of rewrites
-among them, meet by tensored minhash tables as well, so that nothing rests on the longer fingerprints alone. Pairs of close sketches are checked exactly on their shingle sets; their seeds are chained
-collinearly, extended word by word and turned into coverage.
+twice as long, until it is rare or ``LENGTHS`` ends. The fingerprints only serve as seeds of the alignment, since texts with evenly
+spread edits or of a large group of rewrites may share none. Whether two texts meet rests on the prefix filter, which is exact: of two
+texts of similarity ``t`` each has one of the other's shingles among its ``n - ceil(t * n) + 1`` rarest. Pairs of close sketches are
+checked exactly on their shingle sets; their seeds are chained collinearly, extended word by word and turned into coverage.
 """
 
 from __future__ import annotations
@@ -19,15 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
-from ordinalis.llm.neardup import BANDS, ROWS, table_cells
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
 GRAM, WINDOW, COMMON = 8, 4, 200
 #: Lengths of the fingerprint at one place, from the first to the longest.
 LENGTHS = (8, 16, 32, 64)
-#: Texts with at least this share of common fingerprints also meet by minhash tables: a large group of rewrites has no rare ones.
-OFTEN = 0.2
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
@@ -70,22 +67,23 @@ def rare_prints(prints: DataFrame, common: int = COMMON) -> DataFrame:
     raise AssertionError
 
 
-def by_tables(often: DataFrame) -> DataFrame:
-    """(train_cls, test_cls) of the classes that share a cell of the tensored tables; ``often`` has cls, in_train, in_test, s1, s2 and
-    shingles."""
-    multipliers = S.seeds(2 * BANDS * ROWS, 4)
+def by_prefix(bags: DataFrame, threshold: float) -> DataFrame:
+    """(train_cls, test_cls) of all classes that may reach ``threshold``; ``bags`` has cls, in_train, in_test, s1, s2 and shingles.
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                made = [S.band_values(np.asarray(sh, np.int64).view(np.uint64), multipliers, BANDS, ROWS) for sh in batch["shingles"]]
-            yield batch.drop(columns="shingles").assign(left=[m[0] for m in made], right=[m[1] for m in made])
-
-    banded = often.mapInPandas(make, "cls long, in_train boolean, in_test boolean, s1 long, s2 long, left array<long>, right array<long>")
-    cells = table_cells(banded, "cls", "in_train", "in_test", "s1", "s2")
-    train = cells.where("in_train").select("cell", F.col("cls").alias("train_cls"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    test = cells.where("in_test").select("cell", F.col("cls").alias("test_cls"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
-    return train.hint("merge").join(test, "cell").where((F.col("train_cls") != F.col("test_cls")) & _near()).select("train_cls", "test_cls").distinct()
+    Shingles are ordered by the join rows they make, so those of one split alone come first and need no place in the join.
+    """
+    flat = bags.select("cls", "in_train", "in_test", F.explode("shingles").alias("key"))
+    count = lambda side: F.sum(F.col(side).cast("long"))
+    weights = flat.groupBy("key").agg((count("in_train") * count("in_test")).alias("weight")).where("weight > 0")
+    ordered = flat.select("cls", "key").join(weights.hint("merge"), "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("weight", "key"))).alias("ordered"))
+    least = F.ceil(F.col("n") * threshold - 1e-9)
+    prefix = F.slice("ordered", 1, F.greatest(F.lit(0), F.size("ordered") - least + 1).cast("int"))
+    sized = bags.select("cls", "in_train", "in_test", "s1", "s2", F.size("shingles").alias("n"))
+    keys = cut(sized.join(ordered.hint("merge"), "cls").select("cls", "in_train", "in_test", "s1", "s2", "n", F.explode(prefix["key"]).alias("key")))
+    train = keys.where("in_train").select("key", F.col("cls").alias("train_cls"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"))
+    test = keys.where("in_test").select("key", F.col("cls").alias("test_cls"), F.col("s1").alias("u1"), F.col("s2").alias("u2"), "n")
+    fits = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
+    return train.hint("merge").join(test, "key").where((F.col("train_cls") != F.col("test_cls")) & fits & _near()).select("train_cls", "test_cls").distinct()
 
 
 def _near() -> Column:
@@ -158,10 +156,9 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int =
     test = prints.where("in_test").select("level", "key", F.col("cls").alias("test_cls"), F.col("at").alias("y"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
     met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & _near())
     found = met.groupBy("train_cls", "test_cls").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
-    often = prints.groupBy("cls").agg(F.avg((F.col("level") > 0).cast("double")).alias("share")).where(F.col("share") >= OFTEN).select("cls")
     bags = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in ("s1", "s2", "shingles")))
-    tabled = by_tables(bags.join(often.hint("merge"), "cls", "left_semi")).withColumn("seeds", F.array().cast("array<struct<x:bigint,y:bigint>>"))
-    found = found.unionByName(tabled).groupBy("train_cls", "test_cls").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
+    leading = by_prefix(bags, threshold).withColumn("seeds", F.array().cast("array<struct<x:bigint,y:bigint>>"))
+    found = found.unionByName(leading).groupBy("train_cls", "test_cls").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
     texts = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles"))
     side = lambda split, column, name: texts.select(F.col("cls").alias(f"{split}_cls"), F.col(column).alias(name)).hint("merge")
     both = found.join(side("train", "shingles", "sa"), "train_cls").join(side("test", "shingles", "sb"), "test_cls")

@@ -64,6 +64,23 @@ def test_overlaps(spark, common):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("words", [46, 64])
+def test_evenly_edited_pairs_meet(spark, words):
+    rng = random.Random(words)
+    sides = {"train": [], "test": []}
+    for k in range(120):
+        base = [f"w{k}x{i}" for i in range(words)]
+        edited = [f"e{k}x{i}" if i % 9 == 0 else w for i, w in enumerate(base)]  # no run of more than 8 words stays
+        sides["train"].append((f"a{k:03}", " ".join(base)))
+        sides["test"].append((f"b{k:03}", " ".join(edited)))
+    rng.shuffle(sides["test"])
+    df = spark.createDataFrame([(s, k, "src", t) for s, side in sides.items() for k, t in side], "split string, rec string, source string, text string")
+    want = brute(sides["train"], sides["test"])
+    members, pairs = overlap.overlaps(df)
+    rec = {r.cls: r.rec for r in members.collect()}
+    assert len(want) == 120 and {(rec[p.train_cls], rec[p.test_cls]) for p in pairs.collect()} == want
+
+
 def test_chain_and_extension():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.int64)
     b = np.array([9, 1, 2, 3, 4, 0, 6, 7, 8], np.int64)

@@ -81,6 +81,26 @@ def test_evenly_edited_pairs_meet(spark, words):
     assert len(want) == 120 and {(rec[p.train_cls], rec[p.test_cls]) for p in pairs.collect()} == want
 
 
+def test_large_groups_of_rewrites_meet(spark):
+    rng = random.Random(5)
+    sides = {"train": [], "test": []}
+    for g in range(6):
+        base = [f"w{g}x{i}" for i in range(48)]
+        for s, copies, edits in (("train", 40, (1, 2)), ("test", 20, (5, 6))):
+            for k in range(copies):
+                t = list(base)
+                for p in rng.sample(range(48), rng.choice(edits)):
+                    t[p] = f"{s}{g}x{k}x{p}"
+                sides[s].append((f"{s}{g}x{k}", " ".join(t)))
+    df = spark.createDataFrame([(s, k, "src", t) for s, side in sides.items() for k, t in side], "split string, rec string, source string, text string")
+    want = brute(sides["train"], sides["test"])
+    for common in (10, 200):  # a text is found or lost however often its fingerprints stand elsewhere
+        members, pairs = overlap.overlaps(df, common=common)
+        rec = {r.cls: r.rec for r in members.collect()}
+        got = {tuple(sorted((rec[p.train_cls], rec[p.test_cls]))) for p in pairs.collect()}
+        assert got == want
+
+
 def test_chain_and_extension():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.int64)
     b = np.array([9, 1, 2, 3, 4, 0, 6, 7, 8], np.int64)

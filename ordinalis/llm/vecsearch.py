@@ -24,8 +24,10 @@ from ordinalis.session import cut
 #: Projections, largest leaf, accepted probability to miss a neighbour at the stop, rows to a tree, queries to a pass.
 PROJECTIONS, LEAF, MISS, BLOCK, QUERIES = 4, 128, 0.05, 65_536, 32_768
 
-#: Queries that search a tree together, which bounds the memory of a task.
-TOGETHER = 4096
+#: Queries that search a tree together, which bounds the memory of a task, and queries that scan a block together.
+TOGETHER, SCANNED = 4096, 32
+#: Cosines in single precision that differ by less may be equal.
+TIE = 1e-5
 
 
 def chi_square_quantile(degrees: int, probability: float) -> float:
@@ -112,13 +114,39 @@ class Tree:
             done += ahead
             step = min(2 * step, 64)
             if done < leaves:
-                kth = 2 - 2 * best[live, -1]
+                kth = np.where(index[live, -1] < 0, np.inf, 2 - 2 * best[live, -1])
                 live = live[gap[live, done] < stop * kth]
         ask, rank = np.nonzero(index >= 0)
         row = index[ask, rank]
         exact = np.einsum("ij,ij->i", queries[ask], self.rows[row].astype(np.float64))
         return ask, self.order[row], exact, seen / max(1, n * leaves)
 
+    def nearest(self, queries: np.ndarray, low: np.ndarray, own: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) with at least the k best rows other than ``own`` per query, ties by row.
+
+        The search keeps some rows more than asked. Where the last of these ties with the k-th, rows as good may have been left out: such
+        queries scan the whole block.
+        """
+        places = 2 * k + 2
+        ask, row, cosine, _ = self.search(queries, low, places, stop)
+        kept = np.bincount(ask, minlength=len(queries))
+        rank = np.arange(len(ask)) - np.repeat(np.cumsum(kept) - kept, kept)
+        every, other = (np.full((len(queries), places), -np.inf) for _ in range(2))
+        every[ask, rank] = cosine
+        other[ask, rank] = np.where(row == own[ask], -np.inf, cosine)
+        redo = np.flatnonzero(every.min(axis=1) >= -np.sort(-other, axis=1)[:, k - 1] - TIE)
+        redo = redo[kept[redo] == places]
+        stay = ~np.isin(ask, redo)
+        parts = [(ask[stay], row[stay], cosine[stay])]
+        for a in range(0, len(redo), SCANNED):
+            for q, score in zip(redo[a : a + SCANNED], queries[redo[a : a + SCANNED]].astype(np.float32) @ self.rows.T, strict=True):
+                score[self.order == own[q]] = -np.inf
+                at = np.flatnonzero(score >= np.partition(score, -k)[-k] - TIE)
+                exact = np.einsum("j,ij->i", queries[q], self.rows[at].astype(np.float64))
+                best = np.lexsort((self.order[at], -exact))[:k]
+                parts.append((np.full(len(best), q), self.order[at[best]], exact[best]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, projections: int = PROJECTIONS, leaf: int = LEAF, miss: float = MISS, block: int = BLOCK, chunk: int = QUERIES, seed: int = 5) -> DataFrame:
     """(query, near, cosine): for each key of ``queries`` the k other keys of ``vectors`` with the largest cosine, ties by key.
@@ -158,10 +186,15 @@ def _searcher(sent, k: int, leaf: int, stop: float, block: int):
     def answer(keys: list[pa.Array], blocks: list[np.ndarray]) -> pa.RecordBatch:
         names, queries, low, axes = sent.value
         key = pa.concat_arrays([x.cast(names.type) for x in keys])
-        tree = Tree(np.concatenate(blocks), axes, leaf)
+        first = np.unique(np.asarray(key.dictionary_encode().indices), return_index=True)[1]
+        first = first[np.asarray(pa.compute.sort_indices(key.take(pa.array(first))))]
+        key = key.take(pa.array(first))  # one row to a key, in the order of keys
+        own = np.asarray(pa.compute.index_in(names, value_set=key).fill_null(-1))
+        tree = Tree(np.concatenate(blocks)[first], axes, leaf)
         parts = []
-        for a in range(0, len(queries), TOGETHER):  # room for the query itself and for repeats of a row
-            ask, row, cosine, _ = tree.search(queries[a : a + TOGETHER], low[a : a + TOGETHER], 2 * k + 2, stop)
+        for a in range(0, len(queries), TOGETHER):
+            part = slice(a, a + TOGETHER)
+            ask, row, cosine = tree.nearest(queries[part], low[part], own[part], k, stop)
             parts.append((ask + a, row, cosine))
         ask, row, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
         near = key.take(pa.array(row))

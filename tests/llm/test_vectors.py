@@ -36,3 +36,24 @@ def test_fewer_than_k_and_ties(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0]), ("c", [2.0, 0.0]), ("a", [1.0, 0.0])], "path string, v array<float>")
     assert [(r.near) for r in nearest(df, df.where("path = 'b'"), "path", "v", 5).orderBy("near").collect()] == ["a", "c"]
     assert [r.near for r in nearest(df, df.where("path = 'b'"), "path", "v", 1).collect()] == ["a"]
+
+
+def test_repeated_rows_and_copies(spark):
+    rng = np.random.default_rng(9)
+    x = {f"p{k:03}": rng.integers(-9, 10, 16).astype(float) for k in range(90)}
+    x |= {f"c{k:03}": np.arange(16.0) for k in range(600)}  # copies, more than a leaf holds
+    u = {p: v / np.linalg.norm(v) for p, v in x.items()}
+    rows = [(p, v.tolist()) for p, v in reversed(x.items())]
+    near = sorted(u, key=lambda p: -float(u[p] @ u["p000"]))[:6]
+    rows += [(p, x[p].tolist()) for p in near for _ in range(15)] + [("p001", x["p001"].tolist())] * 400
+    df = spark.createDataFrame(rows, "path string, v array<float>")
+    asked = [*[f"p{k:03}" for k in range(12)], "c000", "c300", "c599"]
+    want = {}
+    for q in asked:
+        best = sorted((-round(float(u[q] @ v), 9), p) for p, v in u.items() if p != q)[:5]
+        want[q] = {p for _, p in best}
+    for block, leaf in ((65536, 128), (65536, 4096), (300, 4096)):
+        got = {}
+        for r in nearest(df.coalesce(1), spark.createDataFrame([(q,) for q in asked], "path string"), "path", "v", 5, block=block, leaf=leaf, miss=1e-9).collect():
+            got.setdefault(r.query, set()).add(r.near)
+        assert got == want

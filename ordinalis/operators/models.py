@@ -37,6 +37,18 @@ def gbt(train: DataFrame, y: str, features: str = "features", rounds: int = 20,
     return GBTRegressor(featuresCol=features, labelCol=y, predictionCol="pred", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.6", minInstancesPerNode=5).fit(train)
 
 
+def stopped(train: DataFrame, valid: DataFrame, y: str, rounds: int = 5000, patience: int = 200, step: int = 200, **parameters):
+    """(model, best round): trees up to the round with the smallest squared error on ``valid``, once ``patience`` further rounds bring no
+    better one or ``rounds`` end. The trees of a run begin those of any longer one with the same seed, so a longer run only adds to it."""
+    tried = min(step, rounds)
+    while True:
+        errors = gbt(train, y, rounds=tried, **parameters).evaluateEachIteration(valid, "squared")
+        best = min(range(tried), key=errors.__getitem__) + 1
+        if tried >= rounds or tried - best >= patience:
+            return gbt(train, y, rounds=best, **parameters), best
+        tried = min(2 * tried, rounds)
+
+
 def out_of_fold(df: DataFrame, key: str, y: str, fit: Callable[[DataFrame], object], n_folds: int = 5) -> DataFrame:
     """(key, y, fold, pred): every labelled row predicted by a model that never saw its fold, every unlabelled row (null ``y``) by the
     mean of all of them. ``df`` has features and fold."""

@@ -162,6 +162,23 @@ def tfidf_word(spark: SparkSession, folder: str) -> DataFrame:
     return postings.groupBy("PetID").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
 
 
+def _word_char(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = cut(_both(spark, folder).groupBy("split", "PetID").agg(F.min("Description").alias("d")).select(F.concat_ws(":", "split", "PetID").alias("id"), T.matchable("d").alias("m"), T.normalized("d").alias("t")))
+    return docs, tfidf.tfidf_word_char(docs, "id", F.col("m"), F.col("t"), docs.count())
+
+
+def tfidf_word_char(spark: SparkSession, folder: str) -> DataFrame:
+    """Both blocks over the texts of train and test."""
+    postings = _word_char(spark, folder)[1].groupBy("id", F.left("term", F.lit(1)).alias("block"))
+    return postings.agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+
+
+def text_components(spark: SparkSession, folder: str) -> DataFrame:
+    docs, postings = _word_char(spark, folder)
+    made = tfidf.truncated_svd(cut(postings), docs, "id", 64)
+    return made.select("id", *(F.round(F.abs(F.col("projected")[k]), 5).alias(f"svd_{k}") for k in range(64)))
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return cut(_both(spark, folder).select("PetID", T.normalized("Description").alias("t")).groupBy("PetID").agg(F.min("t").alias("t")))
 
@@ -353,7 +370,7 @@ def queries() -> dict[str, Query]:
     named = (
         knn_target_oof, listings, padded_ids, image_index, photo_counts, photoless_share, orphan_photos, text_meta, text_keywords,
         age_and_count, normalized_texts, stratified_folds, class_sample, subsample_means, photo_pooling, pet_vectors,
-        first_mean_similarity, photo_bags, attention_pooling, attention_by_slot, zero_shot, tfidf_char, tfidf_word, duplicate_groups,
+        first_mean_similarity, photo_bags, attention_pooling, attention_by_slot, zero_shot, tfidf_char, tfidf_word, tfidf_word_char, text_components, duplicate_groups,
         duplicate_sweep, kappa, rater_kappa, confusion, roc_auc, spearman, pearson, cut_labels, split_drift, speed_shares, speed_by_age,
         source_by_speed, feature_profile, source_means, length_histogram, speed_spread, largest_group, texts_in_both,
         photo_pets_missing, submission, top_photos, photo_joins, ridge_oof, stacked, blended, column_ablation, penalty_grid, adversarial_auc, principal_components,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,3 +46,31 @@ def subsamples(df: DataFrame, key: str, draws: int, n: int, seed: int) -> DataFr
     """``df`` times ``draws`` with a draw number: every draw holds ``n`` rows without replacement."""
     many = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__k", F.concat("draw", F.lit(":"), F.col(key).cast("string")))
     return hashed_rank(many, ["draw"], "__k", seed, "__rank").where(F.col("__rank") <= n).drop("__rank", "__k")
+
+
+def subsample_kappas(cells: DataFrame, y: str, pred: str, draws: int, sizes: tuple[int, ...], seed: int) -> DataFrame:
+    """(n, draw, kappa) of ``draws`` subsets of each size without replacement. ``cells`` has ``y``, ``pred`` and n: how often they meet.
+
+    The kappa of a subset rests on these counts alone, and the counts of a subset are a multivariate hypergeometric draw from them; so
+    the cost does not depend on the number of rows. A size beyond the rows takes all of them; kappa is null where it is not defined.
+    """
+    table = cells.select(F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("p"), "n").toPandas()  # a handful
+    gap = (table["y"] - table["p"]).to_numpy(float) ** 2
+    count = table["n"].to_numpy(np.int64)
+    levels = [table[c].to_numpy() for c in ("y", "p")]
+    labels = np.unique(np.concatenate(levels))
+    sides = [(labels[:, None] == level[None, :]).astype(float) for level in levels]
+    apart = (labels[:, None] - labels[None, :]).astype(float) ** 2
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for number in batch["id"]:
+                size, k = divmod(int(number), draws)
+                n = min(sizes[size], int(count.sum()))
+                got = np.random.default_rng([seed, size, k]).multivariate_hypergeometric(count, n, method="marginals")
+                chance = (sides[0] @ got) @ apart @ (sides[1] @ got) / max(n, 1)
+                out.append((n, k, 1 - float(gap @ got) / chance if chance else None))
+            yield pd.DataFrame(out, columns=["n", "draw", "kappa"])
+
+    return cells.sparkSession.range(draws * len(sizes)).mapInPandas(draw, "n long, draw int, kappa double")

@@ -101,7 +101,7 @@ def blend(frames: dict[str, DataFrame], base: DataFrame, key: str, y: str, alpha
 def adversarial(df: DataFrame, key: str, is_test: str, columns: list[str], n_folds: int = 5) -> DataFrame:
     """(auc) of telling test rows from training rows out of fold; near 0.5 means the splits look alike. ``df`` has fold."""
     ready = assemble(df.withColumn(is_test, F.col(is_test).cast("double")), columns)
-    scored = out_of_fold(ready, key, is_test, lambda t: gbt(t, is_test, rounds=8), n_folds)
+    scored = out_of_fold(ready, key, is_test, lambda t: gbt(t, is_test), n_folds)
     return metrics.auc(scored, is_test, "pred")
 
 

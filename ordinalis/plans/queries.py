@@ -316,11 +316,11 @@ def photo_joins(spark: SparkSession, folder: str) -> DataFrame:
     return both.join(pooled, "PetID", "left").groupBy("split").agg(F.count("*").alias("n"), F.sum("n_photos").alias("photos"), F.count("v0_mean").alias("with_vector"), F.round(F.avg("v0_mean"), 6).alias("mean"))
 
 
-def _model_frame(spark: SparkSession, folder: str, n_folds: int = 5) -> tuple[DataFrame, list[str]]:
+def _model_frame(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     both = _both(spark, folder)
     f = O.text_features(both, "PetID", "Description").join(both.groupBy("PetID").agg(F.max("AdoptionSpeed").alias("AdoptionSpeed")), "PetID").dropDuplicates(["PetID"])
     columns = [c for c in f.columns if c not in ("PetID", "AdoptionSpeed")]
-    return cut(folds.stratified_folds(f, "AdoptionSpeed", "PetID", n_folds)), columns
+    return cut(folds.stratified_folds(f, "AdoptionSpeed", "PetID")), columns
 
 
 def ridge_oof(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,11 +329,20 @@ def ridge_oof(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("PetID", "fold", F.round("pred", 6).alias("pred"))
 
 
+def subsample_kappa(spark: SparkSession, folder: str) -> DataFrame:
+    """The kappa of 3,000 draws at 10, 20, 30 and 50 % of the reference's 1,891 test rows."""
+    frame, columns = _model_frame(spark, folder)
+    out = models.out_of_fold(models.assemble(frame, columns), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", models.ALPHAS["clip_text"]))
+    known = cut(out.where(F.col("AdoptionSpeed").isNotNull()))
+    label = metrics.apply_cuts(F.col("pred"), metrics.optimise_cuts(known, "pred", "AdoptionSpeed")).alias("label")
+    return folds.subsample_kappas(known.select("AdoptionSpeed", label).groupBy("AdoptionSpeed", "label").agg(F.count("*").alias("n")), "AdoptionSpeed", "label", 3000, (189, 378, 567, 946), 0)
+
+
 def stacked(spark: SparkSession, folder: str) -> DataFrame:
-    frame, columns = _model_frame(spark, folder, 3)
-    first = models.out_of_fold(models.assemble(frame, columns), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0), 3)
-    final = models.stack({"ridge": cut(first)}, frame, "PetID", "AdoptionSpeed", columns[:12], seeds=(1,), n_folds=3)
-    return models.honest_labels(final, "AdoptionSpeed", n_folds=3).select("PetID", "fold", "label", F.round("pred", 6).alias("pred"))
+    frame, columns = _model_frame(spark, folder)
+    first = models.out_of_fold(models.assemble(frame, columns), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0))
+    final = models.stack({"ridge": cut(first)}, frame, "PetID", "AdoptionSpeed", columns, seeds=(42, 43, 44, 45, 46))
+    return models.honest_labels(final, "AdoptionSpeed").select("PetID", "fold", "label", F.round("pred", 6).alias("pred"))
 
 
 def blended(spark: SparkSession, folder: str) -> DataFrame:
@@ -344,21 +353,21 @@ def blended(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_ablation(spark: SparkSession, folder: str) -> DataFrame:
-    frame, columns = _model_frame(spark, folder, 3)
-    rows = models.ablation(frame, "PetID", "AdoptionSpeed", {"meta": columns[:7], "keywords": columns[7:28], "all": columns}, n_folds=3)
+    frame, columns = _model_frame(spark, folder)
+    rows = models.ablation(frame, "PetID", "AdoptionSpeed", {"meta": columns[:7], "keywords": columns[7:28], "all": columns})
     return spark.createDataFrame([(n, k, round(v, 6)) for n, k, v in rows], "name string, n_columns int, qwk double")
 
 
 def penalty_grid(spark: SparkSession, folder: str) -> DataFrame:
-    frame, columns = _model_frame(spark, folder, 3)
-    rows = models.alpha_grid(models.assemble(frame, columns), "PetID", "AdoptionSpeed", (1.0, 3.0, 10.0), 3)
+    frame, columns = _model_frame(spark, folder)
+    rows = models.alpha_grid(models.assemble(frame, columns), "PetID", "AdoptionSpeed", (1.0, 3.0, 10.0))
     return spark.createDataFrame([(a, round(v, 6)) for a, v in rows], "alpha double, qwk double")
 
 
 def adversarial_auc(spark: SparkSession, folder: str) -> DataFrame:
     both = _both(spark, folder)
     f = both.select("PetID", (F.col("split") == "test").cast("int").alias("is_test"), *(c.alias(n) for n, c in T.meta_features("Description").items())).dropDuplicates(["PetID"])
-    return models.adversarial(cut(folds.stratified_folds(f, "is_test", "PetID", n=3, seed=0)), "PetID", "is_test", list(T.meta_features("Description")), n_folds=3)
+    return models.adversarial(cut(folds.stratified_folds(f, "is_test", "PetID", n=5, seed=0)), "PetID", "is_test", list(T.meta_features("Description")))
 
 
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,7 +378,7 @@ def principal_components(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         knn_target_oof, listings, padded_ids, image_index, photo_counts, photoless_share, orphan_photos, text_meta, text_keywords,
-        age_and_count, normalized_texts, stratified_folds, class_sample, subsample_means, photo_pooling, pet_vectors,
+        age_and_count, normalized_texts, stratified_folds, class_sample, subsample_means, subsample_kappa, photo_pooling, pet_vectors,
         first_mean_similarity, photo_bags, attention_pooling, attention_by_slot, zero_shot, tfidf_char, tfidf_word, tfidf_word_char, text_components, duplicate_groups,
         duplicate_sweep, kappa, rater_kappa, confusion, roc_auc, spearman, pearson, cut_labels, split_drift, speed_shares, speed_by_age,
         source_by_speed, feature_profile, source_means, length_histogram, speed_spread, largest_group, texts_in_both,

@@ -1,7 +1,7 @@
 """Problem 8: mixing sources to target shares of all tokens.
 
 The texts of every source are packed into blocks of a fixed number of tokens. The mixture is the largest at which no source
-needs a block more often than its cap; every source gets slots for its share of it. Slots are divided over output shards by
+needs a block more often than its cap, unless a total is given; every source gets slots for its share of it. Slots are divided over output shards by
 splitting the totals down a binary tree with multivariate hypergeometric draws: each shard's counts are multinomial draws given the
 totals, and any shard can be computed alone, with the number of slots before it. Slot j of a source is the (j mod n)-th block of a
 pseudorandom permutation (a Feistel network, one key per source and repetition), so the blocks follow by a join on their index.
@@ -10,6 +10,7 @@ pseudorandom permutation (a Feistel network, one key per source and repetition),
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from ordinalis.session import cut
 
 #: Tokens to a block, slots to an output shard, documents to a bin of the running sum.
 BLOCK, SHARD, BIN = 512, 256, 20_000
+#: Slots from which the generator's own hypergeometric draw is out of range.
+LARGE = 900_000_000
 
 
 def pack(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, block: int = BLOCK, seed: int = 8) -> DataFrame:
@@ -50,11 +53,12 @@ def pack(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, bl
     return whole.select("source", "block_no", F.flatten("p.ids").alias("ids"), F.col("p")[0]["doc_id"].alias("first_doc"), F.size("p").alias("n_docs"))
 
 
-def quotas(targets: pd.DataFrame, sizes: dict[str, tuple[int, int]]) -> pd.DataFrame:
+def quotas(targets: pd.DataFrame, sizes: dict[str, tuple[int, int]], total: int | None = None) -> pd.DataFrame:
     """(source, share, n_blocks, slots) in source order, from the (blocks, tokens) of each source.
 
-    The mixture has the largest number of tokens at which no source exceeds its cap; a source's slots are its share of them over the
-    mean length of its blocks. Shares are taken anew over the sources that have blocks.
+    The mixture has ``total`` tokens, or else the largest number at which all shares hold and no source exceeds its cap; a source's slots
+    are its share of them over the mean length of its blocks. With a larger ``total`` a source that is used up stays at its cap, below its
+    share. Shares are taken anew over the sources that have blocks.
     """
     rows = targets.dropna(subset=["source", "target_share", "max_repeats"]).groupby("source", as_index=False).agg({"target_share": "sum", "max_repeats": "min"}).sort_values("source", ignore_index=True)
     rows["n_blocks"] = [sizes.get(s, (0, 0))[0] for s in rows["source"]]
@@ -62,11 +66,47 @@ def quotas(targets: pd.DataFrame, sizes: dict[str, tuple[int, int]]) -> pd.DataF
     rows = rows[(rows["n_blocks"] > 0) & (rows["target_share"] > 0) & (rows["max_repeats"] > 0)].reset_index(drop=True)
     rows["share"] = rows["target_share"] / rows["target_share"].sum() if len(rows) else 0.0
     whole = (rows["max_repeats"] * rows["tokens"] / rows["share"]).min() if len(rows) else 0.0
+    whole = whole if total is None else float(total)
     wanted = rows["share"] * whole * rows["n_blocks"] / rows["tokens"]
     rows["slots"] = np.minimum(np.floor(wanted + 0.5), rows["n_blocks"] * rows["max_repeats"]).astype(np.int64)
     return rows
 
 
+def hypergeometric(counts: np.ndarray, take: int, *seed: int) -> np.ndarray:
+    """How many of each kind are among ``take`` drawn without replacement, whatever the total."""
+    if counts.sum() < LARGE:
+        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
+    return np.array(_large_draw(tuple(counts.tolist()), take, seed), np.int64)
+
+
+@lru_cache(maxsize=256)  # only the uppermost splits are so large, and every shard passes through them
+def _large_draw(counts: tuple[int, ...], take: int, seed: tuple[int, ...]) -> tuple[int, ...]:
+    rng, rest, out = np.random.default_rng(seed), sum(counts), []
+    for n in counts:
+        rest -= n
+        out.append(_large_marginal(n, rest, take, rng.random()))
+        take -= out[-1]
+    return tuple(out)
+
+
+def _large_marginal(good: int, bad: int, take: int, u: float) -> int:
+    """The quantile ``u`` of the hypergeometric distribution beyond the generator's range, by the ratios of neighbouring probabilities
+    over all values within 12 standard deviations of the mode; the rest has a probability below 1e-30."""
+    low, high = max(0, take - bad), min(good, take)
+    total = good + bad
+    if low == high:
+        return low
+    mode = min(max((good + 1) * (take + 1) // (total + 2), low), high)
+    share = take / total
+    reach = int(12 * (share * (1 - share) * good * (bad / total) * total / max(total - 1, 1)) ** 0.5) + 60
+    a, b = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(a, b, dtype=np.float64)  # the step from k to k + 1
+    steps = np.log(good - k) + np.log(take - k) - np.log(k + 1) - np.log(bad - take + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return a + min(int(np.searchsorted(below, u * below[-1], side="right")), b - a)
+
+
 def shard_counts(slots: np.ndarray, shard: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before this shard, slots of each source in it): the same for every caller."""
     before, own = np.zeros(len(slots), np.int64), np.asarray(slots, np.int64)
@@ -74,11 +114,7 @@ def shard_counts(slots: np.ndarray, shard: int, size: int, seed: int) -> tuple[n
     while high - low > 1:
         mid = (low + high) // 2
         take = min((mid - low) * size, int(own.sum()))
-        if own.sum() < 900_000_000:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(own, take, method="marginals")
-        else:  # beyond the generator's range the shares are simply halved
-            left = np.floor(own * (take / own.sum())).astype(np.int64)
-            left[np.argsort(left - own * (take / own.sum()), kind="stable")[: take - left.sum()]] += 1
+        left = hypergeometric(own, take, seed, low, high)
         if shard < mid:
             own, high = left, mid
         else:
@@ -128,15 +164,15 @@ def slot_table(spark, plan: pd.DataFrame, *, shard: int = SHARD, seed: int = 8)
     return spark.range(shards).mapInPandas(draw, "shard long, slot int, source string, repeat_no int, block_no long")
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, block: int = BLOCK, shard: int = SHARD, seed: int = 8) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, block: int = BLOCK, shard: int = SHARD, seed: int = 8, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture(shard, slot, source, repeat_no, block_no, n_tokens, first_doc, ids), shares(source, target_share, max_repeats,
     source_tokens, mixed_tokens, actual_share, uses)). Empty inputs give an empty mixture. A source without texts keeps its row in the
-    shares, with 0 tokens; its share then falls to the others in proportion."""
+    shares, with 0 tokens; its share then falls to the others in proportion. ``total`` is as in ``quotas``."""
     spark = documents.sparkSession
     blocks = cut(pack(documents, targets, path=path, block=block, seed=seed))
     sizes = blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("tokens"))
     asked = targets.select("source", "target_share", "max_repeats").toPandas()
-    plan = quotas(asked, {r["source"]: (r["n"], r["tokens"]) for r in sizes.collect()})
+    plan = quotas(asked, {r["source"]: (r["n"], r["tokens"]) for r in sizes.collect()}, total)
     slots = slot_table(spark, plan, shard=shard, seed=seed)
     mixture = slots.join(blocks.hint("merge"), ["source", "block_no"]).select("shard", "slot", "source", "repeat_no", "block_no", F.size("ids").alias("n_tokens"), "first_doc", "ids")
     light = slots.join(blocks.select("source", "block_no", F.size("ids").alias("n")).hint("merge"), ["source", "block_no"]).groupBy("source").agg(F.sum("n").alias("mixed"), F.max("repeat_no").alias("uses"))

@@ -77,3 +77,26 @@ def test_mixture(spark):
 def test_quotas_respect_caps():
     plan = mixing.quotas(pd.DataFrame({"source": ["a", "b"], "target_share": [0.9, 0.1], "max_repeats": [1, 5]}), {"a": (10, 100), "b": (10, 100)})
     assert dict(zip(plan["source"], plan["slots"])) == {"a": 10, "b": 1}
+
+
+def test_a_small_source_bounds_only_its_own_share():
+    targets = pd.DataFrame({"source": ["a", "b"], "target_share": [0.95, 0.05], "max_repeats": [2, 2]})
+    sizes = {"a": (1000, 10_000), "b": (1, 10)}
+    slots = lambda **p: dict(zip(*mixing.quotas(targets, sizes, **p)[["source", "slots"]].to_numpy().T, strict=True))
+    assert slots() == {"a": 38, "b": 2} and slots(total=10_000) == {"a": 950, "b": 2} and slots(total=10**9) == {"a": 2000, "b": 2}
+
+
+def test_large_draws_are_hypergeometric():
+    counts = np.array([400_000_000, 500_000_000, 0, 100_000_000])
+    drawn = np.array([mixing.hypergeometric(counts, 300_000_000, k) for k in range(60)])
+    assert (drawn.sum(axis=1) == 300_000_000).all() and (drawn <= counts).all() and not drawn[:, 2].any()
+    share = counts / counts.sum()
+    sd = np.sqrt(300_000_000 * share * (1 - share) * 0.7)[[0, 1, 3]]
+    z = (drawn - 300_000_000 * share)[:, [0, 1, 3]] / sd
+    assert (abs(z.mean(axis=0)) < 0.6).all() and ((z.std(axis=0) > 0.7) & (z.std(axis=0) < 1.3)).all()
+    small = [mixing._large_marginal(5, 7, 6, u) for u in (np.arange(2000) + 0.5) / 2000]
+    want = np.random.default_rng(1).hypergeometric(5, 7, 6, 200_000)
+    assert np.bincount(small, minlength=6) / 2000 == pytest.approx(np.bincount(want, minlength=6) / 200_000, abs=0.005)
+    slots = np.array([1_500_000_000, 7, 900_000_000])
+    first, second = (mixing.shard_counts(slots, k, 10**9, 8) for k in (0, 1))
+    assert first[1].sum() == 10**9 and (first[0] + first[1] == second[0]).all()

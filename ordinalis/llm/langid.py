@@ -28,6 +28,8 @@ SAMPLE = 6000
 BETWEEN, INSIDE, MIN_CHARS = 4.0, 14.0, 20
 #: What the words of a stretch must add up to in favour of its language.
 EVIDENCE = 3.0
+#: Words of the shortest sentence in Latin script that can stand between two of another script.
+SENTENCE = 4
 
 # Frequent function words that anchor the fit where labels are few or wrong.
 ANCHORS = {
@@ -36,6 +38,8 @@ ANCHORS = {
     "de": "der die das und ist ein eine einen einem einer mit von für nicht wir sie er es ihr ihre im am auf den dem des hat haben sucht bitte sehr aus zu zum zur nach bei wegen noch schon nur auch wird werden kann sich seit".split(),
 }
 
+FUNCTION = frozenset().union(*ANCHORS.values())
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _STOPS = re.compile(r"[.!?。！？…]+(?=\s|$|[^\x00-\x7f])|\n|<br>|[。！？]")
 _NOISE = re.compile(r"<[^<>]*>|https?://\S+|www\.\S+|[@#]\w+|\S*\d\S*|&\w+;")
@@ -108,6 +112,26 @@ def emissions(word: str, script: str, scores: WordScores) -> tuple[float, ...]:
     return tuple(0.0 if lang == script else cost for lang in LANGS)
 
 
+def _whole_sentences(text: str, words: list[tuple[int, int, str, str, bool]], rows: list[tuple[float, ...]]) -> None:
+    """Raise the evidence of sentences wholly in one script, so that one between two of another language can be a stretch.
+
+    A Chinese one counts all its characters. One in Latin script counts as much as two switches cost, if it has at least SENTENCE words,
+    a function word among them, and no blanked detail: contact lines and addresses are no sentences.
+    """
+    starts = [0, *(k for k in range(1, len(words)) if words[k][4]), len(words)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        script = words[a][3]
+        if any(w[3] != script for w in words[a:b]):
+            continue
+        if script == "zh":
+            rows[a:b] = [tuple(0.0 if lang == "zh" else -1.5 * len(w[2]) for lang in LANGS) for w in words[a:b]]
+        elif script == "latin" and b - a >= SENTENCE and any(w[2] in FUNCTION for w in words[a:b]):
+            ends = [*(w[0] for w in words[a + 1 : b]), words[b][0] if b < len(words) else len(text)]
+            if not any(c.isalnum() for w, end in zip(words[a:b], ends, strict=True) for c in text[w[1] : end]):
+                cost = min(-1.2, -(2 * BETWEEN + 1) / (b - a))
+                rows[a:b] = [(en, ms, cost, cost, de) for en, ms, _, _, de in rows[a:b]]
+
+
 def _absorb(path: list[int], rows: list[tuple[float, ...]]) -> None:
     """Stretches with too little of their own language are no stretches: they join the one before, or else the one after."""
     edges = [0, *(k for k in range(1, len(path)) if path[k] != path[k - 1]), len(path)]
@@ -125,6 +149,7 @@ def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, flo
     if not words:
         return []
     rows = [emissions(w, script, scores) for _, _, w, script, _ in words]
+    _whole_sentences(text, words, rows)
     now = list(rows[0])
     back: list[list[int]] = []
     states = range(len(LANGS))

@@ -28,3 +28,8 @@ def test_found(spark):
     z = lambda s: s.rjust(9, "0")
     assert got == [(z("aa"), 1, "zh"), (z("ab"), 1, "en"), (z("ab"), 2, "zh"), (z("ac"), 1, "en"), (z("ad"), 1, "en")]
     assert langid.found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [(f"{EN[0]} 它最喜欢吃新鲜的鸡肉。 {EN[1]}", ["en", "zh", "en"]), (f"{ZH} She is very friendly. {ZH}", ["zh", "en", "zh"]), (f"{EN[0]} 小花 {EN[1]}", ["en"]), (f"{ZH} Kampung Lupu Taman Sri. {ZH}", ["zh"]), (f"{ZH} Please call us at 016-107 5658. {ZH}", ["zh"])])
+def test_whole_sentences_in_the_middle(scores, text, want):
+    assert [s[2] for s in langid.spans(text, scores)] == want

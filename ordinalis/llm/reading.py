@@ -18,9 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ordinalis.llm.langid import WordScores, fit_on
+from ordinalis.session import cut
 
-#: Most graded documents used for the fit, fixed size of the table of corpus counts, shortest text in words, least share of English.
-GRADED, BUCKETS, MIN_WORDS, ENGLISH = 12_000, 1 << 16, 40, 0.85
+#: Most graded documents used for the fit, words a task counts before it passes them on, shortest text in words, least share of English.
+GRADED, HELD, MIN_WORDS, ENGLISH = 12_000, 200_000, 40, 0.85
 
 #: A sentence counts as foreign only if its words prefer another language by more than this.
 SLACK = 2.0
@@ -36,8 +37,23 @@ _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|<br>")
 
 
-def bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+class Rarity:
+    """Minus the log share of a word in the corpus, from exact counts by 64-bit hash. A word that is not listed stands there once."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.whole = hashes[order], counts[order], total + 0.5 * max(distinct, 1)
+
+    def __call__(self, word: str) -> float:
+        h = hashed(word)
+        at = int(np.searchsorted(self.hashes, h))
+        n = self.counts[at] if at < len(self.hashes) and self.hashes[at] == h else 1
+        return -float(np.log((n + 0.5) / self.whole))
+
+
+def hashed(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def english_share(text: str, scores: WordScores) -> float:
@@ -60,13 +76,13 @@ def english_share(text: str, scores: WordScores) -> float:
 class WordFacts:
     """Per word: length, rarity, syllables and the lists it stands on; remembered for up to a fixed number of words."""
 
-    def __init__(self, rarity: np.ndarray, most: int = 200_000) -> None:
+    def __init__(self, rarity: Rarity, most: int = 200_000) -> None:
         self.rarity, self.most, self.known = rarity, most, {}
 
     def __call__(self, word: str) -> tuple[float, ...]:
         facts = self.known.get(word)
         if facts is None:
-            facts = (len(word), float(self.rarity[bucket(word)]), len(_VOWELS.findall(word)), word in CONNECTIVES, word in HARD_CONNECTIVES, word in SUBORDINATORS, word in PERSONS)
+            facts = (len(word), self.rarity(word), len(_VOWELS.findall(word)), word in CONNECTIVES, word in HARD_CONNECTIVES, word in SUBORDINATORS, word in PERSONS)
             if len(self.known) < self.most:
                 self.known[word] = facts
         return facts
@@ -158,28 +174,25 @@ class OrdinalModel:
         return 1 + np.searchsorted(self.cuts, self.score(x)).astype(np.int32)
 
 
-def corpus_rarity(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Minus the log share of every word bucket in all documents; the table has BUCKETS entries however large the corpus."""
+def corpus_rarity(documents: DataFrame, text: str = "text") -> Rarity:
+    """Exact counts of the words of all documents; those that stand twice or more reach the driver, 16 bytes each."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        known: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        part = lambda: pd.DataFrame({"h": np.array([hashed(w) for w in seen], np.int64), "n": np.array(list(seen.values()), np.int64)})
         for batch in batches:
             for t in batch["txt"]:
                 for w in _WORD.findall(t.lower()):
-                    b = known.get(w)
-                    if b is None:
-                        b = bucket(w)
-                        if len(known) < 200_000:
-                            known[w] = b
-                    total[b] += 1
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"b": used, "n": total[used]})
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) >= HELD:
+                    yield part()
+                    seen.clear()
+        yield part()
 
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("txt")).mapInPandas(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS)
-    counts[rows["b"].to_numpy(np.int64)] = rows["n"]
-    return -np.log((counts + 0.5) / (counts.sum() + 0.5 * BUCKETS))
+    rows = cut(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("txt")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total, distinct = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    often = rows.where("n > 1").toPandas()
+    return Rarity(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total, distinct)
 
 
 def graded_sample(documents: DataFrame, labels: DataFrame, sample: int = GRADED) -> pd.DataFrame:
@@ -190,7 +203,7 @@ def graded_sample(documents: DataFrame, labels: DataFrame, sample: int = GRADED)
     return documents.where("text is not null").join(F.broadcast(graded), "doc_id").select("doc_id", "text", "band", "n").toPandas().sort_values("doc_id")
 
 
-def fit(graded: pd.DataFrame, rarity: np.ndarray, scores: WordScores) -> OrdinalModel:
+def fit(graded: pd.DataFrame, rarity: Rarity, scores: WordScores) -> OrdinalModel:
     use = graded[[len(_TOKEN.findall(t)) >= MIN_WORDS and english_share(t, scores) >= ENGLISH for t in graded["text"]]]
     facts = WordFacts(rarity)
     if len(use) < 8:

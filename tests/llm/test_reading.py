@@ -40,3 +40,13 @@ def test_empty_inputs(spark):
     documents, labels = corpus(spark)
     assert reading.reading_levels(documents.limit(0), labels).count() == 0
     assert reading.reading_levels(documents, labels.limit(0)).count() > 0
+
+
+def test_rarity_is_exact_with_many_words(spark):
+    letters = "abcdefghij"
+    rare = ["r" + "".join(letters[int(d)] for d in f"{k:06}") for k in range(150_000)]
+    rows = [(" ".join(rare[k : k + 1000]),) for k in range(0, len(rare), 1000)] + [("common " * 1000,)] * 100 + [("twice twice",), (None,)]
+    rarity = reading.corpus_rarity(spark.createDataFrame(rows, "text string"))
+    whole = 250_002 + 0.5 * 150_002
+    for word, n in [("common", 100_000), ("twice", 2), *((w, 1) for w in rare[::5000])]:
+        assert abs(rarity(word) + np.log((n + 0.5) / whole)) < 1e-9

@@ -25,3 +25,15 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, n_rows:
     known = table.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left_semi")
     warm = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(known), F.col(key) == F.col("__key"), how)
     return cold.unionByName(warm).drop("__key")
+
+
+#: Most rows of keys that are broadcast; they are counted first.
+SMALL_ROWS = 100_000
+
+
+def rows_of(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``keys`` (one materialised column without repeats): by a broadcast up to a counted size, so
+    ``rows`` stay where they are, and by a shuffle join beyond it."""
+    named = keys.toDF("__key")
+    few = keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(named) if few else named.hint("merge"), F.col(key) == F.col("__key"), "left_semi")

@@ -2,13 +2,17 @@
 
 Plain banding with ``m * m`` tables needs ``m * m`` independent bands of minhashes. Here two collections of ``m`` small bands are made
 and every table's key combines one band of the first with one of the second: ``2 * m`` bands give ``m * m`` tables. A pair of
-similarity s falls together in some table with probability ``(1 - (1 - s ** r) ** m) ** 2`` (r minhashes to a band): 0.994 at 0.5 and
-0.9997 at 0.6 with the defaults, and unrelated pairs do so at a rate of s ** (2 r). Candidates
-whose 128-bit sketches are close are verified exactly on their shingle sets.
+similarity s falls together in some table with probability ``(1 - (1 - s ** r) ** m) ** 2`` (r minhashes to a band). ``bands`` takes r and
+m from the threshold, so that a pair at it is missed with a probability of at most ``MISS``; pairs above it are missed less.
+
+No table is written out. Two texts stand in one cell of some table if they agree in a band of the first collection and in one of the
+second; so a text goes to the buckets of its ``m`` first bands only, with its second bands beside it, and the second agreement is
+looked up where two texts meet. Pairs of close sketches are verified exactly on their shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +22,27 @@ from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
 from ordinalis.llm.hooking import connected_components
+from ordinalis.operators.lookup import rows_of
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
-#: Bands in each collection, and minhashes in a band.
-BANDS, ROWS = 20, 2
+#: Accepted probability to miss a pair at the threshold, and the most bands of a collection.
+MISS, MOST_BANDS = 1e-3, 32
+
+
+def bands(threshold: float, miss: float = MISS, most: int = MOST_BANDS) -> tuple[int, int]:
+    """(bands of a collection, minhashes to a band): the longest bands, so the fewest chance meetings, that need at most ``most``."""
+    need = lambda depth: math.ceil(math.log(1 - math.sqrt(1 - miss)) / math.log(1 - threshold**depth)) if threshold < 1 else 1
+    depth = 1
+    while depth < 16 and need(depth + 1) <= most:
+        depth += 1
+    return need(depth), depth
 
 
-def prepare(rows: DataFrame, key: str, text: str, *, run: int = S.RUN, min_words: int = S.MIN_WORDS, bands: int = BANDS, depth: int = ROWS) -> DataFrame:
-    """(rec, cls, shingles, s1, s2, left, right) of every text with at least ``min_words`` words; cls names the set of its shingles."""
-    multipliers, bits = S.seeds(2 * bands * depth, 4), S.seeds(S.SKETCH, 3)
+def prepare(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, *, run: int = S.RUN, min_words: int = S.MIN_WORDS) -> DataFrame:
+    """(rec, cls, shingles, s1, ..., first, second) of every text with at least ``min_words`` words; cls names its set of shingles."""
+    m, depth = bands(threshold)
+    multipliers, bits = S.seeds(2 * m * depth, 4), S.seeds(S.SKETCH, 3)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -38,35 +53,41 @@ def prepare(rows: DataFrame, key: str, text: str, *, run: int = S.RUN, min_words
                     if len(tokens) < max(min_words, run):
                         continue
                     sh = S.shingle_set(S.word_hashes(tokens), run)
-                    out.append((rec, S.signed(S.mix(np.array([sh.sum(dtype=np.uint64) + np.uint64(len(sh))])))[0], S.signed(sh), *S.sketch(sh, bits), *S.band_values(sh, multipliers, bands, depth)))
-            yield pd.DataFrame(out, columns=["rec", "cls", "shingles", "s1", "s2", "left", "right"])
+                    first, second = S.band_values(sh, multipliers, m, depth)
+                    out.append((rec, S.class_of(sh), S.signed(sh), *S.sketch(sh, bits), first, second.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["rec", "cls", "shingles", *S.SKETCH_COLUMNS, "first", "second"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, f"rec {kind}, cls long, shingles array<long>, s1 long, s2 long, left array<long>, right array<long>")
+    schema = f"rec {kind}, cls binary, shingles array<long>, {', '.join(f'{c} long' for c in S.SKETCH_COLUMNS)}, first array<long>, second array<int>"
+    return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, schema)
 
 
-def table_cells(classes: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the cell of every table that the bands left and right put a class into."""
-    half = classes.select(*keep, F.posexplode("left").alias("i", "a"), "right")
-    return half.select(*keep, "i", "a", F.posexplode("right").alias("j", "b")).select(*keep, F.xxhash64("i", "a", "j", "b").alias("cell"))
+def meeting(classes: DataFrame, threshold: float) -> DataFrame:
+    """(c1, c2) of the classes that share a cell of some table; ``classes`` has cls, the sketch, first and second."""
+    buckets = classes.select("cls", *S.SKETCH_COLUMNS, "second", F.posexplode("first").alias("i", "a")).select("cls", *S.SKETCH_COLUMNS, "second", F.xxhash64("i", "a").alias("bucket"))
+    side = lambda c, mark: buckets.select("bucket", F.col("cls").alias(c), F.col("second").alias(f"{mark}second"), *(F.col(s).alias(f"{mark}{s}") for s in S.SKETCH_COLUMNS))
+    met = side("c1", "x").hint("merge").join(side("c2", "y"), "bucket")
+    cell = F.exists(F.zip_with("xsecond", "ysecond", lambda x, y: x == y), lambda same: same)
+    return met.where((F.col("c1") < F.col("c2")) & S.close("x", "y", threshold) & cell).select("c1", "c2").distinct()
 
 
 def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members(rec, cls), pairs(c1, c2, similarity)): texts with one shingle set are one class, so copies cost nothing further."""
     prepared = cut(prepared)
     members = prepared.select("rec", "cls").distinct()
-    classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "left", "right")))
-    tables = table_cells(classes, "cls", "s1", "s2")
-    one = tables.select("cell", F.col("cls").alias("c1"), F.col("s1").alias("x1"), F.col("s2").alias("x2")).hint("merge")
-    two = tables.select("cell", F.col("cls").alias("c2"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= S.MOST_BITS
-    candidates = one.join(two, "cell").where((F.col("c1") < F.col("c2")) & near).select("c1", "c2").distinct()
-    sets = prepared.groupBy("cls").agg(F.first("shingles").alias("s"))
-    both = candidates.join(sets.select(F.col("cls").alias("c1"), F.col("s").alias("s1")).hint("merge"), "c1").where(F.size("s1") > 0).join(sets.select(F.col("cls").alias("c2"), F.col("s").alias("s2")).hint("merge"), "c2")
-    shared = F.size(F.array_intersect("s1", "s2"))
-    both = both.where((F.least(F.size("s1"), F.size("s2")) >= threshold * F.greatest(F.size("s1"), F.size("s2"))))
-    scored = both.select("c1", "c2", shared.alias("n"), (F.size("s1") + F.size("s2")).alias("m")).select("c1", "c2", (F.col("n") / (F.col("m") - F.col("n"))).alias("similarity"))
-    return members, cut(scored.where(F.col("similarity") >= threshold))
+    classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "first", "second")))
+    met = cut(meeting(cut(classes), threshold))
+    asked = cut(met.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct())
+    sets = rows_of(prepared.select("cls", "shingles"), "cls", asked).groupBy("cls").agg(F.first("shingles").alias("s"))
+    both = met.join(sets.select(F.col("cls").alias("c1"), F.col("s").alias("a")).hint("merge"), "c1").join(sets.select(F.col("cls").alias("c2"), F.col("s").alias("b")).hint("merge"), "c2")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            alike = [S.similarity(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)]
+            made = pd.DataFrame({"c1": batch["c1"], "c2": batch["c2"], "similarity": np.array(alike, float)})
+            yield made[made["similarity"] >= threshold]
+
+    return members, cut(both.mapInPandas(verify, "c1 binary, c2 binary, similarity double"))
 
 
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, **parameters) -> DataFrame:
@@ -75,7 +96,7 @@ def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILA
     Rows with a null key or text, and texts under ``min_words`` words, have no pairs; repeated rows count once; a key with several
     texts pairs by any of them and never with itself. Empty input gives no rows.
     """
-    members, pairs = class_pairs(prepare(rows, key, text, **parameters), threshold)
+    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold)
     left = members.select(F.col("rec").alias("x"), F.col("cls").alias("c1"))
     right = members.select(F.col("rec").alias("y"), F.col("cls").alias("c2"))
     across = pairs.select("c1", "c2").join(left, "c1").join(right, "c2").select("x", "y")
@@ -86,7 +107,7 @@ def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILA
 def near_groups(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, **parameters) -> DataFrame:
     """(rec, group_key, n_links): one row per text that takes part; group_key is the smallest key linked to it directly or through
     others, n_links the number of other keys with a similar text. Copies are never expanded into pairs."""
-    members, pairs = class_pairs(prepare(rows, key, text, **parameters), threshold)
+    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold)
     members = cut(members)
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("rec").alias("least"))
     ends = pairs.select(F.col("c1").alias("cls"), F.col("c2").alias("other")).unionByName(pairs.select(F.col("c2").alias("cls"), F.col("c1").alias("other")))

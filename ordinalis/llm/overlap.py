@@ -1,11 +1,14 @@
 """Problem 3: records of the evaluation split that also stand in the training split, by winnowing fingerprints.
 
-Every text is reduced to the minima of a rolling hash over windows of word runs: two texts that share a run of ``GRAM + WINDOW - 1``
-words share a fingerprint. A fingerprint with more than ``COMMON`` occurrences is not dropped but replaced, at the same place, by one
-twice as long, until it is rare or ``LENGTHS`` ends. The fingerprints only serve as seeds of the alignment, since texts with evenly
-spread edits or of a large group of rewrites may share none. Whether two texts meet rests on the prefix filter, which is exact: of two
-texts of similarity ``t`` each has one of the other's shingles among its ``n - ceil(t * n) + 1`` rarest. Pairs of close sketches are
-checked exactly on their shingle sets; their seeds are chained collinearly, extended word by word and turned into coverage.
+Every text is reduced to the minima of a rolling hash of its runs of words over windows of such runs, its fingerprints. Two texts that
+share ``RUN + WINDOW - 1`` words in a row share one, and a pair at the threshold shares far more: in simulations of evenly spread and
+random substitutions, insertions, deletions and moved blocks at similarity 0.5 never less than 0.37 of the fingerprints of the larger
+text, where ``shared_part`` asks for 0.25. Whoever shares ``r`` of them also shares one that is not among the ``r - 1`` most frequent, so
+those of each text (by the exact number of join rows a fingerprint makes) need no place in the join. What frequent phrases cost is
+thus bounded by how rare a text's own part is, and no fingerprint is dropped for standing anywhere too often.
+
+The fingerprints of the pairs that met are matched, chained collinearly and extended word by word. If the aligned stretches hold
+enough common shingles the pair is found; else, as for texts in another order, the shingle sets decide. The stretches give the coverage.
 """
 
 from __future__ import annotations
@@ -15,21 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
+from ordinalis.operators.lookup import HOT_ROWS, lookup, rows_of
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
-GRAM, WINDOW, COMMON = 8, 4, 200
-#: Lengths of the fingerprint at one place, from the first to the longest.
-LENGTHS = (8, 16, 32, 64)
+#: Runs in a window.
+WINDOW = 4
+
+
+def shared_part(threshold: float) -> float:
+    """The part of a text's fingerprints that a pair at ``threshold`` has in common at least."""
+    return threshold / 2
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
-    """(split, rec, source, cls, tokens, shingles, s1, s2, at, g8, g16, ...) of each row (split, rec, source, text) with at least ``min_words`` words."""
+    """(split, rec, source, cls, n_prints, s1, ..., tokens, prints) of each row (split, rec, source, text) with at least ``min_words``
+    words; cls names the sequence of words."""
     multipliers = S.seeds(S.SKETCH, 3)
+    names = ["split", "rec", "source", "cls", *S.SKETCH_COLUMNS, "tokens", "prints"]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -40,63 +50,42 @@ def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
                     if len(tokens) < max(min_words, S.RUN):
                         continue
                     h = S.word_hashes(tokens)
-                    sh = S.shingle_set(h)
-                    at = S.winnow(S.rolling(h, min(GRAM, len(h))), WINDOW)
-                    cls = S.signed(S.rolling(h, len(h)))[0]
-                    out.append((split, rec, source, cls, S.signed(h), S.signed(sh), *S.sketch(sh, multipliers), at.astype(np.int64), *(S.signed(S.rolling(h, n, at)) for n in LENGTHS)))
+                    runs = S.rolling(h, S.RUN)
+                    out.append((split, rec, source, S.class_of(h), *S.sketch(np.unique(runs), multipliers), S.signed(h), S.signed(np.unique(runs[S.winnow(runs, WINDOW)]))))
             yield pd.DataFrame(out, columns=names)
 
-    grams = [f"g{n}" for n in LENGTHS]
-    names = ["split", "rec", "source", "cls", "tokens", "shingles", "s1", "s2", "at", *grams]
-    schema = "split string, rec string, source string, cls long, tokens array<long>, shingles array<long>, s1 long, s2 long, at array<long>, " + ", ".join(f"{g} array<long>" for g in grams)
+    schema = f"split string, rec string, source string, cls binary, {', '.join(f'{c} long' for c in S.SKETCH_COLUMNS)}, tokens array<long>, prints array<long>"
     return rows.select("split", "rec", "source", "text").where("rec is not null and text is not null").mapInPandas(make, schema)
 
 
-def rare_prints(prints: DataFrame, common: int = COMMON) -> DataFrame:
-    """(cls, ..., at, level, key): every fingerprint at the first length at which it has at most ``common`` occurrences."""
-    kept, rest = None, prints
-    for level, n in enumerate(LENGTHS):
-        name = f"g{n}"
-        here = lambda df, level=level, name=name: df.withColumn("level", F.lit(level)).withColumn("key", F.col(name)).drop(*(f"g{m}" for m in LENGTHS))
-        if level == len(LENGTHS) - 1:
-            return kept.unionByName(here(rest))
-        often = rest.groupBy(name).count().where(F.col("count") > common).select(F.col(name).alias("often"))
-        rare = here(rest.join(often, F.col(name) == F.col("often"), "left_anti"))
-        kept = rare if kept is None else kept.unionByName(rare)
-        rest = rest.join(often, F.col(name) == F.col("often"), "left_semi")
-    raise AssertionError
-
-
-def by_prefix(bags: DataFrame, threshold: float) -> DataFrame:
-    """(train_cls, test_cls) of all classes that may reach ``threshold``; ``bags`` has cls, in_train, in_test, s1, s2 and shingles.
-
-    Shingles are ordered by the join rows they make, so those of one split alone come first and need no place in the join.
-    """
-    flat = bags.select("cls", "in_train", "in_test", F.explode("shingles").alias("key"))
+def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(train_cls, test_cls) of the classes of both splits that share a fingerprint; ``classes`` has cls, in_train, in_test, prints and
+    the sketch. Fingerprints of one split alone come into no join at all."""
+    flat = classes.select("cls", "in_train", "in_test", F.size("prints").alias("size"), F.explode("prints").alias("print"))
     count = lambda side: F.sum(F.col(side).cast("long"))
-    weights = flat.groupBy("key").agg((count("in_train") * count("in_test")).alias("weight")).where("weight > 0")
-    ordered = flat.select("cls", "key").join(weights.hint("merge"), "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("weight", "key"))).alias("ordered"))
-    least = F.ceil(F.col("n") * threshold - 1e-9)
-    prefix = F.slice("ordered", 1, F.greatest(F.lit(0), F.size("ordered") - least + 1).cast("int"))
-    sized = bags.select("cls", "in_train", "in_test", "s1", "s2", F.size("shingles").alias("n"))
-    keys = cut(sized.join(ordered.hint("merge"), "cls").select("cls", "in_train", "in_test", "s1", "s2", "n", F.explode(prefix["key"]).alias("key")))
-    train = keys.where("in_train").select("key", F.col("cls").alias("train_cls"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"))
-    test = keys.where("in_test").select("key", F.col("cls").alias("test_cls"), F.col("s1").alias("u1"), F.col("s2").alias("u2"), "n")
-    fits = F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9
-    return train.hint("merge").join(test, "key").where((F.col("train_cls") != F.col("test_cls")) & fits & _near()).select("train_cls", "test_cls").distinct()
-
-
-def _near() -> Column:
-    return F.bit_count(F.col("t1").bitwiseXOR(F.col("u1"))) + F.bit_count(F.col("t2").bitwiseXOR(F.col("u2"))) <= S.MOST_BITS
-
-
-def shared_places(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Seeds of a pair that met without any: the places of runs of words that stand once in each text."""
-    with np.errstate(over="ignore"):
-        x, y = (S.rolling(np.asarray(t, np.int64).view(np.uint64), S.RUN) for t in (a, b))
-    (vx, ix, nx), (vy, iy, ny) = (np.unique(v, return_index=True, return_counts=True) for v in (x, y))
-    _, i, j = np.intersect1d(vx[nx == 1], vy[ny == 1], assume_unique=True, return_indices=True)
-    return list(zip(ix[nx == 1][i].tolist(), iy[ny == 1][j].tolist(), strict=True))
+    weights = flat.groupBy("print").agg((count("in_train") * count("in_test")).alias("weight")).where("weight > 0")
+    n = classes.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
+    both = lookup(flat.select("cls", "size", "print"), "print", weights, "print", n, how="inner", hot_rows=hot_rows)
+    ordered = both.groupBy("cls").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("weight", "print"))).alias("o"))
+    least = F.ceil(F.col("size") * shared_part(threshold) - 1e-9)
+    kept = F.slice("o", 1, F.greatest(F.lit(0), F.size("o") - least + 1).cast("int"))["print"]
+    keys = classes.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS).join(ordered.select("cls", kept.alias("kept")).hint("merge"), "cls")
+    keys = cut(keys.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS, F.explode("kept").alias("print")))
+    side = lambda split, mark: keys.where(f"in_{split}").select("print", F.col("cls").alias(f"{split}_cls"), *(F.col(c).alias(f"{mark}{c}") for c in S.SKETCH_COLUMNS))
+    met = side("train", "t").hint("merge").join(side("test", "e"), "print")
+    return met.where((F.col("train_cls") != F.col("test_cls")) & S.close("t", "e", threshold)).select("train_cls", "test_cls").distinct()
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The places at which a fingerprint of both texts stands; of one that stands several times in a text, its first place."""
+    found = []
+    for t in (a, b):
+        runs = S.rolling(t, S.RUN)
+        at = S.winnow(runs, WINDOW)
+        found.append((*np.unique(runs[at], return_index=True), at))
+    (va, ia, at), (vb, ib, bt) = found
+    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    return list(zip(at[ia[i]].tolist(), bt[ib[j]].tolist(), strict=True))
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -139,45 +128,46 @@ def extend(a: np.ndarray, b: np.ndarray, chained: list[tuple[int, int]]) -> list
     return out
 
 
-def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, common: int = COMMON, min_words: int = S.MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, int]:
+    """(similarity, words aligned) of two sequences of word hashes. The similarity is that of the aligned stretches where it reaches the
+    threshold, which is never above the true one, and else the true one."""
+    stretches = extend(a, b, chain(matches(a, b)))
+    sa, sb = S.rolling(a, S.RUN), S.rolling(b, S.RUN)
+    inside = [sa[x : x + n - S.RUN + 1] for x, _, n in stretches if n >= S.RUN]
+    sa, sb = np.unique(sa), np.unique(sb)
+    shared = len(np.unique(np.concatenate(inside))) if inside else 0
+    alike = shared / (len(sa) + len(sb) - shared)
+    return alike if alike >= threshold else S.similarity(sa, sb), sum(n for _, _, n in stretches)
+
+
+def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int = S.MIN_WORDS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members(split, rec, source, cls), pairs(train_cls, test_cls, similarity, train_cover, test_cover)).
 
     ``rows`` has split ('train' or 'test'), rec, source and text. One class holds all records with the same words, so copies are
-    compared once; a class that stands in both splits is a pair with itself. Null and short texts take no part.
+    compared once; a class that stands in both splits is a pair with itself. Null and short texts take no part. ``similarity`` is a
+    lower bound (see ``aligned``).
     """
     prepared = cut(prepare(rows, min_words=min_words))
     members = prepared.select("split", "rec", "source", "cls").distinct()
-    arrays = ["at", *(f"g{n}" for n in LENGTHS)]
-    sides = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in ("s1", "s2", *arrays)))
-    fixed = ("cls", "in_train", "in_test", "s1", "s2")
-    flat = sides.select(*fixed, F.explode(F.arrays_zip(*arrays)).alias("p")).select(*fixed, "p.*")
-    prints = cut(rare_prints(cut(flat), common))
-    train = prints.where("in_train").select("level", "key", F.col("cls").alias("train_cls"), F.col("at").alias("x"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    test = prints.where("in_test").select("level", "key", F.col("cls").alias("test_cls"), F.col("at").alias("y"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
-    met = train.hint("merge").join(test, ["level", "key"]).where((F.col("train_cls") != F.col("test_cls")) & _near())
-    found = met.groupBy("train_cls", "test_cls").agg(F.collect_set(F.struct("x", "y")).alias("seeds"))
-    bags = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in ("s1", "s2", "shingles")))
-    leading = by_prefix(bags, threshold).withColumn("seeds", F.array().cast("array<struct<x:bigint,y:bigint>>"))
-    found = found.unionByName(leading).groupBy("train_cls", "test_cls").agg(F.flatten(F.collect_list("seeds")).alias("seeds"))
-    texts = prepared.groupBy("cls").agg(F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles"))
-    side = lambda split, column, name: texts.select(F.col("cls").alias(f"{split}_cls"), F.col(column).alias(name)).hint("merge")
-    both = found.join(side("train", "shingles", "sa"), "train_cls").join(side("test", "shingles", "sb"), "test_cls")
-    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    alike = both.withColumn("similarity", shared / (total - shared)).where(F.col("similarity") >= threshold).drop("sa", "sb")
-    pairs = alike.join(side("train", "tokens", "a"), "train_cls").join(side("test", "tokens", "b"), "test_cls")
+    classes = cut(prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "prints"))))
+    met = cut(meeting(classes, threshold, hot_rows=hot_rows))
+    asked = cut(met.select(F.explode(F.array("train_cls", "test_cls")).alias("cls")).distinct())
+    texts = rows_of(prepared.select("cls", "tokens"), "cls", asked).groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    pairs = met.join(texts.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(texts.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for p, q, seeds, alike, a, b in batch[["train_cls", "test_cls", "seeds", "similarity", "a", "b"]].itertuples(index=False):
-                places = [(s["x"], s["y"]) for s in seeds] or shared_places(a, b)
-                covered = sum(n for _, _, n in extend(np.asarray(a), np.asarray(b), chain(places)))
-                out.append((p, q, alike, covered / len(a), covered / len(b)))
+            with np.errstate(over="ignore"):
+                for p, q, a, b in batch[["train_cls", "test_cls", "a", "b"]].itertuples(index=False):
+                    alike, n = aligned(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), threshold)
+                    if alike >= threshold:
+                        out.append((p, q, alike, n / len(a), n / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])
 
-    aligned = pairs.mapInPandas(align, "train_cls long, test_cls long, similarity double, train_cover double, test_cover double")
-    same = sides.where("in_train and in_test").select(F.col("cls").alias("train_cls"), F.col("cls").alias("test_cls"), *(F.lit(1.0).alias(c) for c in ("similarity", "train_cover", "test_cover")))
-    return members, cut(aligned.unionByName(same))
+    near = pairs.mapInPandas(align, "train_cls binary, test_cls binary, similarity double, train_cover double, test_cover double")
+    same = classes.where("in_train and in_test").select(F.col("cls").alias("train_cls"), F.col("cls").alias("test_cls"), *(F.lit(1.0).alias(c) for c in ("similarity", "train_cover", "test_cover")))
+    return members, cut(near.unionByName(same))
 
 
 def listing_rows(train: DataFrame, test: DataFrame) -> DataFrame:

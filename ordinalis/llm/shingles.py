@@ -6,10 +6,13 @@ a run of consecutive words. Texts with fewer words than an operator asks for, nu
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The similarity the project's problems 3 and 4 use: runs of three words, at least 40 words, half in common.
 RUN, MIN_WORDS, SIMILARITY = 3, 40, 0.5
@@ -94,18 +97,35 @@ def band_values(shingles: np.ndarray, multipliers: np.ndarray, bands: int, depth
     return signed(band[:bands]), signed(band[bands:])
 
 
-#: Two 64-bit words of one-bit minhashes: of 128 bits a pair of similarity 0.5 has 32 +- 4.9 different, an unrelated one 61 +- 5.6.
-#: MOST_BITS lies four deviations above the former: such a pair is lost with a probability of 2e-5.
-SKETCH, MOST_BITS = 128, 52
+#: One-bit minhashes to a sketch, and the deviations above the mean at which a pair counts as apart.
+SKETCH, DEVIATIONS = 256, 4.5
+SKETCH_COLUMNS = [f"s{k + 1}" for k in range(SKETCH // 64)]
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def sketch(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The low bits of SKETCH minhashes, packed into two signed words."""
+    """The low bits of SKETCH minhashes, packed into signed words."""
     low = (mix(minhash(shingles, multipliers)) & np.uint64(1)).reshape(SKETCH // 64, 64)
     return signed((low * _BIT).sum(axis=1, dtype=np.uint64))
 
 
+def most_bits(threshold: float) -> float:
+    """Different bits up to which a pair may reach ``threshold``: each bit differs with probability (1 - t) / 2, so at the threshold
+    itself a pair is lost with a probability of 3e-6, above it with less."""
+    return SKETCH * (1 - threshold) / 2 + DEVIATIONS * math.sqrt(SKETCH * (1 - threshold**2)) / 2
+
+
+def close(left: str, right: str, threshold: float) -> Column:
+    """Whether the sketches in the columns ``left``s1.. and ``right``s1.. may belong to a pair of similarity ``threshold``."""
+    bits = [F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in SKETCH_COLUMNS]
+    return sum(bits[1:], bits[0]) <= most_bits(threshold)
+
+
+def class_of(values: np.ndarray) -> bytes:
+    """A 128-bit name of a sequence of 64-bit values."""
+    return xxhash.xxh3_128_digest(np.ascontiguousarray(values).tobytes())
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Shared part of two sorted sets without repeats."""
     shared = len(np.intersect1d(a, b, assume_unique=True))

@@ -3,7 +3,8 @@
 A text runs through a chain of small transducers. Each rewrites disguises (full-width and look-alike characters, invisible characters,
 spelled-out digits, letters standing for digits, "at" and "dot") and keeps, for every character it writes, the span of source
 characters it came from. Detection works on the plain form; the spans found are mapped back, so values are exact substrings of the
-source and masking leaves everything else untouched.
+source and masking leaves everything else untouched. Every pattern is linear in the length of the text: words are matched without
+backtracking, and what may stand before a cue is bounded.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from ordinalis.sources.tables import canonical_id
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Characters drawn like Latin letters, and the digit words of English.
+# Characters drawn like Latin letters, and the digit words of English, Malay and German.
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһԛԝьВЕКМНОРСТХАαορνικτΑΒΕΗΙΚΜΝΟΡΤΧΥΖ", "aeopcyxijsdhqwbbekmhopctxaaopviktabehikmnoptxyz")
 INVISIBLE = frozenset("​‌‍⁠﻿­")
 DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+DIGIT_WORDS |= {"oh": "0", "kosong": "0", "sifar": "0", "satu": "1", "dua": "2", "tiga": "3", "empat": "4", "lima": "5", "enam": "6", "tujuh": "7", "lapan": "8", "sembilan": "9"}
+DIGIT_WORDS |= {"null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
 
 
 class Traced:
@@ -94,7 +97,7 @@ _HP_MIXED = re.compile(r"(?<=hp)[+(]?[0-9oil](?:[ .()-]{0,2}[0-9oil]){7,15}(?![a
 _LOCAL = r"[a-z0-9](?:[a-z0-9._+%-]*[a-z0-9])?"
 _AT = r"(?:\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s+@\s+|@)"
 _DOT = r"(?:\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![a-z0-9._+%-])({_LOCAL})({_AT})([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+)")
+_DISGUISED = re.compile(rf"(?<![a-z0-9._+%-])({_LOCAL}(?:\s+dot\s+{_LOCAL}){{0,3}})({_AT})([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+)")
 _ANY_DOT = re.compile(_DOT)
 
 
@@ -109,27 +112,41 @@ def _letters(m: re.Match) -> list | None:
     return [({"o": "0", "i": "1", "l": "1"}.get(c, c), m.start() + k, m.start() + k + 1) for k, c in enumerate(s)]
 
 
-def _at_dot(m: re.Match) -> list | None:
-    at, domain = m.group(2), m.group(3)
-    if at.strip() == "at" and not re.search(r"dot", domain):
-        return None
-    made = [(m.group(1), m.start(1), m.end(1)), ("@", m.start(2), m.end(2))]
-    k = m.start(3)
-    for d in _ANY_DOT.finditer(domain):
-        a, b = m.start(3) + d.start(), m.start(3) + d.end()
+def _dotted(m: re.Match, group: int) -> list:
+    """The pieces of a group with every kind of dot written as one."""
+    made, k = [], m.start(group)
+    for d in _ANY_DOT.finditer(m.group(group)):
+        a, b = m.start(group) + d.start(), m.start(group) + d.end()
         made += [(m.string[k:a], k, a), (".", a, b)]
         k = b
-    return [*made, (m.string[k : m.end()], k, m.end())]
+    return [*made, (m.string[k : m.end(group)], k, m.end(group))]
+
+
+def _at_dot(m: re.Match) -> list | None:
+    if m.group(2).strip() == "at" and "dot" not in m.group(3):
+        return None
+    return [*_dotted(m, 1), ("@", m.start(2), m.end(2)), *_dotted(m, 3)]
 
 
 def deobfuscate(text: str) -> Traced:
     """The whole chain of transducers."""
     t = _plain(text)
-    return t.rewrite(_SPELLED, _digits).rewrite(_MIXED, _letters).rewrite(_HP_MIXED, _letters).rewrite(_DISGUISED, _at_dot)
+    t = t.rewrite(_SPELLED, _digits).rewrite(_MIXED, _letters)
+    if "hp" in t.text:
+        t = t.rewrite(_HP_MIXED, _letters)
+    return t.rewrite(_DISGUISED, _at_dot)
 
 
 _EMAIL = re.compile(rf"(?<![a-z0-9._+%-]){_LOCAL}@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}}(?![a-z0-9])")
-_ID = re.compile(r"(?<![0-9+-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])([- ]?)\d{2}\1\d{4}(?![0-9]|-\d)|(?<![a-z0-9])[a-z]\d{8}(?![a-z0-9])")
+_ID = re.compile(
+    r"(?<![0-9+-])\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])([- ]?)\d{2}\1\d{4}(?![0-9]|-\d)"  # date, place, serial number
+    r"|(?<![a-z0-9])[a-z]\d{8}(?![a-z0-9])"  # passport
+    r"|(?<![0-9+-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![0-9]|-\d)"  # three, two, four digits
+    r"|(?<![a-z0-9])[stfgm]\d{7}[a-z](?![a-z0-9])"  # letter, seven digits, letter
+    r"|(?<![a-z0-9])\d{8}-?[a-z](?![a-z0-9])"  # eight digits, check letter
+    r"|(?<![a-z0-9])[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d](?![a-z0-9])"  # insurance number
+)
+_LABELLED_ID = re.compile(r"\b(?:passport|pasport|nric|identity card|id card|national id|ssn|personalausweis|reisepass)(?: (?:no|number|nr|nombor)\b\.?)?[ :#]{1,3}([a-z]{0,3}\d[a-z0-9-]{4,14}[a-z0-9])(?![a-z0-9])")
 _PHONE = re.compile(
     r"(?<![0-9+/.-])(?:"
     r"\+60[ -]?1?\d[ -]?\d{3,4}[ -]?\d{4}"
@@ -139,10 +156,14 @@ _PHONE = re.compile(
     r"|01\d \d{2} \d{2} \d{3}"
     r"|01\d-\d{5}-\d{2}"
     r"|0\d{8,10}"
+    r"|\+[1-9](?:[ .-]?\(?\d\)?){7,14}"  # any country
+    r"|00[1-9]\d{0,2}[ -](?:[ -]?\d){7,11}"
+    r"|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-.])\d{3}\2\d{4}"
+    r"|0\d{2,4} \d{3,4} \d{3,4}|0\d{3,4}[ /-]\d{6,8}"
     r")(?![0-9]|[-/]\d)"
 )
 _STREET = r"(?:jalan|jln\.?|jl\.?|lorong|lrg\.?|lebuh|persiaran|psn\.?|pangsapuri|apartmen|kondominium)"
-_TAIL_WORD = r"[^\W\d_][\w'-]*"
+_TAIL_WORD = r"[^\W\d_][\w'-]{0,60}+"
 _HOUSE = r"(?:(?:no\.?|lot|unit|blok|block|blk)\s*)?(?:[a-z]-)?\d+[a-z]?(?:-\d+){0,2}"
 _ADDRESS = re.compile(
     rf"(?<![\w/.-]){_HOUSE},?\s+{_STREET}\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?(?:\s\d+/\d+[a-z]?)?"
@@ -150,42 +171,71 @@ _ADDRESS = re.compile(
     rf"|{_STREET}\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?(?:\s\d+/\d+[a-z]?)?,\s*(?:no\.?|lot|unit|blok|block)\s*(?:[a-z]-)?\d+[a-z]?(?:-\d+){{0,2}}"
     r"|[一-鿿]{2}(?:大道|[街路巷])\s?\d+[号號]"
 )
+# Street forms of other countries; they count only where the source has a capital, so that no ordinary word is taken for a street.
+_CAPITAL_ADDRESS = re.compile(
+    rf"(?<![\w/.-])\d{{1,5}}[a-z]?,?\s(?P<a>{_TAIL_WORD})(?:[ ]{_TAIL_WORD})?\s(?:st|rd|ave|blvd|boulevard|square|parade|way)\b"
+    r"|(?<![\w/.-])\d{1,5}(?: (?:bis|ter))?,?\s(?:rue|avenue|boulevard|chemin|impasse|quai|allée)\s(?:de la |de l'|des |de |du |d')?(?P<b>[^\W\d_][\w'-]{0,40}+)(?:[ ][^\W\d_][\w'-]{0,40}+)?"
+    r"|(?<!\w)(?P<c>[^\W\d_]{2,30}(?:straße|strasse|str\.|weg|gasse|platz|allee))\s\d{1,4}[a-z]?(?!\w)"
+    r"|(?<!\w)(?P<d>calle|avenida|plaza|paseo|via|viale|piazza|corso)\s(?:de la |del |de |della )?[^\W\d_][\w'-]{0,40}+(?:[ ][^\W\d_][\w'-]{0,40}+)?,?\s\d{1,4}(?!\w)"
+)
 _STOP = frozenset(
     "whatsapp only saya and at for is are was has have will who runs the a an in on of to di akan yang untuk pada dan ist im in am please pls ring gate near from with or you we she he it i so if my her his our your this that they can may see ask email write call contact photos sie".split()
 )
+_NO_NAME = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december vet clinic shelter tel hp phone mobile email not please our no all any there these those what when where why how then also but".split())
 _PART = r"(?:bin|binti|bte|a/l|a/p|s/o|d/o)"
-_W = r"[a-z][a-z'-]+"
+_W = r"[a-z][a-z'-]{1,40}+"
 _FULL = rf"(?:[a-z]\.\s?(?:{_PART}\s)?{_W}|{_W}(?:\s{_PART})?\s{_W})"
 _TITLED = rf"(?:[a-z]\.\s?{_W}|{_W}(?:(?:\s{_PART})?\s{_W})?)"
 _TITLE = r"(?:mr|mrs|ms|mdm|madam|dr|encik|en\.|puan|pn\.|cik|tuan|frau|herr)\.?"
 _NUMBER = r"[+(]?0[0-9 ().-]{7,17}\d|\+60[0-9 ().-]{7,14}\d|00?6-[0-9-]{9,14}\d"
 _GAP = r"[ \t]*(?:\n|<br>)[ \t]*"
+#: (words of which one must stand in the text, pattern) of the contexts that tell a person's name.
 _NAMES = [
-    re.compile(p)
-    for p in (
-        rf"\b{_TITLE}\s(?P<n>{_TITLED})(?![\w@])",
-        rf"请联系\s*(?P<n>{_TITLED})\s*(?:小姐|先生|女士)",
-        rf"我叫\s*(?P<n>{_FULL})(?![\w@])",
-        rf"தொடர்புக்கு\s*(?P<n>{_TITLED})\s*அவர்கள்",
-        rf"\b(?:my name is|nama saya|ich heiße|ask for|on behalf of)\s(?P<n>{_FULL})(?![\w@])",
-        rf"\b(?:regards|ikhlas|sincerely|grüße|gruß),\s(?P<n>{_FULL})(?![\w@])",
-        rf"\bthanks to (?P<n>{_FULL}) for\b",
-        rf"\bterima kasih kepada (?P<n>{_FULL}) yang\b",
-        rf"\b(?:landlady|landlord|neighbour|aunt|uncle), (?P<n>{_FULL}), ",
-        rf"~ ?(?P<n>{_FULL}) ?~",
-        rf"\b(?P<n>{_FULL}) has fostered\b",
-        rf"\bcall (?P<n>{_FULL}) \((?={_NUMBER})",
-        rf"(?:{_NUMBER}) \((?P<n>{_FULL})\)",
-        rf"\b(?:whatsapp|wasap) (?P<n>{_FULL}) - (?={_NUMBER})",
-        rf"\b(?:whatsapp|wasap) (?:{_NUMBER}) - (?P<n>{_FULL})(?![\w@])",
-        rf"\benquiries (?P<n>{_FULL}), (?={_NUMBER})",
-        rf"\benquiries (?:{_NUMBER}), (?P<n>{_FULL})(?![\w@])",
-        rf"(?<![\w.])(?P<n>{_FULL}) / (?={_NUMBER})",
-        rf"(?:{_NUMBER}) / (?P<n>{_FULL})(?![\w@])",
-        rf"\bcontact:(?:{_GAP}|\s)(?P<n>{_FULL})(?:{_GAP}|\s)(?={_NUMBER})",
-        rf"\bcontact:(?:{_GAP}|\s)(?:{_NUMBER})(?:{_GAP}|\s)(?P<n>{_FULL})(?![\w@])",
+    (cues, re.compile(p))
+    for cues, p in (
+        ((), rf"\b{_TITLE}\s(?P<n>{_TITLED})(?![\w@])"),
+        (("请联系",), rf"请联系\s*(?P<n>{_TITLED})\s*(?:小姐|先生|女士)"),
+        (("我叫",), rf"我叫\s*(?P<n>{_FULL})(?![\w@])"),
+        (("தொடர்புக்கு",), rf"தொடர்புக்கு\s*(?P<n>{_TITLED})\s*அவர்கள்"),
+        (("my name is", "nama saya", "ich heiße", "ask for", "on behalf of"), rf"\b(?:my name is|nama saya|ich heiße|ask for|on behalf of)\s(?P<n>{_FULL})(?![\w@])"),
+        (("regards", "ikhlas", "sincerely", "grüße", "gruß"), rf"\b(?:regards|ikhlas|sincerely|grüße|gruß),\s(?P<n>{_FULL})(?![\w@])"),
+        (("thanks to ",), rf"\bthanks to (?P<n>{_FULL}) for\b"),
+        (("terima kasih kepada",), rf"\bterima kasih kepada (?P<n>{_FULL}) yang\b"),
+        (("landlady", "landlord", "neighbour", "aunt", "uncle"), rf"\b(?:landlady|landlord|neighbour|aunt|uncle), (?P<n>{_FULL}), "),
+        (("~",), rf"~ ?(?P<n>{_FULL}) ?~"),
+        ((" has fostered",), rf"\b(?P<n>{_FULL}) has fostered\b"),
+        (("call ",), rf"\bcall (?P<n>{_FULL}) \((?={_NUMBER})"),
+        ((" (",), rf"(?:{_NUMBER}) \((?P<n>{_FULL})\)"),
+        (("whatsapp", "wasap"), rf"\b(?:whatsapp|wasap) (?P<n>{_FULL}) - (?={_NUMBER})"),
+        (("whatsapp", "wasap"), rf"\b(?:whatsapp|wasap) (?:{_NUMBER}) - (?P<n>{_FULL})(?![\w@])"),
+        (("enquiries",), rf"\benquiries (?P<n>{_FULL}), (?={_NUMBER})"),
+        (("enquiries",), rf"\benquiries (?:{_NUMBER}), (?P<n>{_FULL})(?![\w@])"),
+        ((" / ",), rf"(?<![\w.])(?P<n>{_FULL}) / (?={_NUMBER})"),
+        ((" / ",), rf"(?:{_NUMBER}) / (?P<n>{_FULL})(?![\w@])"),
+        (("contact:",), rf"\bcontact:(?:{_GAP}|\s)(?P<n>{_FULL})(?:{_GAP}|\s)(?={_NUMBER})"),
+        (("contact:",), rf"\bcontact:(?:{_GAP}|\s)(?:{_NUMBER})(?:{_GAP}|\s)(?P<n>{_FULL})(?![\w@])"),
     )
 ]
+# Frequent given names; with a capital and a surname behind them they need no cue.
+GIVEN = frozenset(
+    "aaron adam ahmad aisha alan alex alexander ali alice amanda amy andrea andrew angela anita ann anna anne anthony arun barbara ben benjamin betty brian carlos carol caroline catherine charles charlotte christian christine christopher claire daniel david deborah diana donald donna dorothy edward elena elizabeth emily emma eric eva fatimah frank frederick george grace hannah hans harry hassan heather helen henry ibrahim ismail jack jacob james jane jason jean jennifer jessica joan john jonathan jose joseph joshua juan julia julie karen karl katherine kavitha keith kenneth kevin klaus kumar laura lauren linda lisa louise lucas lucy luis margaret maria marie mark martin mary matthew megan melissa michael michelle mohamed mohammad muhammad nancy natalie nicholas nicole norman nurul olivia oliver oscar pamela patricia patrick paul pedro peter philip priya rachel rajesh ravi rebecca richard robert ruth ryan samantha samuel sandra sara sarah scott sharon simon siti sofia sophia sophie stefan stephanie stephen steven stuart susan suresh thomas timothy victor victoria vincent virginia walter william yusof zoe".split()
+)
+_LETTERS = re.compile(r"[a-z]+")
+_NEXT_WORD = re.compile(rf" ({_W})(?![\w@])")
+
+
+def _capitalised(word: str) -> bool:
+    return word[:1].isupper() and not word.isupper()
+
+
+def _third_part(t: Traced, text: str, a: int, b: int) -> int:
+    """Take a third word into a name of three syllables in capitals, as Tan Ah Kow: no part has more than five letters."""
+    said = text[t.start[a] : t.end[b - 1]].split(" ")
+    m = _NEXT_WORD.match(t.text, b) if len(said) == 2 else None
+    if m is None or m.group(1) in _STOP or m.group(1) in _NO_NAME:
+        return b
+    said.append(text[t.start[m.start(1)] : t.end[m.end(1) - 1]])
+    return m.end(1) if all(_capitalised(w) and len(w) <= 5 for w in said) else b
 
 
 def _trim_tail(t: Traced, text: str, a: int, b: int) -> int:
@@ -222,6 +272,8 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
             take("email", m.start(), m.end())
     for m in _ID.finditer(s):
         take("id_number", m.start(), m.end())
+    for m in _LABELLED_ID.finditer(s):
+        take("id_number", *m.span(1))
     for m in _PHONE.finditer(s):
         take("phone", m.start(), m.end())
     for m in _ADDRESS.finditer(s):
@@ -229,12 +281,22 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
         if s[b - 1].isalpha():
             b = _trim_tail(t, text, a + (m.group().find(" ") + 1 if text[t.start[a]].islower() or text[t.start[a]].isdigit() else 0), b)
         take("address", a, b)
-    for p in _NAMES:
+    for m in _CAPITAL_ADDRESS.finditer(s):
+        if text[t.start[m.start(m.lastgroup)]].isupper():
+            take("address", m.start(), m.end())
+    for cues, p in _NAMES:
+        if cues and not any(c in s for c in cues):
+            continue
         for m in p.finditer(s):
             a, b = m.span("n")
-            b = _trim_tail(t, text, a, b)
+            b = _third_part(t, text, a, _trim_tail(t, text, a, b))
             if s[a:b].split(" ")[0] not in _STOP:
                 take("name", a, b)
+    for given in GIVEN.intersection(_LETTERS.findall(s)):
+        for m in re.finditer(rf"\b{given}\s({_W})(?![\w@])", s):
+            (a, b), last = m.span(), m.group(1)
+            if last not in _STOP and last not in _NO_NAME and all(_capitalised(text[t.start[x] : t.end[y - 1]]) for x, y in ((a, a + len(given)), m.span(1))):
+                take("name", a, _third_part(t, text, a, b))
     return sorted(found, key=lambda f: f[1])
 
 

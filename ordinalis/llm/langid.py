@@ -1,9 +1,11 @@
 """Problem 6: the language of every text and of every stretch of it.
 
-Script ranges narrow the candidates of each word (Han means zh, Tamil means ta, Latin leaves en, ms and de, told apart by word scores
-with a trigram fallback); a Viterbi pass over the words with a penalty for switching, small between sentences and large inside one,
-labels the stretches. Personal details, mark-up, numbers and handles are blanked before, so they start no stretch. The word scores are
-fitted on a bounded sample of labelled rows; as labels are unreliable, the sample is relabelled sentence by sentence and counted again.
+Script ranges narrow the candidates of each word (Han without kana means zh, Tamil means ta, Latin leaves en, ms and de, told apart by
+word scores with a trigram fallback; any other script means a language not known here, ``und``); a Viterbi pass over the words with a
+penalty for switching, small between sentences and large inside one, labels the stretches. A stretch in Latin script whose words are
+mostly unknown is ``und`` too, rather than the least wrong of three. Contact details, mark-up, numbers and handles are blanked before,
+so they start no stretch. The word scores are fitted on a bounded sample of labelled rows; as labels are unreliable, the sample is
+relabelled sentence by sentence and counted again.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,9 @@ from ordinalis.llm.pii import detect
 from ordinalis.sources.tables import canonical_id
 
 LANGS = ("en", "ms", "zh", "ta", "de")
+#: A language that is none of these; the last state of the Viterbi pass.
+UNKNOWN = "und"
+STATES = (*LANGS, UNKNOWN)
 LATIN = ("en", "ms", "de")
 #: At most this many labelled rows are used to fit the word scores; they are those with the smallest hashes.
 SAMPLE = 6000
@@ -28,6 +34,8 @@ SAMPLE = 6000
 BETWEEN, INSIDE, MIN_CHARS = 4.0, 14.0, 20
 #: What the words of a stretch must add up to in favour of its language.
 EVIDENCE = 3.0
+#: A Latin stretch of at least so many words is of an unknown language if less than this share of them is known.
+STRETCH, KNOWN = 6, 0.3
 #: Words of the shortest sentence in Latin script that can stand between two of another script.
 SENTENCE = 4
 
@@ -40,33 +48,64 @@ ANCHORS = {
 
 FUNCTION = frozenset().union(*ANCHORS.values())
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_STOPS = re.compile(r"[.!?。！？…]+(?=\s|$|[^\x00-\x7f])|\n|<br>|[。！？]")
-_NOISE = re.compile(r"<[^<>]*>|https?://\S+|www\.\S+|[@#]\w+|\S*\d\S*|&\w+;")
-_PIECE = re.compile(r"[一-鿿㐀-䶿豈-﫿぀-ヿ]+|[஀-௿‌‍]+|[^\W\d_一-鿿㐀-䶿豈-﫿぀-ヿ஀-௿]+(?:['’-][^\W\d_一-鿿㐀-䶿஀-௿]+)*")
+_STOPS = re.compile(r"(?<![.!?。！？…])[.!?。！？…]+(?=\s|$|[^\x00-\x7f])|\n|<br>|[。！？]")
+_NOISE = re.compile(r"<[^<>]*>|https?://\S+|www\.\S+|[@#]\w+|(?<![^\s>])\S*\d\S*|&\w+;")
+# Ranges of Han, kana and Tamil in Unicode. Hangul and the private use area lie between the first and the last of Han.
+_HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_KANA = "぀-ヿㇰ-ㇿｦ-ﾟ"
+_TAMIL = "஀-௿"
+_JOINERS = "‌‍"
+_ELSE = rf"[^\W\d_{_HAN}{_KANA}{_TAMIL}]"
+_PIECE = re.compile(rf"[{_HAN}{_KANA}]+|[{_TAMIL}{_JOINERS}]+|{_ELSE}+(?:['’-]{_ELSE}+)*")
+_OF_HAN, _OF_KANA, _OF_TAMIL, _OF_LATIN = (re.compile(f"[{r}]") for r in (_HAN, _KANA, _TAMIL + _JOINERS, "a-zA-ZªºÀ-ɏḀ-ỿＡ-Ｚａ-ｚ"))
 
 
 def _kind(piece: str) -> str:
     c = piece[0]
-    return "zh" if "぀" <= c <= "鿿" or "豈" <= c <= "﫿" else "ta" if "஀" <= c <= "௿" or c in "‌‍" else "latin" if c < "ɐ" or "Ḁ" <= c <= "ỿ" else "other"
+    if _OF_LATIN.match(c):
+        return "latin"
+    if _OF_KANA.search(piece):
+        return "other"
+    return "zh" if _OF_HAN.match(c) else "ta" if _OF_TAMIL.match(c) else "other"
 
 
 def pieces(text: str) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, word, script, begins a sentence) of the words that can tell a language."""
-    hidden = list(text)
-    for _, a, b in detect(text):
-        hidden[a:b] = " " * (b - a)
-    blank = _NOISE.sub(lambda m: m.group() if m.group() == "<br>" else (re.sub(r"[\x21-\x7e]", " ", m.group()) if not m.group().isascii() else " " * len(m.group())), "".join(hidden))
+    """(start, end, word, script, begins a sentence) of the words that can tell a language.
+
+    Words of another script count only in sentences that hold more letters of it than of the known ones. Han in a sentence with kana is
+    Japanese and counts as another script.
+    """
+    hidden = text
+    if found := detect(text):
+        parts, at = [], 0
+        for _, a, b in found:
+            parts += [text[at:a], " " * (b - a)]
+            at = b
+        hidden = "".join([*parts, text[at:]])
+    blank = _NOISE.sub(lambda m: m.group() if m.group() == "<br>" else (re.sub(r"[\x21-\x7e]", " ", m.group()) if not m.group().isascii() else " " * len(m.group())), hidden)
     stops = [m.end() for m in _STOPS.finditer(blank)]
     blank = blank.replace("<br>", "    ")
-    out, k, fresh = [], 0, True
+    out, k, fresh, others = [], 0, True, False
     for m in _PIECE.finditer(blank):
         while k < len(stops) and stops[k] <= m.start():
             k, fresh = k + 1, True
         script = _kind(m.group())
-        if script != "other":
-            out.append((m.start(), m.end(), m.group().lower(), script, fresh))
-            fresh = False
+        others = others or script == "other"
+        out.append((m.start(), m.end(), m.group().lower(), script, fresh))
+        fresh = False
+    return _weigh_others(out) if others else out
+
+
+def _weigh_others(words: list[tuple[int, int, str, str, bool]]) -> list[tuple[int, int, str, str, bool]]:
+    starts = [0, *(k for k in range(1, len(words)) if words[k][4]), len(words)]
+    out = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        part = words[a:b]
+        if any(_OF_KANA.search(w[2]) for w in part):
+            part = [(*w[:3], "other" if w[3] == "zh" else w[3], w[4]) for w in part]
+        letters = sum(len(w[2]) if w[3] == "other" else -len(w[2]) for w in part)
+        kept = [w for w in part if letters > 0 or w[3] != "other"]
+        out += [(*w[:4], k == 0) for k, w in enumerate(kept)]
     return out
 
 
@@ -104,12 +143,15 @@ class WordScores:
 
 
 def emissions(word: str, script: str, scores: WordScores) -> tuple[float, ...]:
-    """One value per language of LANGS."""
+    """One value per language of STATES."""
     if script == "latin":
         en, ms, de = scores.score(word)
-        return (en, ms, -1.2, -1.2, de)
+        return (en, ms, -1.2, -1.2, de, -1.2)
+    if script == "other":
+        cost = -min(1.0 * len(word), 6.0)
+        return (cost, cost, cost, cost, cost, 0.0)
     cost = -min(1.5 * len(word), 8.0) if script == "zh" else -min(1.0 * len(word), 6.0)
-    return tuple(0.0 if lang == script else cost for lang in LANGS)
+    return tuple(0.0 if lang == script else cost for lang in STATES)
 
 
 def _whole_sentences(text: str, words: list[tuple[int, int, str, str, bool]], rows: list[tuple[float, ...]]) -> None:
@@ -124,12 +166,12 @@ def _whole_sentences(text: str, words: list[tuple[int, int, str, str, bool]], ro
         if any(w[3] != script for w in words[a:b]):
             continue
         if script == "zh":
-            rows[a:b] = [tuple(0.0 if lang == "zh" else -1.5 * len(w[2]) for lang in LANGS) for w in words[a:b]]
+            rows[a:b] = [tuple(0.0 if lang == "zh" else -1.5 * len(w[2]) for lang in STATES) for w in words[a:b]]
         elif script == "latin" and b - a >= SENTENCE and any(w[2] in FUNCTION for w in words[a:b]):
             ends = [*(w[0] for w in words[a + 1 : b]), words[b][0] if b < len(words) else len(text)]
             if not any(c.isalnum() for w, end in zip(words[a:b], ends, strict=True) for c in text[w[1] : end]):
                 cost = min(-1.2, -(2 * BETWEEN + 1) / (b - a))
-                rows[a:b] = [(en, ms, cost, cost, de) for en, ms, _, _, de in rows[a:b]]
+                rows[a:b] = [(en, ms, cost, cost, de, cost) for en, ms, _, _, de, _ in rows[a:b]]
 
 
 def _absorb(path: list[int], rows: list[tuple[float, ...]]) -> None:
@@ -140,19 +182,20 @@ def _absorb(path: list[int], rows: list[tuple[float, ...]]) -> None:
             path[a:b] = [path[a - 1] if a else path[b]] * (b - a)
 
 
-def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the maximal stretches in one language; none for texts without words.
+def _best_path(words: list[tuple[int, int, str, str, bool]], rows: list[tuple[float, ...]], table: np.ndarray) -> list[int]:
+    """The state of every word on the best path.
 
-    The confidence is the posterior odds of the stretch's language against the next best one, from the stretch's own words.
+    If no other state leads the best single state by half a switch in any stretch of words, no path with k switches, so at most k + 1
+    other stretches, can win back what its switches cost, and the whole text is one stretch.
     """
-    words = pieces(text) if text else []
-    if not words:
-        return []
-    rows = [emissions(w, script, scores) for _, _, w, script, _ in words]
-    _whole_sentences(text, words, rows)
+    states = range(len(STATES))
+    first = int(table.sum(axis=0).argmax())
+    lead = np.cumsum(table - table[:, first : first + 1], axis=0)
+    least = np.minimum.accumulate(np.concatenate([np.zeros((1, len(STATES))), lead[:-1]]), axis=0)
+    if (lead - least).max() < BETWEEN / 2:
+        return [first] * len(words)
     now = list(rows[0])
     back: list[list[int]] = []
-    states = range(len(LANGS))
     for k in range(1, len(words)):
         lead = max(states, key=now.__getitem__)
         jump = now[lead] - (BETWEEN if words[k][4] else INSIDE)
@@ -165,50 +208,91 @@ def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, flo
         path.append(state)
     path.reverse()
     _absorb(path, rows)
-    out, first = [], 0
-    for k in range(1, len(path) + 1):
-        if k == len(path) or path[k] != path[first]:
-            sums = [sum(r[s] for r in rows[first:k]) for s in states]
-            gap = sums[path[first]] - max(x for s, x in enumerate(sums) if s != path[first])
-            out.append((words[first][0], words[k - 1][1], LANGS[path[first]], 1 / (1 + math.exp(-max(min(gap, 30.0), -30.0)))))
-            first = k
+    return path
+
+
+def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, confidence) of the maximal stretches in one language; none for texts without words.
+
+    The confidence is the posterior odds of the stretch's language against the next best one, from the stretch's own words; that of
+    ``und`` in Latin script is the share of unknown words.
+    """
+    words = pieces(text) if text else []
+    if not words:
+        return []
+    rows = [emissions(w, script, scores) for _, _, w, script, _ in words]
+    _whole_sentences(text, words, rows)
+    table = np.array(rows)
+    path = _best_path(words, rows, table)
+    edges = [0, *(k for k in range(1, len(path)) if path[k] != path[k - 1]), len(path)]
+    out: list[tuple[int, int, str, float]] = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        sums = table[a:b].sum(axis=0)
+        lang = STATES[path[a]]
+        gap = sums[path[a]] - np.delete(sums, path[a]).max()
+        sure = float(1 / (1 + np.exp(-np.clip(gap, -30.0, 30.0))))
+        if lang in LATIN and b - a >= STRETCH:
+            known = sum(w[2] in scores.words for w in words[a:b]) / (b - a)
+            if known < KNOWN:
+                lang, sure = UNKNOWN, 1 - known
+        if out and out[-1][2] == lang:
+            out[-1] = (out[-1][0], words[b - 1][1], lang, max(out[-1][3], sure))
+        else:
+            out.append((words[a][0], words[b - 1][1], lang, sure))
     return out
 
 
 def fit(texts: list[tuple[str, str]], rounds: int = 3) -> WordScores:
     """Word scores from (text, label) rows; labels outside LATIN count for nothing in the first round, later rounds relabel all."""
+    return fit_sentences([(sentences(t), label) for t, label in texts if t], rounds)
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words in Latin script of every sentence; what follows a word of another script inside a sentence tells nothing."""
+    out, now, foreign = [], [], False
+    for _, _, w, script, fresh in pieces(text):
+        if fresh:
+            if now:
+                out.append(now)
+            now, foreign = [], False
+        if script != "latin":
+            foreign, now = True, []
+        elif not foreign:
+            now.append(w)
+    return [*out, now] if now else out
+
+
+def fit_sentences(parsed: list[tuple[list[list[str]], str]], rounds: int = 3) -> WordScores:
     counts = {lang: Counter({w: 40 for w in ANCHORS[lang]}) for lang in LATIN}
-    parsed = [(pieces(t), label) for t, label in texts if t]
-    for words, label in parsed:
+    for said, label in parsed:
         if label in LATIN:
-            counts[label].update(w for _, _, w, script, _ in words if script == "latin")
+            for sentence in said:
+                counts[label].update(sentence)
     scores = WordScores(counts)
     for _ in range(rounds):
         counts = {lang: Counter({w: 3 for w in ANCHORS[lang]}) for lang in LATIN}
-        for words, _ in parsed:
-            sentence: list[str] = []
-            for _, _, w, script, fresh in [*words, (0, 0, "", "end", True)]:
-                if fresh and sentence:
-                    sums = [sum(x) for x in zip(*(scores.score(v) for v in sentence), strict=True)]
-                    order = sorted(range(3), key=lambda s: -sums[s])
-                    if sums[order[0]] - sums[order[1]] > 3.0:
-                        counts[LATIN[order[0]]].update(sentence)
-                    sentence = []
-                if fresh:
-                    foreign = False
-                if script == "latin" and not foreign:
-                    sentence.append(w)
-                elif script in ("zh", "ta"):
-                    foreign, sentence = True, []  # names inside sentences of another script tell nothing
+        for said, _ in parsed:
+            for sentence in said:
+                sums = [sum(x) for x in zip(*map(scores.score, sentence), strict=True)]
+                order = sorted(range(3), key=lambda s: -sums[s])
+                if sums[order[0]] - sums[order[1]] > 3.0:
+                    counts[LATIN[order[0]]].update(sentence)
         scores = WordScores(counts)
     return scores
 
 
 def fit_on(rows: DataFrame, key: str, text: str, label: str, *, sample: int = SAMPLE) -> WordScores:
-    """Fit on the ``sample`` labelled rows with the smallest hashes of their keys; only they reach the driver."""
+    """Fit on the ``sample`` labelled rows with the smallest hashes of their keys; their words are found by the executors, and only
+    these reach the driver."""
     known = rows.where(F.col(label).isin(*LANGS) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(key, text).alias("h"))
-    picked = known.orderBy("h", "t", "l").limit(sample).select("t", "l").toPandas()
-    return fit(list(picked.itertuples(index=False, name=None)))
+    picked = known.orderBy("h", "t", "l").limit(sample).repartition(32, "h").select("t", "l")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"t": batch["t"], "l": batch["l"], "s": ["\n".join(" ".join(s) for s in sentences(t)) for t in batch["t"]]})
+
+    made = picked.mapInPandas(parse, "t string, l string, s string").select("s", "l").toPandas().sort_values(["s", "l"])
+    return fit_sentences([([line.split(" ") for line in s.split("\n") if line], label) for s, label in made.itertuples(index=False)])
 
 
 def language_spans(rows: DataFrame, key: str, text: str, scores: WordScores, *, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -243,6 +327,18 @@ def relabelled(train: DataFrame) -> DataFrame:
 
 
 def found(train: DataFrame) -> DataFrame:
-    """(petid, run_no, lang) of the records whose label is not the language of their text, or whose text has several."""
+    """(petid, run_no, lang) of the records whose label is not the language of their text, or whose text has several. Stretches in a
+    language that is not one of LANGS are not listed, but they count as a language of their text."""
     wrong = (F.col("n_runs") > 1) | F.coalesce(F.col("label") != F.col("lang"), F.lit(True))
-    return relabelled(train).where(wrong).select("petid", "run_no", "lang").distinct()
+    return relabelled(train).where(wrong & (F.col("lang") != UNKNOWN)).select("petid", "run_no", "lang").distinct()
+
+
+def documents(train: DataFrame) -> DataFrame:
+    """(petid, lang, confidence, n_langs): one row per record with a text; the language of most of its characters, ties by name, and the
+    mean confidence of that language's stretches times its share of the characters. Records without judgeable words are ``und``, with
+    a confidence of 0. Several texts of one record count together."""
+    runs = relabelled(train).select("petid", "lang", (F.col("last") - F.col("first")).alias("n"), "confidence").distinct()
+    per = runs.groupBy("petid", "lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("confidence"))).alias("sure"))
+    best = per.groupBy("petid").agg(F.max_by(F.struct("lang", "sure"), F.struct("n", "lang")).alias("b"), F.sum("n").alias("all"), F.count("*").alias("n_langs"))
+    every = train.where("Description is not null").select(canonical_id("PetID").alias("petid")).where("petid is not null").distinct()
+    return every.join(best, "petid", "left").select("petid", F.coalesce("b.lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("b.sure") / F.col("all"), F.lit(0.0)).alias("confidence"), F.coalesce("n_langs", F.lit(0)).alias("n_langs"))

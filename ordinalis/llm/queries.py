@@ -53,6 +53,10 @@ def p6_spans(spark: SparkSession, folder: str) -> DataFrame:
     return langid.relabelled(table(spark, folder, "train"))
 
 
+def p6_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.documents(table(spark, folder, "train"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.document_ids(table(spark, folder, "documents"))
 
@@ -75,4 +79,4 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p6_documents, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)}

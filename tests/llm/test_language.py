@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from ordinalis.llm import langid
@@ -33,3 +35,40 @@ def test_found(spark):
 @pytest.mark.parametrize(("text", "want"), [(f"{EN[0]} 它最喜欢吃新鲜的鸡肉。 {EN[1]}", ["en", "zh", "en"]), (f"{ZH} She is very friendly. {ZH}", ["zh", "en", "zh"]), (f"{EN[0]} 小花 {EN[1]}", ["en"]), (f"{ZH} Kampung Lupu Taman Sri. {ZH}", ["zh"]), (f"{ZH} Please call us at 016-107 5658. {ZH}", ["zh"])])
 def test_whole_sentences_in_the_middle(scores, text, want):
     assert [s[2] for s in langid.spans(text, scores)] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Мы нашли маленькую кошку у реки и взяли её домой.", ["und"]),
+    ("この猫はとても人懐っこいです。よろしくお願いします。", ["und"]),
+    ("이 고양이는 아이들과 잘 지냅니다.", ["und"]),
+    ("القطة الصغيرة تحب الأطفال كثيرا", ["und"]),
+    (f"{ZH} Мы нашли маленькую кошку у реки и взяли её домой.", ["zh", "und"]),
+    (f"{EN[0]} кит cat {EN[1]}", ["en"]),
+    ("La petite chatte adore dormir près du feu quand arrivent les longues soirées pluvieuses", ["und"]),
+    ("Nuestra perrita busca hogar donde pueda correr libremente junto al campo", ["und"]),
+    ("豈有此理，這隻貓很可愛，請聯絡我們。", ["zh"]),
+])
+def test_other_languages_are_not_one_of_ours(scores, text, want):
+    assert [s[2] for s in langid.spans(text, scores)] == want
+
+
+def test_one_language_only_in_the_fit():
+    scores = langid.fit([(t, "en") for t in EN * 5])
+    for text in ("La petite chatte adore dormir près du feu quand arrivent les longues soirées pluvieuses", "Nuestra perrita busca hogar donde pueda correr libremente junto al campo"):
+        assert [s[2] for s in langid.spans(text, scores)] == ["und"]
+
+
+@pytest.mark.parametrize("unit", ["a-", "a ", "....", "x1", "<", "&a", "字。", "b@"])
+def test_long_runs_take_linear_time(scores, unit):
+    began = time.time()
+    langid.spans(unit * (200_000 // len(unit)) + " end", scores)
+    assert time.time() - began < 8
+
+
+def test_documents(spark):
+    rows = [(f"{k:x}", t, "en") for k, t in enumerate(EN * 4)] + [("aa", f"{EN[0]} {ZH * 3}", None), ("ab", None, "en"), ("ac", "12345", "en"), ("ad", "Мы нашли маленькую кошку у реки и взяли её домой.", "en"), (None, EN[0], "en")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "PetID string, Description string, lang string, n_langs int")
+    got = {r.petid.lstrip("0"): (r.lang, r.n_langs) for r in langid.documents(df).collect()}
+    assert got["aa"] == ("zh", 2) and got["ac"] == ("und", 0) and got["ad"] == ("und", 1) and "ab" not in got and len(got) == 15
+    assert all(0 <= r.confidence <= 1 for r in langid.documents(df).collect())
+    assert langid.documents(df.limit(0)).count() == 0

@@ -1,29 +1,32 @@
 """Problem 7: exact encoding by a public byte-level BPE tokenizer, as a monoid tree reduction.
 
-A long text is halved until pieces are small; pieces are encoded alone and neighbours are joined up the tree. The tokenizer cuts a
+A text is halved until pieces are small; pieces are encoded alone and neighbours are joined up the tree. The tokenizer cuts a
 text into words by a regular expression that scans left to right and encodes every word alone, so an encoding is a list of (word
 start, ids). A scan depends only on the text from its position on, hence two facts make the join exact: a word of the left piece
 stays if its match ended, with its one character of look-ahead, inside the piece; and once the scan of the joined text reaches a
 position where a word of the right piece starts, everything after it stays too. The join re-encodes a window from the last stable
-word of the left piece, growing it to the right until the scans meet.
+word of the left piece, growing it to the right until the scans meet; the tokens outside are kept as they are. Pieces are smaller than
+most documents, so all but the shortest texts pass through joins.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pieces of at most this many characters are encoded without splitting.
-LEAF = 8192
+#: The vocabulary, unless the session names another one in ``VOCABULARY_SETTING``.
+VOCABULARY, VOCABULARY_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.ordinalis.vocabulary"
+#: Pieces of at most this many characters are the leaves of the tree.
+LEAF = 256
 #: First width of a boundary window; it doubles until the scans meet.
 WINDOW = 64
 # Fixed value: the word pattern that belongs to the vocabulary.
@@ -44,17 +47,22 @@ _WORD = regex.compile(PATTERN)
 
 
 class Piece:
-    """An encoded stretch of text: its words' starts (relative), and per word its ids."""
+    """An encoded stretch of text: its words' starts (relative) and the ids of all words in a row."""
 
     __slots__ = ("ids", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int], ids: list[list[int]]) -> None:
+    def __init__(self, text: str, starts: list[int], ids: list[int]) -> None:
         self.text, self.starts, self.ids = text, starts, ids
 
 
 def _leaf(text: str, enc) -> Piece:
-    words = [(m.start(), m.group()) for m in _WORD.finditer(text)]
-    return Piece(text, [a for a, _ in words], [enc.encode_ordinary(w) for _, w in words])
+    return Piece(text, [m.start() for m in _WORD.finditer(text)], enc.encode_ordinary(text))
+
+
+def _tokens(piece: Piece, first: int, last: int, enc) -> int:
+    """How many ids the words ``first`` to ``last - 1`` of a piece have; few words, beside a seam."""
+    ends = [*piece.starts[first + 1 : last + 1], len(piece.text)][: last - first]
+    return sum(len(enc.encode_ordinary(piece.text[a:b])) for a, b in zip(piece.starts[first:last], ends, strict=True))
 
 
 def _join(left: Piece, right: Piece, enc) -> Piece:
@@ -68,22 +76,23 @@ def _join(left: Piece, right: Piece, enc) -> Piece:
         stable -= 1
     begin = left.starts[stable] if stable < len(left.starts) else n
     text = left.text + right.text
-    meets = {n + s: k for k, s in enumerate(right.starts)}
-    starts, ids, at, width = left.starts[:stable], left.ids[:stable], begin, WINDOW
+    starts, ids = left.starts[:stable], left.ids[: len(left.ids) - _tokens(left, stable, len(left.starts), enc)]
+    at, width = begin, WINDOW
     while at < len(text):
         stop = min(len(text), max(at, n) + width)
         window = text[at:stop]
         moved = False
         for m in _WORD.finditer(window):
             place = at + m.start()
-            if place >= n and place in meets:
-                k = meets[place]
-                return Piece(text, starts + [n + s for s in right.starts[k:]], ids + right.ids[k:])
+            if place >= n:
+                k = bisect_left(right.starts, place - n)
+                if k < len(right.starts) and right.starts[k] == place - n:
+                    return Piece(text, starts + [n + s for s in right.starts[k:]], ids + right.ids[_tokens(right, 0, k, enc) :])
             if stop < len(text) and m.end() > len(window) - 2:
                 at = place  # touches the edge of the window: look again with a wider one
                 break
             starts.append(place)
-            ids.append(enc.encode_ordinary(m.group()))
+            ids += enc.encode_ordinary(m.group())
             moved = True
         else:
             at = stop
@@ -101,12 +110,7 @@ def _tree(text: str, enc, leaf: int) -> Piece:
 
 def encode(text: str | None, path: str = VOCABULARY, leaf: int = LEAF) -> list[int]:
     """Token ids of ``text`` without special tokens; null and empty texts have none ([])."""
-    if not text:
-        return []
-    enc = encoder(path)
-    if len(text) <= leaf:
-        return enc.encode_ordinary(text)
-    return [i for ids in _tree(text, enc, leaf).ids for i in ids]
+    return _tree(text, encoder(path), leaf).ids if text else []
 
 
 def decode(ids: list[int], path: str = VOCABULARY) -> str:
@@ -127,6 +131,11 @@ def encode_column(df: DataFrame, keep: list[str], text: str = "text", *, path: s
     return df.select(*keep, F.col(text).alias("__text")).mapInPandas(run, schema)
 
 
-def document_ids(documents: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
+def vocabulary_of(spark: SparkSession) -> str:
+    """The vocabulary file that the session names, on every machine of the cluster, or else the public one's usual place."""
+    return spark.conf.get(VOCABULARY_SETTING, VOCABULARY)
+
+
+def document_ids(documents: DataFrame, *, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every document."""
-    return encode_column(documents, ["doc_id"], path=path)
+    return encode_column(documents, ["doc_id"], path=path or vocabulary_of(documents.sparkSession))

@@ -15,11 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ordinalis.llm.encode import VOCABULARY, encode_column
+from ordinalis.llm.encode import encode_column, vocabulary_of
 from ordinalis.session import cut
 
 #: Tokens to a block, slots to an output shard, documents to a bin of the running sum.
@@ -28,7 +28,7 @@ BLOCK, SHARD, BIN = 512, 256, 20_000
 LARGE = 900_000_000
 
 
-def pack(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, block: int = BLOCK, seed: int = 8) -> DataFrame:
+def pack(documents: DataFrame, targets: DataFrame, *, path: str | None = None, block: int = BLOCK, seed: int = 8) -> DataFrame:
     """(source, block_no, ids, first_doc, n_docs): the tokens of every wanted source in blocks of ``block``; the last may be shorter.
 
     Exact copies of a text count once, in the record with the smallest doc_id. Null and empty texts, null sources and sources that are
@@ -37,18 +37,22 @@ def pack(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, bl
     """
     wanted = documents.where("doc_id is not null and text is not null and text <> ''").join(targets.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "text")
     once = wanted.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    tokens = cut(encode_column(wanted.join(once.hint("merge"), "doc_id"), ["doc_id", "source"], path=path).where(F.size("ids") > 0))
+    tokens = cut(encode_column(wanted.join(once.hint("merge"), "doc_id"), ["doc_id", "source"], path=path or vocabulary_of(documents.sparkSession)).where(F.size("ids") > 0))
     bins = max(1, -(-tokens.count() // BIN))
     placed = tokens.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bin", F.pmod("h", F.lit(bins)))
     sums = placed.groupBy("source", "bin").agg(F.sum(F.size("ids")).cast("long").alias("n"))
     before = sums.select("source", "bin", (F.sum("n").over(W.partitionBy("source").orderBy("bin")) - F.col("n")).alias("base"))
     inside = F.sum(F.size("ids")).over(W.partitionBy("source", "bin").orderBy("h", "doc_id")) - F.size("ids")
     at = placed.withColumn("inside", inside).join(before, ["source", "bin"]).withColumn("start", (F.col("base") + F.col("inside")).cast("long"))
-    number = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block))).alias("block_no")
-    parts = at.select("source", "doc_id", "ids", "start", number)
-    begin = F.greatest(F.col("block_no") * block - F.col("start"), F.lit(0))
-    end = F.least((F.col("block_no") + 1) * block - F.col("start"), F.size("ids"))
-    parts = parts.select("source", "block_no", "start", "doc_id", F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"))
+    # The array is cut before it is exploded, so a long document is not repeated whole in each of its blocks.
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block)
+
+    def piece(number: Column) -> Column:
+        begin = F.greatest(number * block - F.col("start"), F.lit(0))
+        end = F.least((number + 1) * block - F.col("start"), F.size("ids"))
+        return F.struct(number.alias("block_no"), F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"))
+
+    parts = at.select("source", "doc_id", "start", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("source", "doc_id", "start", "p.block_no", "p.ids")
     whole = parts.groupBy("source", "block_no").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "ids"))).alias("p"))
     return whole.select("source", "block_no", F.flatten("p.ids").alias("ids"), F.col("p")[0]["doc_id"].alias("first_doc"), F.size("p").alias("n_docs"))
 
@@ -164,7 +168,7 @@ def slot_table(spark, plan: pd.DataFrame, *, shard: int = SHARD, seed: int = 8)
     return spark.range(shards).mapInPandas(draw, "shard long, slot int, source string, repeat_no int, block_no long")
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, path: str = VOCABULARY, block: int = BLOCK, shard: int = SHARD, seed: int = 8, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, *, path: str | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = 8, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture(shard, slot, source, repeat_no, block_no, n_tokens, first_doc, ids), shares(source, target_share, max_repeats,
     source_tokens, mixed_tokens, actual_share, uses)). Empty inputs give an empty mixture. A source without texts keeps its row in the
     shares, with 0 tokens; its share then falls to the others in proportion. ``total`` is as in ``quotas``."""

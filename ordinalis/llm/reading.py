@@ -1,8 +1,9 @@
 """Problem 9: reading level, by regularised ordinal regression over features of the text.
 
 Features are lexical diversity, word rarity against the whole corpus, connectives, a proxy of clause depth, and lengths of words and
-sentences, with quartiles over the sentences because documents mix simple and demanding ones. A proportional-odds model maps them to
-the bands of the graded sample.
+sentences, with quantiles and a plain grid of shares over the sentences because documents mix simple and demanding ones. A
+proportional-odds model maps them to the bands of the graded sample. All text is read by the executors: the driver sees the feature
+rows of the graded sample and the counts of words that make up a millionth of the corpus or more.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from ordinalis.session import cut
 #: Most graded documents used for the fit, words a task counts before it passes them on, shortest text in words, least share of English.
 GRADED, HELD, MIN_WORDS, ENGLISH = 12_000, 200_000, 40, 0.85
 
+#: The smallest share of the corpus that is told apart from smaller ones. At most 1 / LEAST_SHARE words have it, 16 bytes each, which
+#: bounds what is broadcast whatever the corpus.
+LEAST_SHARE = 1e-6
+
 #: A sentence counts as foreign only if its words prefer another language by more than this.
 SLACK = 2.0
 
@@ -38,17 +43,17 @@ _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|<br>")
 
 
 class Rarity:
-    """Minus the log share of a word in the corpus, from exact counts by 64-bit hash. A word that is not listed stands there once."""
+    """Minus the log share of a word in the corpus, by 64-bit hash; a word that is not listed has LEAST_SHARE."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.whole = hashes[order], counts[order], total + 0.5 * max(distinct, 1)
+        self.hashes, self.counts, self.total = hashes[order], counts[order], max(total, 1)
 
     def __call__(self, word: str) -> float:
         h = hashed(word)
         at = int(np.searchsorted(self.hashes, h))
-        n = self.counts[at] if at < len(self.hashes) and self.hashes[at] == h else 1
-        return -float(np.log((n + 0.5) / self.whole))
+        known = at < len(self.hashes) and self.hashes[at] == h
+        return -float(np.log(max(self.counts[at] / self.total, LEAST_SHARE) if known else LEAST_SHARE))
 
 
 def hashed(word: str) -> int:
@@ -56,83 +61,104 @@ def hashed(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def english_share(text: str, scores: WordScores) -> float:
-    """Share of letters that stand in sentences whose words speak for English rather than another language or script."""
-    en = other = 0
-    for sentence in _END.split(text):
-        letters = sum(map(str.isalpha, sentence))
-        words = _WORD.findall(sentence.lower())
-        latin = sum(map(len, words))
-        if letters < 8:
-            continue
-        sums = [sum(x) for x in zip(*(scores.score(w) for w in words), strict=True)] if words else [-1.0, 0.0, 0.0]
-        if latin * 2 > letters and sums[0] >= max(sums) - SLACK:
-            en += letters
-        else:
-            other += letters
-    return en / (en + other) if en + other else 0.0
-
-
-class WordFacts:
-    """Per word: length, rarity, syllables and the lists it stands on; remembered for up to a fixed number of words."""
-
-    def __init__(self, rarity: Rarity, most: int = 200_000) -> None:
-        self.rarity, self.most, self.known = rarity, most, {}
-
-    def __call__(self, word: str) -> tuple[float, ...]:
-        facts = self.known.get(word)
-        if facts is None:
-            facts = (len(word), self.rarity(word), len(_VOWELS.findall(word)), word in CONNECTIVES, word in HARD_CONNECTIVES, word in SUBORDINATORS, word in PERSONS)
-            if len(self.known) < self.most:
-                self.known[word] = facts
-        return facts
-
-
 _VOWELS = re.compile(r"[aeiouy]+")
+#: Columns of the facts of a word.
+LENGTH, RARE, SYLLABLES, CONNECTS, HARD, CLAUSE, PERSON, EN, MS, DE = range(10)
 
 
-def features(text: str, facts: WordFacts) -> np.ndarray:
-    """The feature vector of an English text."""
-    low = text.lower()
-    words, firsts, marks = [], [], []
-    for s in _END.split(low):
-        w = _WORD.findall(s)
-        if w:
-            firsts.append(len(words))
-            words += w
-            marks.append(s.count(",") + 2 * s.count(";"))
-    if not words:
-        return np.zeros(FEATURES)
-    n = len(words)
-    table = np.array([facts(w) for w in words], float)
-    length, rare, syllables = table[:, 0], table[:, 1], table[:, 2]
-    sizes = np.diff([*firsts, n]).astype(float)
-    sums = np.add.reduceat(np.column_stack([length, rare, table[:, 5], length >= 9]), firsts, axis=0)
-    mean_length, mean_rare, clauses, long_share = sums[:, 0] / sizes, sums[:, 1] / sizes, sums[:, 2], sums[:, 3] / sizes
+class WordFacts:
+    """Per word its length, rarity, syllables, the lists it stands on and its language scores, as rows of a table that is filled as words
+    come up and begun anew when it holds ``most`` of them."""
+
+    def __init__(self, rarity: Rarity, scores: WordScores, most: int = 200_000) -> None:
+        self.rarity, self.scores, self.most = rarity, scores, most
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1024, 10))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self.at) + len(words) > max(self.most, len(words)):
+            self.at = {}
+        at = [self.at[w] if w in self.at else self._add(w) for w in words]  # may replace the table
+        return self.table[np.array(at, np.int64)]
+
+    def _add(self, word: str) -> int:
+        k = self.at[word] = len(self.at)
+        if k >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = (len(word), self.rarity(word), len(_VOWELS.findall(word)), word in CONNECTIVES, word in HARD_CONNECTIVES, word in SUBORDINATORS, word in PERSONS, *self.scores.score(word))
+        return k
+
+
+class Reading:
+    """A text cut into sentences and words, with the facts of its words."""
+
+    def __init__(self, text: str, facts: WordFacts) -> None:
+        self.low = text.lower()
+        self.words: list[str] = []
+        self.firsts, self.letters, self.marks, self.wordless = [], [], [], 0
+        for s in _END.split(self.low):
+            w = _WORD.findall(s)
+            letters = sum(map(str.isalpha, s))
+            if w:
+                self.firsts.append(len(self.words))
+                self.words += w
+                self.letters.append(letters)
+                self.marks.append(s.count(",") + 2 * s.count(";"))
+            elif letters >= 8:
+                self.wordless += letters
+        self.facts = facts.rows(self.words)
+        self.sums = np.add.reduceat(self.facts, self.firsts, axis=0) if self.words else self.facts
+
+    def english(self) -> float:
+        """Share of letters that stand in sentences whose words speak for English rather than another language or script."""
+        letters = np.array(self.letters, float)
+        letters[letters < 8] = 0
+        whole = letters.sum() + self.wordless
+        if not whole:
+            return 0.0
+        said = self.sums[:, [EN, MS, DE]]
+        speaks = (2 * self.sums[:, LENGTH] > letters) & (said[:, 0] >= said.max(axis=1) - SLACK)
+        return float((letters * speaks).sum() / whole)
+
+
+def _quantiles(table: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Linear quantiles of every column, one after another."""
+    ordered = np.sort(table, axis=0)
+    place = np.array(shares) * (len(ordered) - 1)
+    low = place.astype(int)
+    part = (place - low)[:, None]
+    return (ordered[low] * (1 - part) + ordered[np.minimum(low + 1, len(ordered) - 1)] * part).ravel()
+
+
+#: The grids of sentence features: mean letters of a word in steps of 0.75, words of a sentence in steps of 6.
+LETTER_GRID, WORD_GRID = np.arange(3.5, 8.1, 0.75), np.arange(6.5, 31, 6)
+
+
+def features(reading: Reading) -> np.ndarray:
+    """The feature vector of a text with words."""
+    words, table, sums = reading.words, reading.facts, reading.sums
+    n, sentences = len(words), len(reading.firsts)
+    length, rare, syllables = table[:, LENGTH], table[:, RARE], table[:, SYLLABLES]
+    sizes = np.diff([*reading.firsts, n]).astype(float)
+    long_share = np.add.reduceat((length >= 9).astype(float), reading.firsts) / sizes
+    mean_length = sums[:, LENGTH] / sizes
     weight = sizes / n
-    quart = np.percentile(np.column_stack([sizes, mean_length, long_share, mean_rare]), [15, 50, 85], axis=0).ravel()
+    quart = _quantiles(np.column_stack([sizes, mean_length, long_share, sums[:, RARE] / sizes]), [0.15, 0.5, 0.85])
+    grids = [np.bincount(np.searchsorted(grid, v), weight, len(grid) + 1) for grid, v in ((LETTER_GRID, mean_length), (WORD_GRID, sizes))]
     window = 40
-    kinds = [len(set(words[i : i + window])) / len(words[i : i + window]) for i in range(0, max(1, n - window // 2), window // 2)]
-    band_shares = [
-        float(weight[(mean_length < 3.8) & (sizes < 14)].sum()),
-        float(weight[(mean_length >= 3.8) & (mean_length < 5.0)].sum()),
-        float(weight[(mean_length >= 5.0) & (mean_length < 6.5)].sum()),
-        float(weight[mean_length >= 6.5].sum()),
-        float(weight[sizes >= 20].sum()),
-        float(weight[sizes <= 8].sum()),
-    ]
-    share = table[:, 3:].mean(axis=0)
-    return np.array(
+    kinds = [len(set(part)) / len(part) for i in range(0, max(1, n - window // 2), window // 2) if (part := words[i : i + window])]
+    low, means = reading.low, table[:, CONNECTS : PERSON + 1].mean(axis=0)
+    return np.concatenate(
         [
-            np.log1p(n), np.log(n / len(firsts)), length.mean(), length.std(), (length >= 7).mean(), (length >= 10).mean(), (length >= 13).mean(), syllables.mean(), (syllables >= 4).mean(), (syllables <= 1).mean(),
-            rare.mean(), np.percentile(rare, 90), (rare > 10).mean(), float(np.mean(kinds)), len(set(words)) / np.sqrt(n),
-            *share, clauses.mean(), float(np.mean(marks)), low.count(",") / n, sum(low.count(c) for c in ";:()") / n,
-            *quart, *band_shares,
+            [np.log1p(n), np.log(n / sentences), length.mean(), length.std(), (length >= 7).mean(), (length >= 10).mean(), (length >= 13).mean()],
+            [syllables.mean(), (syllables >= 4).mean(), (syllables <= 1).mean(), rare.mean(), _quantiles(rare[:, None], [0.9])[0], (rare > 10).mean()],
+            [sum(kinds) / len(kinds), len(set(words)) / np.sqrt(n), sums[:, CLAUSE].mean(), sum(reading.marks) / sentences, low.count(",") / n, sum(map(low.count, ";:()")) / n],
+            means, quart, *grids,
         ]
     )
 
 
-FEATURES = 23 + 12 + 6
+FEATURES = 19 + 4 + 12 + len(LETTER_GRID) + 1 + len(WORD_GRID) + 1
 
 
 class OrdinalModel:
@@ -142,7 +168,7 @@ class OrdinalModel:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._design(x)
         n, d = z.shape
-        self.w, cuts = np.zeros(d), np.quantile(y, [0.25, 0.5, 0.75]) * 0 + np.array([-1.5, 0.0, 1.5])
+        self.w, cuts = np.zeros(d), np.array([-1.5, 0.0, 1.5])
         free = np.array([cuts[0], np.log(cuts[1] - cuts[0]), np.log(cuts[2] - cuts[1])])
         m, v = np.zeros(d + 3), np.zeros(d + 3)
         sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -35, 35)))
@@ -175,7 +201,7 @@ class OrdinalModel:
 
 
 def corpus_rarity(documents: DataFrame, text: str = "text") -> Rarity:
-    """Exact counts of the words of all documents; those that stand twice or more reach the driver, 16 bytes each."""
+    """Exact counts of the words of all documents; those with LEAST_SHARE or more reach the driver, a bounded number."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
@@ -190,27 +216,45 @@ def corpus_rarity(documents: DataFrame, text: str = "text") -> Rarity:
         yield part()
 
     rows = cut(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("txt")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total, distinct = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = rows.where("n > 1").toPandas()
-    return Rarity(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total, distinct)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = rows.where(F.col("n") >= total * LEAST_SHARE).toPandas()
+    return Rarity(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), total)
 
 
-def graded_sample(documents: DataFrame, labels: DataFrame, sample: int = GRADED) -> pd.DataFrame:
+def graded_documents(documents: DataFrame, labels: DataFrame, sample: int = GRADED) -> DataFrame:
     """(doc_id, text, band) of at most ``sample`` graded documents, those with the smallest hashes; the band is the median judgement,
     each rater's repeats counting once and ties going to the lower band; null bands and ids do not count."""
-    graded = labels.where("doc_id is not null and band between 1 and 4").select("doc_id", "rater", "band").distinct().groupBy("doc_id").agg(F.expr("percentile(band, 0.5)").alias("median"), F.count("*").alias("n"))
-    graded = graded.select("doc_id", F.ceil(F.col("median") - 0.5).cast("int").alias("band"), "n").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.where("text is not null").join(F.broadcast(graded), "doc_id").select("doc_id", "text", "band", "n").toPandas().sort_values("doc_id")
+    graded = labels.where("doc_id is not null and band between 1 and 4").select("doc_id", "rater", "band").distinct().groupBy("doc_id").agg(F.expr("percentile(band, 0.5)").alias("median"))
+    graded = graded.select("doc_id", F.ceil(F.col("median") - 0.5).cast("int").alias("band")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return documents.where("text is not null").join(F.broadcast(graded), "doc_id").select("doc_id", "text", "band")
 
 
-def fit(graded: pd.DataFrame, rarity: Rarity, scores: WordScores) -> OrdinalModel:
-    use = graded[[len(_TOKEN.findall(t)) >= MIN_WORDS and english_share(t, scores) >= ENGLISH for t in graded["text"]]]
-    facts = WordFacts(rarity)
-    if len(use) < 8:
-        use = graded
-    if not len(use):
+def english_texts(rows: DataFrame, key: str, schema: str, rarity: Rarity, scores: WordScores, finish) -> DataFrame:
+    """What ``finish`` makes of a batch's (``key`` and other columns, their matrix of features), over the English documents of ``rows`` with
+    at least MIN_WORDS words between white space."""
+    sent = rows.sparkSession.sparkContext.broadcast((rarity, scores))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        facts = WordFacts(*sent.value)
+        for batch in batches:
+            use, made = [], []
+            for t in batch["text"]:
+                reading = Reading(t, facts) if len(_TOKEN.findall(t)) >= MIN_WORDS else None
+                use.append(reading is not None and reading.english() >= ENGLISH)
+                if use[-1]:
+                    made.append(features(reading))
+            if made:
+                yield finish(batch[use], np.stack(made))
+
+    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).mapInPandas(run, schema)
+
+
+def fit(graded: pd.DataFrame) -> OrdinalModel:
+    """The model of the graded features; of none, one that calls everything band 2."""
+    if not len(graded):
         return OrdinalModel(np.zeros((1, FEATURES)), np.array([2]), steps=1)
-    return OrdinalModel(np.stack([features(t, facts) for t in use["text"]]), use["band"].to_numpy(np.int64))
+    graded = graded.sort_values("doc_id", kind="stable")
+    return OrdinalModel(np.stack(graded["x"]), graded["band"].to_numpy(np.int64))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = GRADED) -> DataFrame:
@@ -220,23 +264,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = GRA
     """
     scores = fit_on(documents, "doc_id", "text", "lang")
     rarity = corpus_rarity(documents)
-    model = fit(graded_sample(documents, labels, sample), rarity, scores)
-    sent = documents.sparkSession.sparkContext.broadcast((scores, rarity, model))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores, rarity, model = sent.value
-        facts = WordFacts(rarity)
-        for batch in batches:
-            keep, made = [], []
-            for doc, t in zip(batch["doc_id"], batch["text"], strict=True):
-                if len(_TOKEN.findall(t)) >= MIN_WORDS and english_share(t, scores) >= ENGLISH:
-                    keep.append(doc)
-                    made.append(features(t, facts))
-            if keep:
-                x = np.stack(made)
-                yield pd.DataFrame({"doc_id": keep, "band": model.bands(x), "score": model.score(x)})
-
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, band int, score double")
+    graded = graded_documents(documents, labels, sample).repartition(32, "doc_id")
+    known = english_texts(graded, "doc_id", "doc_id long, band int, x array<double>", rarity, scores, lambda rows, x: rows[["doc_id", "band"]].assign(x=list(x)))
+    model = fit(known.toPandas())
+    grade = lambda rows, x: rows[["doc_id"]].assign(band=model.bands(x), score=model.score(x))
+    return english_texts(documents.select("doc_id", "text"), "doc_id", "doc_id long, band int, score double", rarity, scores, grade)
 
 
 def profile(documents: DataFrame, levels: DataFrame) -> DataFrame:

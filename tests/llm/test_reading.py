@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from ordinalis.llm import reading
+from ordinalis.llm.langid import fit
 
 EASY = ["The cat sat on the mat.", "It is a big dog.", "We like to run and play.", "Do you see the red ball?", "Mum has a hat."]
 MIDDLE = ["A nervous cat can easily hide under the sofa when visitors come to the house.", "The foster family was happy to share a quiet corner with the older dog.", "Try to feed it at the same time every morning because a routine helps."]
@@ -42,11 +43,25 @@ def test_empty_inputs(spark):
     assert reading.reading_levels(documents, labels.limit(0)).count() > 0
 
 
-def test_rarity_is_exact_with_many_words(spark):
+def test_rarity_counts_all_words(spark):
     letters = "abcdefghij"
     rare = ["r" + "".join(letters[int(d)] for d in f"{k:06}") for k in range(150_000)]
-    rows = [(" ".join(rare[k : k + 1000]),) for k in range(0, len(rare), 1000)] + [("common " * 1000,)] * 100 + [("twice twice",), (None,)]
+    rows = [(" ".join(rare[k : k + 1000]),) for k in range(0, len(rare), 1000)] + [("common " * 40_000,)] * 100 + [("twice twice " + "five " * 5,), (None,)]
     rarity = reading.corpus_rarity(spark.createDataFrame(rows, "text string"))
-    whole = 250_002 + 0.5 * 150_002
-    for word, n in [("common", 100_000), ("twice", 2), *((w, 1) for w in rare[::5000])]:
-        assert abs(rarity(word) + np.log((n + 0.5) / whole)) < 1e-9
+    total = 4_150_007
+    assert abs(rarity("common") + np.log(4_000_000 / total)) < 1e-9 and abs(rarity("five") + np.log(5 / total)) < 1e-9
+    assert all(abs(rarity(w) + np.log(reading.LEAST_SHARE)) < 1e-9 for w in ("twice", "absent", *rare[::5000]))
+    assert len(rarity.hashes) == 2  # what is sent out is bounded by the least share
+
+
+def test_features_do_not_depend_on_the_cache():
+    rarity = reading.Rarity(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+    scores = fit([(t, "en") for t in EASY + MIDDLE + HARD + HARDEST])
+    texts = [" ".join(part) for part in (EASY, MIDDLE, HARD, HARDEST, EASY)]
+    wide, narrow = reading.WordFacts(rarity, scores), reading.WordFacts(rarity, scores, most=3)
+    for t in texts:
+        x, y = (reading.features(reading.Reading(t, f)) for f in (wide, narrow))
+        assert len(x) == reading.FEATURES and np.array_equal(x, y)
+    many = " ".join("x" + chr(97 + k % 26) + chr(97 + k // 26 % 26) + chr(97 + k // 676) for k in range(5000))
+    assert reading.Reading(many, wide).facts.shape == (5000, 10) and (reading.Reading(many, narrow).facts == reading.Reading(many, wide).facts).all()
+    assert reading.Reading("", wide).english() == 0 and reading.Reading("12 !? 34", wide).english() == 0

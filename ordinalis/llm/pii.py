@@ -173,11 +173,12 @@ _ADDRESS = re.compile(
 )
 # Street forms of other countries; they count only where the source has a capital, so that no ordinary word is taken for a street.
 _CAPITAL_ADDRESS = re.compile(
-    rf"(?<![\w/.-])\d{{1,5}}[a-z]?,?\s(?P<a>{_TAIL_WORD})(?:[ ]{_TAIL_WORD})?\s(?:st|rd|ave|blvd|boulevard|square|parade|way)\b"
+    rf"(?<![\w/.-])\d{{1,5}}[a-z]?,?\s(?P<a>{_TAIL_WORD})(?:[ ]{_TAIL_WORD})?[ ](?:st|rd|ave|blvd|boulevard|square|parade|way)\b"
     r"|(?<![\w/.-])\d{1,5}(?: (?:bis|ter))?,?\s(?:rue|avenue|boulevard|chemin|impasse|quai|allée)\s(?:de la |de l'|des |de |du |d')?(?P<b>[^\W\d_][\w'-]{0,40}+)(?:[ ][^\W\d_][\w'-]{0,40}+)?"
     r"|(?<!\w)(?P<c>[^\W\d_]{2,30}(?:straße|strasse|str\.|weg|gasse|platz|allee))\s\d{1,4}[a-z]?(?!\w)"
     r"|(?<!\w)(?P<d>calle|avenida|plaza|paseo|via|viale|piazza|corso)\s(?:de la |del |de |della )?[^\W\d_][\w'-]{0,40}+(?:[ ][^\W\d_][\w'-]{0,40}+)?,?\s\d{1,4}(?!\w)"
 )
+_STREET_CUES = (" st ", " st,", " st.", " rd", " ave", " blvd", " square", " parade", " way", "rue ", "avenue ", "boulevard ", "chemin ", "impasse ", "quai ", "allée ", "straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", "calle ", "avenida ", "plaza ", "paseo ", "via ", "viale ", "piazza ", "corso ")
 _STOP = frozenset(
     "whatsapp only saya and at for is are was has have will who runs the a an in on of to di akan yang untuk pada dan ist im in am please pls ring gate near from with or you we she he it i so if my her his our your this that they can may see ask email write call contact photos sie".split()
 )
@@ -220,7 +221,6 @@ _NAMES = [
 GIVEN = frozenset(
     "aaron adam ahmad aisha alan alex alexander ali alice amanda amy andrea andrew angela anita ann anna anne anthony arun barbara ben benjamin betty brian carlos carol caroline catherine charles charlotte christian christine christopher claire daniel david deborah diana donald donna dorothy edward elena elizabeth emily emma eric eva fatimah frank frederick george grace hannah hans harry hassan heather helen henry ibrahim ismail jack jacob james jane jason jean jennifer jessica joan john jonathan jose joseph joshua juan julia julie karen karl katherine kavitha keith kenneth kevin klaus kumar laura lauren linda lisa louise lucas lucy luis margaret maria marie mark martin mary matthew megan melissa michael michelle mohamed mohammad muhammad nancy natalie nicholas nicole norman nurul olivia oliver oscar pamela patricia patrick paul pedro peter philip priya rachel rajesh ravi rebecca richard robert ruth ryan samantha samuel sandra sara sarah scott sharon simon siti sofia sophia sophie stefan stephanie stephen steven stuart susan suresh thomas timothy victor victoria vincent virginia walter william yusof zoe".split()
 )
-_LETTERS = re.compile(r"[a-z]+")
 _NEXT_WORD = re.compile(rf" ({_W})(?![\w@])")
 
 
@@ -281,7 +281,7 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
         if s[b - 1].isalpha():
             b = _trim_tail(t, text, a + (m.group().find(" ") + 1 if text[t.start[a]].islower() or text[t.start[a]].isdigit() else 0), b)
         take("address", a, b)
-    for m in _CAPITAL_ADDRESS.finditer(s):
+    for m in _CAPITAL_ADDRESS.finditer(s) if any(c in s for c in _STREET_CUES) else ():
         if text[t.start[m.start(m.lastgroup)]].isupper():
             take("address", m.start(), m.end())
     for cues, p in _NAMES:
@@ -292,7 +292,7 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
             b = _third_part(t, text, a, _trim_tail(t, text, a, b))
             if s[a:b].split(" ")[0] not in _STOP:
                 take("name", a, b)
-    for given in GIVEN.intersection(_LETTERS.findall(s)):
+    for given in GIVEN.intersection(s.replace("(", " ").split()):
         for m in re.finditer(rf"\b{given}\s({_W})(?![\w@])", s):
             (a, b), last = m.span(), m.group(1)
             if last not in _STOP and last not in _NO_NAME and all(_capitalised(text[t.start[x] : t.end[y - 1]]) for x, y in ((a, a + len(given)), m.span(1))):

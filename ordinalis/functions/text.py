@@ -43,6 +43,7 @@ KEYWORDS = {
 MALAY = r"\b(?:dan|untuk|yang|anak|ini|saya|ada|tak|nak|sangat|comel|dengan)\b"
 COUNTED = "(?:kittens|puppies|pups|cats|dogs|siblings|babies|of them)"
 
+# The number pattern and, in age_months and pet_count below, what may stand between a number and its unit.
 NUMBER = r"(\d+(?:\.\d+)?|" + "|".join(NUMBER_WORDS) + ")"
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

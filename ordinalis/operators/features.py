@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ordinalis.functions import text as T
 from ordinalis.functions import vectors as V
+from ordinalis.operators import knn
+from ordinalis.session import cut
 
 
 def text_features(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,7 +21,7 @@ def text_features(df: DataFrame, key: str, text: str) -> DataFrame:
     return frame.withColumn("type_text", F.signum(F.col("kw_dog") - F.col("kw_cat")).cast("int"))
 
 
-def pool_children(children: DataFrame, parent: str, order: list[str], columns: list[str]) -> DataFrame:
+def pool_children(children: DataFrame, parent: str | list[str], order: list[str], columns: list[str]) -> DataFrame:
     """First (by ``order``, first non-null), mean and max of every column per parent, suffixed ``_first``, ``_mean`` and ``_max``."""
     place = F.struct(*order)
     aggregates: list[Column] = []
@@ -81,3 +83,34 @@ def zero_shot(items: DataFrame, key: str, vector: str, prototypes: DataFrame, sc
     exps = top.select(key, "grp", F.transform("l", lambda x: F.struct(x["label"].alias("label"), F.exp(x["z"] - F.col("top")).alias("e"))).alias("l"))
     total = exps.withColumn("total", F.aggregate("l.e", F.lit(0.0), lambda a, x: a + x))
     return total.select(key, "grp", "total", F.explode("l").alias("x")).select(key, "grp", F.col("x.label").alias("label"), (F.col("x.e") / F.col("total")).alias("p"))
+
+
+def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    """``df`` with ``prefix`` before the name of every column but ``keep``."""
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in keep})
+
+
+def encoder_bundle(tag: str, photos: DataFrame, listings: DataFrame, prototypes: DataFrame, texts: DataFrame | None = None, *, k: int = 5, scale: float = 100.0) -> DataFrame:
+    """All features of one encoder per listing, named ``tag``_...: zero-shot probabilities of every photo pooled to first, mean and max
+    (zs_group_label_...), out-of-fold neighbour targets of the pooled vector (img_...), and the similarity of the listing's text to the
+    mean and the first photo (txt_img_...) where ``texts`` is given.
+
+    ``photos`` has PetID, img_idx, path (each once) and img_emb, ``listings`` PetID (each once), y (null where unknown) and fold,
+    ``prototypes`` grp, label and vector, ``texts`` PetID and vector. Listings without a usable photo keep their row, with nulls.
+    """
+    good = cut(photos.where(V.usable("img_emb")).select("PetID", "img_idx", "path", "img_emb"))
+    labels = [tuple(r) for r in prototypes.select("grp", "label").distinct().orderBy("grp", "label").limit(10_000).collect()]  # a dictionary
+    shares = zero_shot(good, "path", "img_emb", prototypes, scale).join(good.select("path", "PetID", "img_idx").hint("merge"), "path")
+    pooled = pool_children(shares, ["PetID", "grp", "label"], ["img_idx", "path"], ["p"])
+    pick = lambda g, name, a: F.max(F.when((F.col("grp") == g) & (F.col("label") == name), F.col(f"p_{a}"))).alias(f"zs_{g}_{name}_{a}")
+    wide = pooled.groupBy("PetID").agg(*(pick(g, name, a) for g, name in labels for a in ("first", "mean", "max")))
+    vectors = cut(pool_vectors(good, "PetID", ["img_idx", "path"], "img_emb").drop("n"))
+    placed = listings.join(vectors.hint("merge"), "PetID")
+    queries = cut(placed.select(F.col("PetID").alias("q"), F.col("mean_vector").alias("vec"), "fold", F.lit(True).alias("valid")))
+    found = knn.knn_join(queries, placed.where("y is not null").select(F.col("PetID").alias("r"), F.col("mean_vector").alias("vec"), "fold", "y"), k)
+    near = prefixed(knn.knn_target(found, queries), "img_", "q").withColumnRenamed("q", "PetID")
+    out = listings.select("PetID").join(wide, "PetID", "left").join(near, "PetID", "left")
+    if texts is not None:
+        both = vectors.join(texts.select("PetID", F.col("vector").alias("__t")), "PetID")
+        out = out.join(both.select("PetID", V.dot("__t", "mean_vector").alias("txt_img_mean"), V.dot("__t", "first_vector").alias("txt_img_first")), "PetID", "left")
+    return prefixed(out, f"{tag}_", "PetID")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ordinalis.session import cut
+
 #: Queries sent to the executors at once; more queries take further passes over the reference rows.
 CHUNK = 32_768
 
@@ -48,12 +50,17 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, *, chunk: int = C
         asked, good = _matrix(table["vec"], width)
         names, folds = table["q"].to_numpy()[good], table["fold"].to_numpy(float)[good]
         sent = spark.sparkContext.broadcast((names, folds, asked[good], width))
-        part = reference.where("r is not null and vec is not null").select("r", "vec", "fold", "y").mapInPandas(_best_of(sent, k), schema)
+        part = _ranked(reference.where("r is not null and vec is not null").select("r", "vec", "fold", "y").mapInPandas(_best_of(sent, k), schema), k)
+        if passes > 1:  # written before the next pass, so one chunk of queries is held at a time
+            part = cut(part)
+            sent.destroy()
         whole = part if whole is None else whole.unionByName(part)
-    if whole is None:
-        whole = spark.createDataFrame([], schema)
+    return _ranked(spark.createDataFrame([], schema), k) if whole is None else whole
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "r"))
-    return whole.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _best_of(sent, k: int):
@@ -77,12 +84,61 @@ def _best_of(sent, k: int):
     return run
 
 
-def knn_target(neighbours: DataFrame, queries: DataFrame, power: float = 4.0, valid: str = "valid") -> DataFrame:
+def knn_target(neighbours: DataFrame, queries: DataFrame, power: float = 4.0, valid: str = "valid", k: int | None = None) -> DataFrame:
     """(q, knn_y, nn1_y, nn1_sim, knn_mean_sim): similarity-weighted target of the neighbours, the nearest one's target, the largest
     and the mean similarity, clipped to [0, 1]. The two targets are null for queries that are not ``valid``; all are null without
-    neighbours."""
+    neighbours. With ``k``, neighbours that are missing count as k of similarity 0 and unknown target."""
     s = F.greatest(F.least(F.col("sim"), F.lit(1.0)), F.lit(0.0))
     weight = F.pow(s, F.lit(power))
-    features = neighbours.groupBy("q").agg((F.sum(weight * F.col("y")) / (F.sum(weight) + 1e-9)).alias("knn_y"), F.min_by("y", "rank").cast("double").alias("nn1_y"), F.max(s).alias("nn1_sim"), F.avg(s).alias("knn_mean_sim"))
+    mean = F.avg(s) if k is None else F.sum(s) / k
+    features = neighbours.groupBy("q").agg((F.sum(weight * F.col("y")) / (F.sum(weight) + 1e-9)).alias("knn_y"), F.min_by("y", "rank").cast("double").alias("nn1_y"), F.max(s).alias("nn1_sim"), mean.alias("knn_mean_sim"))
     joined = queries.select("q", valid).join(features, "q", "left")
+    if k is not None:
+        joined = joined.na.fill(0.0, ["knn_y", "nn1_sim", "knn_mean_sim"])
     return joined.select("q", F.when(F.col(valid), F.col("knn_y")).alias("knn_y"), F.when(F.col(valid), F.col("nn1_y")).alias("nn1_y"), "nn1_sim", "knn_mean_sim")
+
+
+#: Rarest terms of a query that give its first candidates.
+SEEDS = 8
+
+
+def sparse_knn_join(postings: DataFrame, docs: DataFrame, key: str, k: int, *, seeds: int = SEEDS) -> DataFrame:
+    """(q, r, y, sim, rank): the k reference documents most similar to each document, of another fold where both have one; exact.
+
+    ``postings`` has key, term, df, weight with documents of length one; ``docs`` has key, fold, y, and is a reference where y is not null
+    and valid. Only similarities above 0 count, rounded to 9 digits, ties by the smaller key.
+
+    Candidates by a document's rarest terms give a lower bound of its k-th similarity. A reference that shares no term of its prefix,
+    the rarest terms up to where the rest of the document is shorter than that bound, cannot reach it; so only prefixes are joined with
+    the postings, and the most frequent terms, which would pair all with all, seldom take part.
+    """
+    order = W.partitionBy(key).orderBy("df", "term")
+    before = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    ranked = cut(postings.select(F.col(key).alias("q"), "term", "weight", F.row_number().over(order).alias("place"), F.sqrt(F.greatest(1.0 - F.coalesce(before, F.lit(0.0)), F.lit(0.0))).alias("rest")))
+    asked = docs.select(F.col(key).alias("q"), F.col("fold").alias("qf"))
+    known = docs.where("y is not null and valid").select(F.col(key).alias("r"), F.col("fold").alias("rf"), "y")
+    held = cut(ranked.select(F.col("q").alias("r"), "term").join(known, "r"))
+    packed = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "weight")))
+    vectors = cut(ranked.groupBy("q").agg(packed.alias("p")).select("q", F.col("p.h").alias("h"), F.col("p.weight").alias("w")))
+    types = {c: postings.schema[key].dataType.simpleString() for c in ("q", "r")} | {"y": docs.schema["y"].dataType.simpleString()}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sims = []
+            for ha, wa, hb, wb in zip(batch["ha"], batch["wa"], batch["hb"], batch["wb"], strict=True):
+                _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+                sims.append(round(float(np.dot(np.asarray(wa)[i], np.asarray(wb)[j])), 9))
+            yield batch[["q", "r", "y"]].assign(sim=sims)
+
+    def best(prefix: DataFrame) -> DataFrame:
+        met = prefix.join(asked, "q").join(held, "term").where((F.col("q") != F.col("r")) & ~F.coalesce(F.col("qf") == F.col("rf"), F.lit(False))).select("q", "r", "y").distinct()
+        left = vectors.select("q", F.col("h").alias("ha"), F.col("w").alias("wa"))
+        right = vectors.select(F.col("q").alias("r"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+        both = met.join(left.hint("merge"), "q").join(right.hint("merge"), "r")
+        scored = both.select("q", "r", "y", "ha", "wa", "hb", "wb").mapInPandas(score, f"q {types['q']}, r {types['r']}, y {types['y']}, sim double")
+        return _ranked(scored.where("sim > 0"), k)
+
+    first = best(ranked.where(F.col("place") <= seeds))
+    bound = cut(first.groupBy("q").agg(F.min("sim").alias("least"), F.count("*").alias("n"))).where(F.col("n") >= k)
+    prefix = ranked.join(bound.hint("merge"), "q", "left").where(F.col("rest") >= F.coalesce(F.col("least"), F.lit(0.0)) - 1e-6)
+    return best(prefix.select("q", "term"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -25,16 +26,34 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features", missing:
 
 
 def ridge(train: DataFrame, y: str, alpha: float, features: str = "features"):
-    """Ridge with an unpenalised intercept, penalty ``alpha`` on the sum of squared errors, by normal equations in one pass."""
+    """Ridge with an unpenalised intercept, penalty ``alpha`` on the sum of squared errors, by normal equations in one pass; for at most
+    4,096 features. Sparse features of any number are in ``sparse.ridge_oof``."""
     n, deviation = train.agg(F.count("*"), F.stddev_pop(F.col(y).cast("double"))).first()
     if not n:
         raise ValueError("ridge needs rows")
     return LinearRegression(featuresCol=features, labelCol=y, predictionCol="pred", elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha / n * (deviation or 1.0)).fit(train)
 
 
-def gbt(train: DataFrame, y: str, features: str = "features", rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
+# What level 2 changes of the boosting parameters.
+LEVEL2 = {"rate": 0.01, "leaf": 40, "depth": 4}
+
+
+def gbt(train: DataFrame, y: str, features: str = "features", rounds: int = 20, depth: int = 5, rate: float = 0.1, leaf: int = 20, seed: int = 42):
     """Gradient-boosted trees."""
-    return GBTRegressor(featuresCol=features, labelCol=y, predictionCol="pred", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.6", minInstancesPerNode=5).fit(train)
+    return GBTRegressor(featuresCol=features, labelCol=y, predictionCol="pred", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.6", minInstancesPerNode=leaf).fit(train)
+
+
+class Classifier:
+    """Boosted trees that tell two classes apart; ``pred`` is the probability of class 1."""
+
+    def __init__(self, train: DataFrame, y: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42) -> None:
+        made = GBTClassifier(labelCol=y, predictionCol="__label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.6")
+        made.set(made.probabilityCol, "__p")
+        made.set(made.rawPredictionCol, "__raw")
+        self.model = made.fit(train)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("pred", vector_to_array("__p")[1]).drop("__label", "__p", "__raw")
 
 
 def stopped(train: DataFrame, valid: DataFrame, y: str, rounds: int = 5000, patience: int = 200, step: int = 200, **parameters):
@@ -49,10 +68,32 @@ def stopped(train: DataFrame, valid: DataFrame, y: str, rounds: int = 5000, pati
         tried = min(2 * tried, rounds)
 
 
+def boosted(df: DataFrame, key: str, y: str, names: list[str], n_folds: int = 5, seeds: tuple[int, ...] = (42,), rounds: int = 5000, patience: int = 200, step: int = 200, **parameters) -> dict:
+    """Boosting on fixed folds, every fold stopped by its own rows: oof (key, y, fold, pred), averaged over seeds; importance (feature, gain),
+    the mean over folds and seeds; best_rounds, one per fold and seed, which size a refit on all rows; kappas, one per seed."""
+    frames, gains, best_rounds, kappas = [], dict.fromkeys(names, 0.0), [], []
+    known = df.where(F.col(y).isNotNull())
+    for seed in seeds:
+        fits = []
+        for f in range(n_folds):
+            fits.append(stopped(known.where(F.col("fold") != f), known.where(F.col("fold") == f), y, rounds, patience, step, seed=seed, **parameters))
+            best_rounds.append(fits[-1][1])
+            for name, gain in importance(fits[-1][0], names):
+                gains[name] += gain / (n_folds * len(seeds))
+        models_of = iter([m for m, _ in fits])
+        frames.append(cut(out_of_fold(df, key, y, lambda _, m=models_of: next(m), n_folds)))
+        kappas.append(oof_kappa(frames[-1], y))
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    oof = whole.groupBy(key, y, "fold").agg(F.avg("pred").alias("pred"))
+    return {"oof": oof, "importance": sorted(gains.items(), key=lambda x: (-x[1], x[0])), "best_rounds": best_rounds, "kappas": kappas}
+
+
 def out_of_fold(df: DataFrame, key: str, y: str, fit: Callable[[DataFrame], object], n_folds: int = 5) -> DataFrame:
     """(key, y, fold, pred): every labelled row predicted by a model that never saw its fold, every unlabelled row (null ``y``) by the
-    mean of all of them. ``df`` has features and fold."""
-    rows = df.select(key, F.col(y).cast("double").alias(y), "fold", "features").persist()
+    mean of all of them. ``df`` has features and fold; it is written down, as every model reads it several times."""
+    rows = cut(df.select(key, F.col(y).cast("double").alias(y), "fold", "features"))
     known, parts, tests = rows.where(F.col(y).isNotNull()), [], []
     for f in range(n_folds):
         model = fit(known.where(F.col("fold") != f))
@@ -85,7 +126,7 @@ def stack(level1: dict[str, DataFrame], base: DataFrame, key: str, y: str, colum
     ready = cut(assemble(wide, [*columns, *(f"l1_{n}" for n in level1)]))
     whole = None
     for s in seeds:
-        part = out_of_fold(ready, key, y, lambda t, s=s: gbt(t, y, seed=s), n_folds)
+        part = out_of_fold(ready, key, y, lambda t, s=s: gbt(t, y, seed=s, depth=LEVEL2["depth"], leaf=LEVEL2["leaf"]), n_folds)
         whole = part if whole is None else whole.unionByName(part)
     return whole.groupBy(key, y, "fold").agg(F.avg("pred").alias("pred"))
 
@@ -101,7 +142,7 @@ def blend(frames: dict[str, DataFrame], base: DataFrame, key: str, y: str, alpha
 def adversarial(df: DataFrame, key: str, is_test: str, columns: list[str], n_folds: int = 5) -> DataFrame:
     """(auc) of telling test rows from training rows out of fold; near 0.5 means the splits look alike. ``df`` has fold."""
     ready = assemble(df.withColumn(is_test, F.col(is_test).cast("double")), columns)
-    scored = out_of_fold(ready, key, is_test, lambda t: gbt(t, is_test), n_folds)
+    scored = out_of_fold(ready, key, is_test, lambda t: Classifier(t, is_test), n_folds)
     return metrics.auc(scored, is_test, "pred")
 
 
@@ -145,12 +186,27 @@ def ensemble(frames: list[DataFrame], key: str) -> DataFrame:
     return whole.groupBy(key).agg(F.avg("pred").alias("pred"), F.count("pred").alias("__n")).where(F.col("__n") == len(frames)).select(key, "pred")
 
 
-def full_refit(df: DataFrame, y: str, best_rounds: list[int], growth: float = 1.15, seed: int = 42):
+def full_refit(df: DataFrame, y: str, best_rounds: list[int], growth: float = 1.15, seed: int = 42, **parameters):
     """Boosted trees on all labelled rows, with the mean of the folds' best rounds stretched by ``growth``."""
-    rounds = max(1, round(sum(best_rounds) / len(best_rounds) * growth))
-    return gbt(df.where(F.col(y).isNotNull()), y, rounds=rounds, seed=seed)
+    rounds = max(1, int(sum(best_rounds) / len(best_rounds) * growth))
+    return gbt(df.where(F.col(y).isNotNull()), y, rounds=rounds, seed=seed, **parameters)
+
 
+# The gains in honest kappa from which a candidate run is submitted.
+GATES = {"A": -0.002, "B": 0.005, "C": 0.005}
 
-def accept(gain: float, least: float = 0.005) -> bool:
+
+def accept(gain: float, least: float = GATES["B"]) -> bool:
     """Whether a candidate's honest gain passes the gate."""
     return gain >= least
+
+
+def honest_kappa(oof: DataFrame, y: str, n_folds: int = 5) -> float:
+    """Kappa with every fold labelled by the cut-points of the others."""
+    return honest_labels(oof, y, n_folds=n_folds).where(F.col(y).isNotNull()).agg(metrics.qwk(y, "label").alias("q")).first()["q"] or 0.0
+
+
+def gate(runs: dict[str, tuple[str, DataFrame]], base: str, y: str, n_folds: int = 5) -> list[tuple[str, float, float, bool]]:
+    """(run, honest kappa, gain over ``base``, accepted) of every run; each is given with the name of its gate."""
+    scores = {name: honest_kappa(oof, y, n_folds) for name, (_, oof) in runs.items()}
+    return [(name, scores[name], scores[name] - scores[base], accept(scores[name] - scores[base], GATES[kind])) for name, (kind, _) in runs.items()]

@@ -36,8 +36,14 @@ _PHOTO = """photo AS (
     FROM (SELECT path, flat, regexp_replace(regexp_extract(flat, '([^/]*)$', 1), '(?i)\\.(?:jpg|jpeg|png)$', '') AS stem
           FROM (SELECT DISTINCT path, replace(path, '\\', '/') AS flat FROM image_index))
     WHERE regexp_matches(flat, '(?i)\\.(?:jpg|jpeg|png)$') AND regexp_matches(stem, '^[0-9a-f]+-\\d+$'))"""
-_VEC = """vec AS (SELECT path, max(v) AS v FROM (SELECT path, CAST(img_emb AS DOUBLE[]) AS v, list_sum(list_transform(img_emb, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS q FROM clip_img_emb)
+
+
+def _vectors(encoder: str) -> str:
+    return f"""(SELECT path, max(v) AS v FROM (SELECT path, CAST(img_emb AS DOUBLE[]) AS v, list_sum(list_transform(img_emb, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS q FROM {encoder}_img_emb)
     WHERE q > 0 AND NOT isnan(q) AND NOT isinf(q) GROUP BY path)"""
+
+
+_VEC = f"vec AS {_vectors('clip')}"
 _PHOTOS = f"{_PHOTO}, {_VEC}, photos AS (SELECT p.*, v.v FROM photo p LEFT JOIN vec v USING (path))"
 
 _NUM = T.NUMBER
@@ -91,6 +97,57 @@ def _dup(thresholds: str) -> str:
     grouped AS (SELECT l.threshold, m.PetID, l.grp FROM member m JOIN label l USING (rep) UNION ALL SELECT threshold, PetID, PetID FROM docs, thr WHERE length(t) < 5)"""
 
 
+_FOLDS = "SELECT PetID, CAST((row_number() OVER (PARTITION BY {y} ORDER BY md5('42-' || PetID), PetID) - 1) % 5 AS INTEGER) AS fold FROM {rows} WHERE {y} IS NOT NULL"
+_KNN_OUT = "sum(power(z, 4) * y) / (sum(power(z, 4)) + 1e-9)"
+
+
+def _text_knn() -> str:
+    docs = f"SELECT split || ':' || PetID AS PetID, {_NORM} AS t FROM both_"
+    return f"""{_tfidf(docs, _CHAR, 2)}, fold AS ({_FOLDS.format(y="AdoptionSpeed", rows="tr")}),
+    meta AS (SELECT b.split || ':' || b.PetID AS id, b.AdoptionSpeed AS y, f.fold, length({_NORM}) >= 5 AS valid FROM both_ b LEFT JOIN fold f ON f.PetID = b.PetID AND b.split = 'train'),
+    sim AS (SELECT q.PetID AS q, r.PetID AS r, round(sum(q.weight * r.weight), 9) AS sim FROM post q JOIN post r ON q.term = r.term AND q.PetID <> r.PetID JOIN meta m ON m.id = r.PetID AND m.y IS NOT NULL AND m.valid JOIN meta n ON n.id = q.PetID
+            WHERE n.fold IS NULL OR m.fold IS NULL OR n.fold <> m.fold GROUP BY ALL),
+    near AS (SELECT q, m.y, least(sim, 1) AS z, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rn FROM sim JOIN meta m ON m.id = r WHERE sim > 0 QUALIFY rn <= 5),
+    per AS (SELECT q, {_KNN_OUT} AS knn_y, CAST(min_by(y, rn) AS DOUBLE) AS nn1_y, max(z) AS nn1_sim, sum(z) / 5 AS knn_mean_sim FROM near GROUP BY q)
+    SELECT id, CASE WHEN valid THEN round(coalesce(knn_y, 0), 6) END AS knn_y, CASE WHEN valid THEN nn1_y END AS nn1_y, round(coalesce(nn1_sim, 0), 6) AS nn1_sim, round(coalesce(knn_mean_sim, 0), 6) AS knn_mean_sim FROM meta LEFT JOIN per ON q = id"""
+
+
+def _bundles() -> str:
+    parts, columns = [], []
+    for tag, size in (("clip", 64), ("siglip", 48)):
+        pools = [(f"{tag}_zs_slot_{s}_{a}", s, a) for s in (1, 2, 3) for a in ("first", "mean", "max")]
+        near = ["knn_y", "nn1_y", "nn1_sim", "knn_mean_sim"]
+        columns += [*(f"round({c}, 6) AS {c}" for c, _, _ in pools), *(f"round({tag}_img_{c}, 6) AS {tag}_img_{c}" for c in near)]
+        how = {"first": "arg_min(p, (img_idx, path))", "mean": "avg(p)", "max": "max(p)"}
+        parts.append(f"""{tag}_v AS (SELECT p.*, v.v, list_transform(v.v, lambda x: x / sqrt(list_dot_product(v.v, v.v))) AS u, least(greatest(p.img_idx, 1), 3) AS slot FROM photo p JOIN {_vectors(tag)} v USING (path)),
+        {tag}_c AS (SELECT slot, i, avg(x) AS c FROM (SELECT slot, unnest(u) AS x, unnest(range(0, {size})) AS i FROM {tag}_v WHERE slot IS NOT NULL) GROUP BY slot, i),
+        {tag}_m AS (SELECT slot, list(c / l ORDER BY i) AS m FROM (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY slot)) AS l FROM {tag}_c) GROUP BY slot),
+        {tag}_z AS (SELECT v.PetID, v.img_idx, v.path, m.slot, 100 * list_dot_product(v.u, m.m) AS z FROM {tag}_v v, {tag}_m m),
+        {tag}_e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY path)) AS e FROM {tag}_z),
+        {tag}_p AS (SELECT *, e / sum(e) OVER (PARTITION BY path) AS p FROM {tag}_e),
+        {tag}_w AS (SELECT PetID, {", ".join(f"{how[a]} FILTER (slot = {s}) AS {c}" for c, s, a in pools)} FROM {tag}_p GROUP BY PetID),
+        {tag}_a AS (SELECT PetID, list(m / l ORDER BY i) AS m FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY PetID)) AS l FROM (SELECT PetID, i, avg(x) AS m FROM (SELECT PetID, unnest(v) AS x, unnest(range(0, {size})) AS i FROM {tag}_v) GROUP BY PetID, i)) GROUP BY PetID),
+        {tag}_k AS (SELECT q.PetID, l.y, round(list_dot_product(q.m, r.m), 9) AS sim, row_number() OVER (PARTITION BY q.PetID ORDER BY round(list_dot_product(q.m, r.m), 9) DESC, r.PetID) AS rn
+            FROM {tag}_a q JOIN listing o ON o.PetID = q.PetID JOIN listing l ON l.y IS NOT NULL AND (o.fold IS NULL OR o.fold <> l.fold) JOIN {tag}_a r ON r.PetID = l.PetID QUALIFY rn <= 5),
+        {tag}_n AS (SELECT PetID, {_KNN_OUT} AS {tag}_img_knn_y, CAST(min_by(y, rn) AS DOUBLE) AS {tag}_img_nn1_y, max(z) AS {tag}_img_nn1_sim, avg(z) AS {tag}_img_knn_mean_sim FROM (SELECT *, greatest(least(sim, 1), 0) AS z FROM {tag}_k) GROUP BY PetID)""")
+    return f"""{_BASE}, {_PHOTO}, pet AS (SELECT PetID, max(AdoptionSpeed) AS y FROM both_ GROUP BY PetID), fold AS ({_FOLDS.format(y="y", rows="pet")}),
+    listing AS (SELECT pet.*, fold.fold FROM pet LEFT JOIN fold USING (PetID)), {", ".join(parts)}
+    SELECT l.PetID, {", ".join(columns)} FROM listing l {" ".join(f"LEFT JOIN {t}_{x} USING (PetID)" for t in ("clip", "siglip") for x in "wn")}"""
+
+
+def _ridge_one(alpha: float = 3.0) -> str:
+    return f"""{_BASE}, pet AS (SELECT PetID, max(AdoptionSpeed) AS y FROM both_ GROUP BY PetID), fold AS (SELECT PetID, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42-' || PetID), PetID) - 1) % 5 AS INTEGER) AS fold FROM pet),
+    x AS (SELECT PetID, min(length({_TEXT})) AS x FROM both_ GROUP BY PetID HAVING count(DISTINCT length({_TEXT})) >= 1),
+    r AS (SELECT pet.PetID, y, fold, CAST(x AS DOUBLE) AS x FROM pet JOIN fold USING (PetID) JOIN x USING (PetID)),
+    m AS (SELECT f.f, avg(y) AS ym, avg(x) AS xm, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + {alpha}) AS b FROM r, range(5) f(f) WHERE y IS NOT NULL AND fold <> f.f GROUP BY f.f)
+    SELECT PetID, CASE WHEN y IS NOT NULL THEN fold END AS fold, round(avg(ym + b * (x - xm)), 6) AS pred FROM r JOIN m ON y IS NULL OR m.f = r.fold GROUP BY PetID, y, fold"""
+
+
+_BOX = """SELECT split, '{c}' AS feature, any_value(n) AS n, any_value(q1) AS q1, any_value(m) AS median, any_value(q3) AS q3, min(v) AS low, max(v) AS high
+    FROM (SELECT split, v, count(*) OVER w AS n, quantile_cont(v, 0.25) OVER w AS q1, quantile_cont(v, 0.5) OVER w AS m, quantile_cont(v, 0.75) OVER w AS q3 FROM (SELECT split, CAST({c} AS DOUBLE) AS v FROM feat) WINDOW w AS (PARTITION BY split))
+    WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY split"""
+
+
 def _over_photos(select: str) -> str:
     return f"WITH {_PHOTOS} {select}"
 
@@ -130,13 +187,15 @@ def oracle_sql() -> dict[str, str]:
         "stratified_folds": f"{_BASE} SELECT PetID, AdoptionSpeed, CAST((row_number() OVER (PARTITION BY AdoptionSpeed ORDER BY md5('42-' || PetID), PetID) - 1) % 5 AS INTEGER) AS fold FROM tr",
         "class_sample": f"{_BASE} SELECT PetID, AdoptionSpeed FROM tr WHERE AdoptionSpeed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY AdoptionSpeed ORDER BY md5('7-' || PetID), PetID) <= 10",
         "subsample_means": f"{_BASE} SELECT CAST(draw AS INTEGER) AS draw, count(*) AS n, round(avg(AdoptionSpeed), 9) AS mean_speed FROM (SELECT draw, AdoptionSpeed FROM tr, range(20) d(draw) WHERE AdoptionSpeed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY draw ORDER BY md5('3-' || draw || ':' || PetID)) <= 50) GROUP BY draw",
-        "photo_pooling": _over_photos("SELECT PetID, " + ", ".join(f"round(arg_min(v[{k + 1}], (img_idx, path)) FILTER (v IS NOT NULL), 6) AS v{k}_first, round(avg(v[{k + 1}]), 6) AS v{k}_mean, round(max(v[{k + 1}]), 6) AS v{k}_max" for k in (0, 1)) + " FROM photos GROUP BY PetID"),
-        "pet_vectors": _over_photos("""SELECT PetID, any_value(n) AS n, round(any_value(f)[1], 6) AS first0, round(max(m) FILTER (i = 1) / sqrt(sum(m * m)), 6) AS mean0, round(max(m) FILTER (i = 64) / sqrt(sum(m * m)), 6) AS mean63
-            FROM (SELECT PetID, i, avg(x) AS m, count(*) AS n, arg_min(v, (img_idx, path)) AS f FROM (SELECT PetID, img_idx, path, v, unnest(v) AS x, unnest(range(1, 65)) AS i FROM photos WHERE v IS NOT NULL) GROUP BY PetID, i) GROUP BY PetID"""),
+        "photo_pooling": _over_photos("""SELECT PetID, CAST(i AS INTEGER) AS pos, round(arg_min(x, (img_idx, path)), 6) AS v_first, round(avg(x), 6) AS v_mean, round(max(x), 6) AS v_max
+            FROM (SELECT PetID, img_idx, path, unnest(v) AS x, unnest(range(0, 64)) AS i FROM photos WHERE v IS NOT NULL) GROUP BY PetID, i"""),
+        "pet_vectors": _over_photos("""SELECT PetID, n, CAST(i AS INTEGER) AS pos, round(f, 6) AS first, round(m / sqrt(sum(m * m) OVER (PARTITION BY PetID)), 6) AS mean
+            FROM (SELECT PetID, i, avg(x) AS m, count(*) AS n, arg_min(x, (img_idx, path)) AS f FROM (SELECT PetID, img_idx, path, unnest(v) AS x, unnest(range(0, 64)) AS i FROM photos WHERE v IS NOT NULL) GROUP BY PetID, i)"""),
         "first_mean_similarity": _over_photos("""SELECT PetID, round(sum(m * fi) / (sqrt(sum(m * m)) * sqrt(sum(fi * fi))), 6) AS sim
             FROM (SELECT PetID, i, avg(x) AS m, arg_min(x, (img_idx, path)) AS fi FROM (SELECT PetID, img_idx, path, unnest(v) AS x, unnest(range(1, 65)) AS i FROM photos WHERE v IS NOT NULL) GROUP BY PetID, i) GROUP BY PetID"""),
-        "photo_bags": f"WITH {_PHOTOS}{_BAG} SELECT PetID, any_value(n) AS n, count(*) AS slots, round(sum(v[1]), 6) AS sum0 FROM bag WHERE slot <= 12 GROUP BY PetID",
-        "attention_pooling": f"WITH {_PHOTOS}{_ATT} SELECT PetID, round(max(w) FILTER (slot = 1), 6) AS first_weight, round(sum(w * v[1]), 6) AS p0, round(ln(1 + any_value(n)), 6) AS log_n FROM att GROUP BY PetID",
+        "photo_bags": f"WITH {_PHOTOS}{_BAG} SELECT PetID, n, CAST(slot - 1 AS INTEGER) AS slot, round(list_sum(v), 6) AS total, round(list_dot_product(v, v), 6) AS squares FROM bag WHERE slot <= 12",
+        "attention_pooling": f"""WITH {_PHOTOS}{_ATT}, flat AS (SELECT PetID, w, unnest(v) AS x, unnest(range(0, 64)) AS pos FROM att), head AS (SELECT PetID, max(w) FILTER (slot = 1) AS first_weight, any_value(n) AS n FROM att GROUP BY PetID)
+            SELECT PetID, round(first_weight, 6) AS first_weight, CAST(pos AS INTEGER) AS pos, round(p, 6) AS p FROM head JOIN (SELECT PetID, pos, sum(w * x) AS p FROM flat GROUP BY PetID, pos UNION ALL SELECT PetID, 64, ln(1 + n) FROM head) USING (PetID)""",
         "attention_by_slot": f"WITH {_PHOTOS}{_ATT} SELECT CAST(slot - 1 AS INTEGER) AS slot, round(avg(w), 6) AS mean_weight, count(*) AS n FROM att WHERE n >= 5 GROUP BY slot",
         "zero_shot": """WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
             u AS (SELECT vec_id, label, unnest(v) / sqrt(list_dot_product(v, v)) AS c, unnest(range(1, 65)) AS i FROM x),
@@ -171,4 +230,11 @@ def oracle_sql() -> dict[str, str]:
         "submission": f"SELECT min(PetID) AS PetID, CAST(1 + length(min(PetID)) % 4 AS INTEGER) AS AdoptionSpeed FROM test WHERE PetID IS NOT NULL GROUP BY {_id('PetID')}",
         "top_photos": _over_photos("SELECT path, round(v[1], 6) AS score FROM photos WHERE v IS NOT NULL ORDER BY score DESC, path LIMIT 4"),
         "photo_joins": f"{with_photos}, per AS (SELECT PetID, count(*) AS n, avg(v[1]) AS m FROM photos GROUP BY PetID) SELECT split, count(*) AS n, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS photos, count(p.m) AS with_vector, round(avg(p.m), 6) AS mean FROM both_ b LEFT JOIN per p USING (PetID) GROUP BY split",
+        "inner_chain": f"{_BASE}, {_PHOTO}, {_VEC} SELECT b.split AS listed, b.source, count(*) AS n, count(DISTINCT PetID) AS n_pets FROM both_ b JOIN photo p USING (PetID) JOIN vec USING (path) GROUP BY ALL",
+        "photo_rows": "SELECT path, position FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM (SELECT DISTINCT path FROM image_index WHERE path IS NOT NULL)) JOIN (SELECT DISTINCT path FROM clip_img_emb WHERE path IS NOT NULL) USING (path)",
+        "length_boxes": f"{parsed}, {feat} " + " UNION ALL ".join(_BOX.format(c=c) for c in ("desc_len", "desc_words")),
+        "length_density": f"{_BASE}, h AS (SELECT split, CAST(least(floor(least(greatest(length({_TEXT}), 0), 1000) / 50.0), 19) AS INTEGER) AS bin, count(*) AS n FROM both_ GROUP BY ALL) SELECT split, bin, n, round(n / sum(n) OVER (PARTITION BY split) / 50.0, 9) AS density FROM h",
+        "text_knn_target": _text_knn(),
+        "encoder_features": _bundles(),
+        "ridge_one": _ridge_one(),
     }

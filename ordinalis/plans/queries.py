@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ordinalis.functions import text as T
 from ordinalis.functions import vectors as V
 from ordinalis.operators import features as O
-from ordinalis.operators import folds, knn, metrics, models, tables, tfidf
+from ordinalis.operators import folds, knn, metrics, models, sparse, tables, tfidf
 from ordinalis.session import cut
 from ordinalis.sources import files
 from ordinalis.sources.tables import canonical_id, pad_id, table
@@ -32,10 +32,10 @@ def _both(spark: SparkSession, folder: str) -> DataFrame:
     return part("train").unionByName(part("test"))
 
 
-def _photos(spark: SparkSession, folder: str) -> DataFrame:
-    """Photos with a readable name, once each, with the clip vector where there is a usable one."""
+def _photos(spark: SparkSession, folder: str, encoder: str = "clip") -> DataFrame:
+    """Photos with a readable name, once each, with the encoder's vector where there is a usable one."""
     names = files.index_photos(table(spark, folder, "image_index").select("path").distinct())
-    vectors = table(spark, folder, "clip_img_emb").groupBy("path").agg(F.max(F.when(V.usable("img_emb"), F.col("img_emb"))).alias("img_emb"))
+    vectors = table(spark, folder, f"{encoder}_img_emb").groupBy("path").agg(F.max(F.when(V.usable("img_emb"), F.col("img_emb"))).alias("img_emb"))
     return names.join(vectors, "path", "left")
 
 
@@ -108,15 +108,22 @@ def subsample_means(spark: SparkSession, folder: str) -> DataFrame:
     return draws.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg("AdoptionSpeed"), 9).alias("mean_speed"))
 
 
+def _numbered(column: str, out: str):
+    """Position and value of a vector's coordinates, as the two columns ``pos`` and ``out``."""
+    return F.posexplode(F.transform(column, lambda x: x.cast("double"))).alias("pos", out)
+
+
 def photo_pooling(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _photos(spark, folder).select("PetID", "img_idx", "path", F.col("img_emb")[0].cast("double").alias("v0"), F.col("img_emb")[1].cast("double").alias("v1"))
-    pooled = O.pool_children(rows, "PetID", ["img_idx", "path"], ["v0", "v1"])
-    return pooled.select("PetID", *(F.round(f"{c}_{a}", 6).alias(f"{c}_{a}") for c in ("v0", "v1") for a in ("first", "mean", "max")))
+    """First, mean and largest value of every coordinate over the photos of a pet."""
+    rows = _photos(spark, folder).where("img_emb is not null").select("PetID", "img_idx", "path", _numbered("img_emb", "v"))
+    pooled = O.pool_children(rows, ["PetID", "pos"], ["img_idx", "path"], ["v"])
+    return pooled.select("PetID", "pos", *(F.round(f"v_{a}", 6).alias(f"v_{a}") for a in ("first", "mean", "max")))
 
 
 def pet_vectors(spark: SparkSession, folder: str) -> DataFrame:
     pooled = O.pool_vectors(_photos(spark, folder), "PetID", ["img_idx", "path"], "img_emb")
-    return pooled.select("PetID", "n", F.round(F.col("first_vector")[0].cast("double"), 6).alias("first0"), F.round(F.col("mean_vector")[0], 6).alias("mean0"), F.round(F.col("mean_vector")[63], 6).alias("mean63"))
+    both = pooled.select("PetID", "n", F.posexplode(F.arrays_zip("first_vector", "mean_vector")).alias("pos", "v"))
+    return both.select("PetID", "n", "pos", F.round(F.col("v.first_vector").cast("double"), 6).alias("first"), F.round("v.mean_vector", 6).alias("mean"))
 
 
 def first_mean_similarity(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,14 +133,15 @@ def first_mean_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 def photo_bags(spark: SparkSession, folder: str) -> DataFrame:
     bag = O.bags(_photos(spark, folder).where(V.usable("img_emb")), "PetID", ["img_idx", "path"], "img_emb")
-    return bag.select("PetID", "n", F.size("bag").cast("long").alias("slots"), F.round(F.aggregate("bag", F.lit(0.0), lambda s, v: s + v[0].cast("double")), 6).alias("sum0"))
+    slots = bag.select("PetID", "n", F.posexplode("bag").alias("slot", "v"))
+    return slots.select("PetID", "n", "slot", *(F.round(F.aggregate("v", F.lit(0.0), f), 6).alias(name) for name, f in (("total", lambda s, x: s + x.cast("double")), ("squares", lambda s, x: s + x.cast("double") * x.cast("double")))))
 
 
 def attention_pooling(spark: SparkSession, folder: str) -> DataFrame:
     bag = O.bags(_photos(spark, folder).where(V.usable("img_emb")), "PetID", ["img_idx", "path"], "img_emb")
     unit = lambda k: [1.0 if j == k else 0.0 for j in range(64)]
     pooled = O.attention_pool(bag, "PetID", [unit(0), unit(1)], [unit(2), unit(3)], [1.0, -1.0])
-    return pooled.select("PetID", F.round(F.col("weights")[0], 6).alias("first_weight"), F.round(F.col("pooled")[0], 6).alias("p0"), F.round(F.col("pooled")[64], 6).alias("log_n"))
+    return pooled.select("PetID", F.round(F.col("weights")[0], 6).alias("first_weight"), F.posexplode("pooled").alias("pos", "p")).withColumn("p", F.round("p", 6))
 
 
 def attention_by_slot(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,13 +346,61 @@ def subsample_kappa(spark: SparkSession, folder: str) -> DataFrame:
     return folds.subsample_kappas(known.select("AdoptionSpeed", label).groupBy("AdoptionSpeed", "label").agg(F.count("*").alias("n")), "AdoptionSpeed", "label", 3000, (189, 378, 567, 946), 0)
 
 
-def stacked(spark: SparkSession, folder: str) -> DataFrame:
+def _level1(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
+    """The model frame and the out-of-fold ridge predictions over photo vectors of both encoders and over both blocks of TF-IDF."""
     frame, columns = _model_frame(spark, folder)
-    first = models.out_of_fold(models.assemble(frame, columns), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0))
-    final = models.stack({"ridge": cut(first)}, frame, "PetID", "AdoptionSpeed", columns, seeds=(42, 43, 44, 45, 46))
+    base = frame.select("PetID", "AdoptionSpeed", "fold")
+    out = {}
+    for tag in ("clip", "siglip"):
+        pooled = O.pool_vectors(_photos(spark, folder, tag), "PetID", ["img_idx", "path"], "img_emb")
+        ready = base.join(pooled.select("PetID", array_to_vector("mean_vector").alias("features")), "PetID")
+        out[f"{tag}_img"] = models.out_of_fold(ready, "PetID", "AdoptionSpeed", lambda t, a=models.ALPHAS[f"{tag}_img"]: models.ridge(t, "AdoptionSpeed", a))
+    docs = cut(_both(spark, folder).groupBy("PetID").agg(F.min("Description").alias("d")).select("PetID", T.matchable("d").alias("m"), T.normalized("d").alias("t")))
+    postings = cut(tfidf.tfidf_word_char(docs, "PetID", F.col("m"), F.col("t"), docs.count()))
+    ready, n_terms = tfidf.sparse_features(postings, base, "PetID")
+    out["tfidf"] = sparse.ridge_oof(ready, "PetID", "AdoptionSpeed", n_terms, models.ALPHAS["tfidf"])
+    return frame, columns, {name: cut(f) for name, f in out.items()}
+
+
+def level1(spark: SparkSession, folder: str) -> DataFrame:
+    """Ridge with the penalty of its kind over the photo vectors of each encoder and over TF-IDF."""
+    parts = [f.select("PetID", F.lit(name).alias("model"), "fold", F.round("pred", 4).alias("pred")) for name, f in _level1(spark, folder)[2].items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def ridge_one(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold ridge on the length of the text alone, which has a closed form."""
+    frame, _ = _model_frame(spark, folder)
+    out = models.out_of_fold(models.assemble(frame, ["desc_len"]), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0))
+    return out.select("PetID", "fold", F.round("pred", 6).alias("pred"))
+
+
+def stacked(spark: SparkSession, folder: str) -> DataFrame:
+    frame, columns, first = _level1(spark, folder)
+    hand = models.out_of_fold(models.assemble(frame, columns), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0))
+    final = models.stack({**first, "hand": cut(hand)}, frame, "PetID", "AdoptionSpeed", columns, seeds=(42, 43, 44, 45, 46))
     return models.honest_labels(final, "AdoptionSpeed").select("PetID", "fold", "label", F.round("pred", 6).alias("pred"))
 
 
+def boosted_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """Gain of every text feature, averaged over folds that stop by their own rows, and that of the refit sized by their best rounds."""
+    frame, columns = _model_frame(spark, folder)
+    ready = cut(models.assemble(frame, columns))
+    made = models.boosted(ready, "PetID", "AdoptionSpeed", columns, rounds=40, patience=5, step=20, depth=4)
+    refit = dict(models.importance(models.full_refit(ready, "AdoptionSpeed", made["best_rounds"], depth=4), columns))
+    return spark.createDataFrame([(name, gain, refit[name]) for name, gain in made["importance"]], "feature string, gain double, refit_gain double")
+
+
+def run_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Honest kappa of two runs and of their mean, the gain over the first, and whether it passes."""
+    frame, columns = _model_frame(spark, folder)
+    run = lambda cols: cut(models.out_of_fold(models.assemble(frame, cols), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0)))
+    a, b = run(columns), run(columns[:7])
+    both = models.ensemble([a, b], "PetID").join(a.drop("pred"), "PetID")
+    rows = models.gate({"all": ("A", a), "meta": ("B", b), "mean": ("C", both)}, "all", "AdoptionSpeed")
+    return spark.createDataFrame([(n, round(q, 6), round(g, 6), ok) for n, q, g, ok in rows], "run string, qwk double, gain double, accepted boolean")
+
+
 def blended(spark: SparkSession, folder: str) -> DataFrame:
     frame, columns = _model_frame(spark, folder)
     part = lambda cols: cut(models.out_of_fold(models.assemble(frame, cols), "PetID", "AdoptionSpeed", lambda t: models.ridge(t, "AdoptionSpeed", 3.0)))
@@ -366,13 +422,61 @@ def penalty_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def adversarial_auc(spark: SparkSession, folder: str) -> DataFrame:
     both = _both(spark, folder)
-    f = both.select("PetID", (F.col("split") == "test").cast("int").alias("is_test"), *(c.alias(n) for n, c in T.meta_features("Description").items())).dropDuplicates(["PetID"])
-    return models.adversarial(cut(folds.stratified_folds(f, "is_test", "PetID", n=5, seed=0)), "PetID", "is_test", list(T.meta_features("Description")))
+    f = O.text_features(both, "PetID", "Description").join(both.groupBy("PetID").agg(F.max((F.col("split") == "test").cast("int")).alias("is_test")), "PetID").dropDuplicates(["PetID"])
+    columns = [c for c in f.columns if c not in ("PetID", "is_test")]
+    return models.adversarial(cut(folds.stratified_folds(f, "is_test", "PetID", n=5, seed=0)), "PetID", "is_test", columns)
 
 
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    return models.project(rows, "vec_id", "features", 8).select("vec_id", F.round(F.abs(F.col("projected")[0]), 5).alias("p0"))
+    return models.project(rows, "vec_id", "features", 32).select("vec_id", *(F.round(F.abs(F.col("projected")[k]), 5).alias(f"p{k}") for k in range(32)))
+
+
+def inner_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings, their photos and the photos' vectors through two inner joins, counted."""
+    vectors = table(spark, folder, "clip_img_emb").where(V.usable("img_emb")).select("path").distinct()
+    rows = _both(spark, folder).select("PetID", F.col("split").alias("listed"), "source").join(image_index(spark, folder), "PetID").join(vectors, "path")
+    return rows.groupBy("listed", "source").agg(F.count("*").alias("n"), F.countDistinct("PetID").alias("n_pets"))
+
+
+def photo_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The row of the ordered photo index that every vector belongs to; a vector without one would fail."""
+    index = tables.positions(table(spark, folder, "image_index").where("path is not null").select("path").distinct(), ["path"])
+    return tables.strict_lookup(table(spark, folder, "clip_img_emb").where("path is not null").select("path").distinct(), "path", index, "path", "position")
+
+
+def length_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    f = _both(spark, folder).select("split", *(c.alias(n) for n, c in T.meta_features("Description").items()))
+    return tables.box_plot(f, ["desc_len", "desc_words"], "split")
+
+
+def length_density(spark: SparkSession, folder: str) -> DataFrame:
+    out = tables.density(_both(spark, folder).select("split", F.length(T.filled("Description")).alias("n")), "n", "split", 0.0, 1000.0, 20)
+    return out.select("split", "bin", "n", F.round("density", 9).alias("density"))
+
+
+def text_knn_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbour targets of every text among the labelled texts of other folds, over character TF-IDF of train and test."""
+    fold = folds.stratified_folds(_listings(spark, folder, "train").where("AdoptionSpeed is not null"), "AdoptionSpeed", "PetID").select(F.concat(F.lit("train:"), "PetID").alias("__id"), "fold")
+    rows = _both(spark, folder).select(F.concat_ws(":", "split", "PetID").alias("id"), F.col("AdoptionSpeed").alias("y"), T.normalized("Description").alias("t"))
+    docs = cut(rows.join(fold, F.col("id") == F.col("__id"), "left").select("id", "y", "fold", "t", (F.length("t") >= 5).alias("valid")))
+    postings = tfidf.tfidf(tfidf.char_terms(docs, "id", F.col("t")), "id", docs.count(), 2)
+    found = knn.sparse_knn_join(postings, docs, "id", 5)
+    out = knn.knn_target(found, docs.select(F.col("id").alias("q"), "valid"), k=5)
+    return out.select(F.col("q").alias("id"), *(F.round(c, 6).alias(c) for c in ("knn_y", "nn1_y", "nn1_sim", "knn_mean_sim")))
+
+
+def encoder_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The bundles of both encoders side by side; the photos at each place of a listing stand in for the prompts."""
+    rows = _both(spark, folder).groupBy("PetID").agg(F.max("AdoptionSpeed").alias("y"))
+    fold = folds.stratified_folds(rows.where("y is not null"), "y", "PetID").select("PetID", "fold")
+    listings = cut(rows.join(fold, "PetID", "left"))
+    out = listings.select("PetID")
+    for tag in ("clip", "siglip"):
+        photos = _photos(spark, folder, tag)
+        prompts = photos.select(F.lit("slot").alias("grp"), F.least(F.greatest("img_idx", F.lit(1)), F.lit(3)).cast("string").alias("label"), F.col("img_emb").alias("vector")).where("label is not null")
+        out = out.join(O.encoder_bundle(tag, photos, listings, prompts), "PetID")
+    return out.select("PetID", *(F.round(c, 6).alias(c) for c in out.columns if c != "PetID"))
 
 
 def queries() -> dict[str, Query]:
@@ -383,5 +487,6 @@ def queries() -> dict[str, Query]:
         duplicate_sweep, kappa, rater_kappa, confusion, roc_auc, spearman, pearson, cut_labels, split_drift, speed_shares, speed_by_age,
         source_by_speed, feature_profile, source_means, length_histogram, speed_spread, largest_group, texts_in_both,
         photo_pets_missing, submission, top_photos, photo_joins, ridge_oof, stacked, blended, column_ablation, penalty_grid, adversarial_auc, principal_components,
+        inner_chain, photo_rows, length_boxes, length_density, text_knn_target, encoder_features, level1, ridge_one, boosted_gain, run_gate,
     )
     return {f.__name__: f for f in named}

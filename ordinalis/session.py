@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "ordinalis") -> SparkSession:
-    """A session for one machine; a cluster brings its own."""
+    """A session for one machine; a cluster brings its own, for which the checkpoint settings here are advisable too."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "ordinalis") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # what nothing refers to any more is deleted
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

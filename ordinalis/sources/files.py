@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +47,9 @@ def index_photos(paths: DataFrame, path: str = "path") -> DataFrame:
 
 def scan_photos(spark: SparkSession, folder: str) -> DataFrame:
     """The photo index of a folder tree with the files' sizes; contents are pruned, so no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return index_photos(files).join(files, "path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    named = files.select("path", *(c.alias(n) for n, c in photo_columns(F.col("path")).items()), "length")
+    return named.where("PetID is not null").select("PetID", "path", "img_idx", "split", "length")
 
 
 def submission(raw_ids: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -62,13 +67,56 @@ def submission(raw_ids: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def write_submission(raw_ids: DataFrame, predictions: DataFrame, path: str) -> None:
-    submission(raw_ids, predictions).write.mode("overwrite").option("header", True).csv(path)
+    """The submission as CSV, in the order of the ids."""
+    submission(raw_ids, predictions).orderBy("PetID").write.mode("overwrite").option("header", True).csv(path)
 
 
-def cached(spark: SparkSession, folder: str, stage: str, parameters: dict, build) -> DataFrame:
-    """The stage's result from ``folder`` if it was written with the same parameters, else built and written. The parameters are part
-    of the name, so a change of them never reads a stale result; a broken write leaves no success mark and is rebuilt."""
-    mark = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_no, vector) of every ``.npy`` matrix below ``path``: half, single or double precision becomes ``array<float>`` or, for
+    doubles, loses no more than single precision does. A vector file is a matrix of one column. Files are read where they lie, one
+    task a file, and their rows leave in blocks."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                matrix = np.load(io.BytesIO(content), allow_pickle=False)
+                matrix = matrix.reshape(len(matrix), -1)
+                for a in range(0, len(matrix), 4096):
+                    part = matrix[a : a + 4096].astype(np.float32)
+                    yield pd.DataFrame({"file": name, "row_no": np.arange(a, a + len(part)), "vector": list(part)})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path)
+    return files.select("path", "content").mapInPandas(rows, "file string, row_no long, vector array<float>")
+
+
+def npy_bytes(df: DataFrame, group: str, order: str, vector: str, dtype: str = "float16") -> DataFrame:
+    """(group, content): the rows of every group, in order, as the bytes of one ``.npy`` matrix. A group is a file, so it must fit a task."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        np.save(held, np.stack(part.sort_values(order)[vector].to_list()).astype(dtype), allow_pickle=False)
+        return pd.DataFrame({group: [part[group].iloc[0]], "content": [held.getvalue()]})
+
+    return df.select(group, order, vector).groupBy(group).applyInPandas(pack, f"{group} {df.schema[group].dataType.simpleString()}, content binary")
+
+
+def fingerprint(spark: SparkSession, inputs: list[str]) -> str:
+    """Changes when a file below one of the paths is added, removed, resized or written anew; contents are not read."""
+    jvm, seen = spark.sparkContext._jvm, []
+    for path in sorted(inputs):
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+        while listed.hasNext():
+            f = listed.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(seen)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, folder: str, stage: str, parameters: dict, build, inputs: list[str] | None = None) -> DataFrame:
+    """The stage's result from ``folder`` if it was written with the same parameters from the same input files, else built and written.
+    Both are part of the name, so a change of either never reads a stale result; a broken write leaves no success mark and is rebuilt."""
+    made_of = [parameters, fingerprint(spark, inputs or [])]
+    mark = hashlib.sha256(json.dumps(made_of, sort_keys=True, default=str).encode()).hexdigest()[:16]
     path = f"{folder}/{stage}-{mark}"
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):

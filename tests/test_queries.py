@@ -7,9 +7,6 @@ import pytest
 
 from ordinalis.plans import oracles, queries
 
-SLOW = {"stacked", "blended", "adversarial_auc", "duplicate_sweep", "column_ablation", "penalty_grid"}
-
-
 def plain(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return v
@@ -29,7 +26,7 @@ def duck(tiny):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, duck, tiny, name):
     df = queries.queries()[name](spark, tiny)
     got = rows_of(df.columns, df.collect())

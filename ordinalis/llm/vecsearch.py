@@ -3,8 +3,12 @@
 Vectors are brought to unit length, so the order of cosines is that of distances. A few Gaussian (2-stable) projections are indexed by
 a kd-tree. If a vector lies at distance d, its squared projected distance is d^2 times a chi-square variable of as many degrees as
 projections. So neighbours are verified in order of projected distance, and a query ends once the next projected distance is so large
-that a vector nearer than the present k-th would show it with a probability below ``MISS``. Every row is indexed: rows stream through
-blocks of bounded size, each with its own tree, and the best of all blocks are merged.
+that a vector nearer than the present k-th would show it with a probability below ``MISS``.
+
+The upper levels of the tree are cut from a bounded sample and divide all vectors into cells of about ``BLOCK`` rows; the lower ones are
+built inside each cell. Every row is indexed. The k-th similarity of a query within the sample is a first bound, so a query is sent to
+the cells that the stopping test does not rule out at once, and meets the rows of each in one task: the rows come first and become a
+tree, the queries stream past it. Neither the rows nor the queries, be they all rows, are ever collected or broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordinalis.session import cut
-
-#: Projections, largest leaf, accepted probability to miss a neighbour at the stop, rows to a tree, queries to a pass.
-PROJECTIONS, LEAF, MISS, BLOCK, QUERIES = 4, 128, 0.05, 65_536, 32_768
+#: Projections, largest leaf, accepted probability to miss a neighbour at the stop, rows to a cell, rows of the sample.
+PROJECTIONS, LEAF, MISS, BLOCK, SAMPLE = 4, 128, 0.05, 16_384, 8192
 
 #: Queries that search a tree together, which bounds the memory of a task, and queries that scan a block together.
 TOGETHER, SCANNED = 4096, 32
@@ -78,8 +80,9 @@ class Tree:
         self.floor = np.stack([low[a:b].min(axis=0) for a, b in bounds])
         self.ceil = np.stack([low[a:b].max(axis=0) for a, b in bounds])
 
-    def search(self, queries: np.ndarray, low: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """(query, row, cosine) of at least the k best per query found until the stopping test held, and the share of leaves seen."""
+    def search(self, queries: np.ndarray, low: np.ndarray, bound: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(query, row, cosine) of at least the k best per query above its ``bound`` found until the stopping test held, and the share of leaves
+        seen."""
         n, leaves = len(queries), len(self.bounds)
         narrow = queries.astype(np.float32)
         gap = np.zeros((n, leaves), np.float32)
@@ -87,7 +90,7 @@ class Tree:
             gap += np.maximum(0, np.maximum(self.floor[None, :, j] - low[:, None, j], low[:, None, j] - self.ceil[None, :, j])).astype(np.float32) ** 2
         nearest = np.argsort(gap, axis=1, kind="stable").astype(np.int32)
         gap = np.take_along_axis(gap, nearest, axis=1)
-        best = np.full((n, k), -2.0, np.float32)
+        best = np.repeat(bound.astype(np.float32)[:, None], k, axis=1)
         index = np.full((n, k), -1, np.int64)
         live, done, step, seen = np.arange(n), 0, 1, 0
         while len(live) and done < leaves:
@@ -114,21 +117,21 @@ class Tree:
             done += ahead
             step = min(2 * step, 64)
             if done < leaves:
-                kth = np.where(index[live, -1] < 0, np.inf, 2 - 2 * best[live, -1])
+                kth = np.where(best[live, -1] <= -2, np.inf, 2 - 2 * best[live, -1])
                 live = live[gap[live, done] < stop * kth]
         ask, rank = np.nonzero(index >= 0)
         row = index[ask, rank]
         exact = np.einsum("ij,ij->i", queries[ask], self.rows[row].astype(np.float64))
         return ask, self.order[row], exact, seen / max(1, n * leaves)
 
-    def nearest(self, queries: np.ndarray, low: np.ndarray, own: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, cosine) with at least the k best rows other than ``own`` per query, ties by row.
+    def nearest(self, queries: np.ndarray, low: np.ndarray, bound: np.ndarray, own: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) with at least the k best rows above ``bound`` other than ``own`` per query, ties by row.
 
         The search keeps some rows more than asked. Where the last of these ties with the k-th, rows as good may have been left out: such
         queries scan the whole block.
         """
         places = 2 * k + 2
-        ask, row, cosine, _ = self.search(queries, low, places, stop)
+        ask, row, cosine, _ = self.search(queries, low, bound, places, stop)
         kept = np.bincount(ask, minlength=len(queries))
         rank = np.arange(len(ask)) - np.repeat(np.cumsum(kept) - kept, kept)
         every, other = (np.full((len(queries), places), -np.inf) for _ in range(2))
@@ -148,75 +151,181 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, projections: int = PROJECTIONS, leaf: int = LEAF, miss: float = MISS, block: int = BLOCK, chunk: int = QUERIES, seed: int = 5) -> DataFrame:
+class Cells:
+    """The upper levels of the tree: splits of the sample at the median of the widest projection until ``wanted`` cells are made, and the
+    number of blocks of each cell, more than one where many rows fall together."""
+
+    def __init__(self, low: np.ndarray, wanted: int, n_rows: int, block: int) -> None:
+        self.split: list[tuple[int, float, int, int] | int] = []
+        floors, ceils, sizes = [], [], []
+        inf = np.full(low.shape[1], np.inf)
+        todo = [(np.arange(len(low)), -inf, inf, wanted, -1, 0)]
+        while todo:
+            rows, floor, ceil, parts, parent, side = todo.pop()
+            if parent >= 0:
+                self.split[parent][2 + side] = len(self.split)
+            spread = np.ptp(low[rows], axis=0) if len(rows) > 1 else np.zeros(low.shape[1])
+            axis = int(spread.argmax())
+            if parts < 2 or spread[axis] == 0:
+                self.split.append([-1, 0.0, len(floors), -1])
+                floors.append(floor), ceils.append(ceil), sizes.append(len(rows))
+                continue
+            values = low[rows, axis]
+            at = float(np.quantile(values, (parts // 2) / parts))
+            at = at if (values < at).any() else float(values[values > at].min())
+            here = len(self.split)
+            self.split.append([axis, at, -1, -1])
+            upper, lower = floor.copy(), ceil.copy()
+            upper[axis] = lower[axis] = at
+            todo += [(rows[values >= at], upper, ceil, parts - parts // 2, here, 1), (rows[values < at], floor, lower, parts // 2, here, 0)]
+        self.floor, self.ceil = np.stack(floors), np.stack(ceils)
+        share = np.array(sizes) / len(low)
+        self.blocks = np.maximum(1, np.ceil(share * n_rows / (1.5 * block))).astype(np.int64)
+        self.first = np.cumsum(self.blocks) - self.blocks
+
+    def of(self, low: np.ndarray) -> np.ndarray:
+        """The cell of every row."""
+        out = np.zeros(len(low), np.int64)
+        todo = [(0, np.arange(len(low)))]
+        while todo:
+            node, rows = todo.pop()
+            axis, at, left, right = self.split[node]
+            if axis < 0:
+                out[rows] = left
+            elif len(rows):
+                below = low[rows, axis] < at
+                todo += [(left, rows[below]), (right, rows[~below])]
+        return out
+
+    def reached(self, low: np.ndarray, kth: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of the cells whose projected distance from a query does not end it; its own cell is always among them."""
+        gap = np.zeros((len(low), len(self.floor)))
+        for j in range(low.shape[1]):
+            gap += np.maximum(0, np.maximum(self.floor[None, :, j] - low[:, None, j], low[:, None, j] - self.ceil[None, :, j])) ** 2
+        return np.nonzero((gap == 0) | (gap < stop * kth[:, None]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, projections: int = PROJECTIONS, leaf: int = LEAF, miss: float = MISS, block: int = BLOCK, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """(query, near, cosine): for each key of ``queries`` the k other keys of ``vectors`` with the largest cosine, ties by key.
 
     Repeated rows count once (a key's vectors are taken to be equal). Null keys and null, empty, all-zero, non-finite or wrongly sized
-    vectors take no part, as query or as neighbour; the size is that of most queries. Fewer than k rows come out where fewer others
-    exist. Queries beyond ``chunk`` take further passes over the vectors, so what is sent to the executors is bounded.
+    vectors take no part, as query or as neighbour; the size is that of most of the sample, the ``sample`` rows with the smallest hashes
+    of their keys. Fewer than k rows come out where fewer others exist.
     """
     spark = vectors.sparkSession
-    wanted = cut(vectors.where(F.col(key).isNotNull()).join(queries.select(F.col(key).alias("__q")).distinct(), F.col(key) == F.col("__q"), "left_semi").groupBy(F.col(key).alias("key")).agg(F.max(vector).alias("vector")))
-    schema = T.StructType([T.StructField("query", vectors.schema[key].dataType), T.StructField("near", vectors.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
-    sizes = wanted.where("size(vector) > 0").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").collect()  # a handful
-    width = sizes[0]["size"] if sizes else 0
-    passes = max(1, -(-sum(s["count"] for s in sizes) // chunk))
-    stop = chi_square_quantile(projections, 1 - miss)
-    parts = []
-    for p in range(passes):
-        table = wanted.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p).toArrow()
-        at, rows = unit_rows(table["vector"], width)
-        if not len(at):
-            continue
-        names = table["key"].take(pa.array(at)).combine_chunks()
-        axes = np.random.default_rng(seed).standard_normal((rows.shape[1], projections))
-        sent = spark.sparkContext.broadcast((names, rows, rows @ axes, axes))
-        parts.append(vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(_searcher(sent, k, leaf, stop, block), schema))
-    if not parts:
+    key_type = vectors.schema[key].dataType
+    schema = T.StructType([T.StructField("query", key_type), T.StructField("near", key_type), T.StructField("cosine", T.DoubleType())])
+    rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    picked = rows.select("key", "vector", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(sample).select("key", "vector").toArrow()
+    sizes = np.asarray(picked["vector"].combine_chunks().value_lengths()) if len(picked) else np.zeros(0, np.int64)
+    width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    at, known = unit_rows(picked["vector"], width)
+    if not len(at):
         return spark.createDataFrame([], schema)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    once = found.groupBy("query", "near").agg(F.max("cosine").alias("cosine"))
+    names = picked["key"].take(pa.array(at)).combine_chunks()
+    first = np.unique(np.asarray(names.dictionary_encode().indices), return_index=True)[1]
+    names, known = names.take(pa.array(first)), known[first]
+    axes = np.random.default_rng(seed).standard_normal((width, projections))
+    n_rows = rows.count()
+    cells = Cells(known @ axes, max(1, -(-n_rows // block)), n_rows, block)
+    stop = chi_square_quantile(projections, 1 - miss)
+    sent = spark.sparkContext.broadcast((names, known.astype(np.float32), axes, cells))
+    placed_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", key_type), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("bound", T.FloatType())])
+    wanted = rows.join(queries.select(F.col(key).alias("__q")).distinct(), F.col("key") == F.col("__q"), "left_semi").groupBy("key").agg(F.max("vector").alias("vector"))
+    hashed = lambda df: df.select("key", "vector", F.xxhash64("key").alias("h"))
+    both = hashed(rows).mapInArrow(_placer(sent), placed_schema).unionByName(hashed(wanted).mapInArrow(_visitor(sent, k, stop), placed_schema))
+    met = both.repartitionById(int(cells.blocks.sum()), F.col("block").cast("int")).sortWithinPartitions("block", "kind").mapInArrow(_searcher(sent, k, leaf, stop), schema)
+    once = met.groupBy("query", "near").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "near"))
     return once.withColumn("__rank", rank).where(F.col("__rank") <= k).select("query", "near", "cosine")
 
 
-def _searcher(sent, k: int, leaf: int, stop: float, block: int):
-    def answer(keys: list[pa.Array], blocks: list[np.ndarray]) -> pa.RecordBatch:
-        names, queries, low, axes = sent.value
-        key = pa.concat_arrays([x.cast(names.type) for x in keys])
+def _batch(block: np.ndarray, kind: int, key: pa.Array, vector: pa.Array, bound: np.ndarray) -> pa.RecordBatch:
+    n = len(block)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.full(n, kind, np.int32)), key, vector.cast(pa.list_(pa.float32())), pa.array(bound.astype(np.float32))], names=["block", "kind", "key", "vector", "bound"])
+
+
+def _placer(sent):
+    """Rows to the block they belong to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, known, axes, cells = sent.value
+        for batch in batches:
+            at, rows = unit_rows(batch.column("vector"), known.shape[1])
+            if len(at):
+                cell = cells.of(rows @ axes)
+                pick = pa.array(at)
+                block = cells.first[cell] + np.asarray(batch.column("h"))[at] % cells.blocks[cell]
+                yield _batch(block, 0, batch.column("key").take(pick), batch.column("vector").take(pick), np.zeros(len(at)))
+
+    return run
+
+
+def _visitor(sent, k: int, stop: float):
+    """Queries to all blocks of the cells they have to see, with the similarity that the k-th neighbour has at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        names, known, axes, cells = sent.value
+        for batch in batches:
+            at, rows = unit_rows(batch.column("vector"), known.shape[1])
+            for a in range(0, len(at), 1024):
+                part, use = rows[a : a + 1024], at[a : a + 1024]
+                key = batch.column("key").take(pa.array(use))
+                score = part.astype(np.float32) @ known.T
+                own = np.asarray(pa.compute.index_in(key, value_set=names).fill_null(-1))
+                score[np.flatnonzero(own >= 0), own[own >= 0]] = -2
+                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(part), -2.0)
+                query, cell = cells.reached(part @ axes, np.where(bound <= -2, np.inf, 2 - 2 * bound), stop)
+                times = cells.blocks[cell]
+                query, block = np.repeat(query, times), np.repeat(cells.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                for b in range(0, len(query), 8192):
+                    few = slice(b, b + 8192)
+                    pick = pa.array(use[query[few]])
+                    yield _batch(block[few], 1, batch.column("key").take(pick), batch.column("vector").take(pick), np.maximum(bound[query[few]] - 4 * TIE, -2))
+
+    return run
+
+
+def _searcher(sent, k: int, leaf: int, stop: float):
+    """In every block the rows, which come first, become a tree, and the queries search it."""
+
+    def build(keys: list[pa.Array], rows: list[np.ndarray], axes: np.ndarray) -> tuple[pa.Array, Tree]:
+        key = pa.concat_arrays(keys)
         first = np.unique(np.asarray(key.dictionary_encode().indices), return_index=True)[1]
         first = first[np.asarray(pa.compute.sort_indices(key.take(pa.array(first))))]
-        key = key.take(pa.array(first))  # one row to a key, in the order of keys
+        return key.take(pa.array(first)), Tree(np.concatenate(rows)[first], axes, leaf)  # one row to a key, in the order of keys
+
+    def answer(part: pa.RecordBatch, key: pa.Array, tree: Tree, axes: np.ndarray) -> pa.RecordBatch:
+        at, queries = unit_rows(part.column("vector"), len(axes))
+        names = part.column("key").take(pa.array(at))
         own = np.asarray(pa.compute.index_in(names, value_set=key).fill_null(-1))
-        tree = Tree(np.concatenate(blocks)[first], axes, leaf)
-        parts = []
-        for a in range(0, len(queries), TOGETHER):
-            part = slice(a, a + TOGETHER)
-            ask, row, cosine = tree.nearest(queries[part], low[part], own[part], k, stop)
-            parts.append((ask + a, row, cosine))
-        ask, row, cosine = (np.concatenate(x) for x in zip(*parts, strict=True))
-        near = key.take(pa.array(row))
-        query = names.take(pa.array(ask))
+        ask, row, cosine = tree.nearest(queries, queries @ axes, np.asarray(part.column("bound"))[at], own, k, stop)
+        query, near = names.take(pa.array(ask)), key.take(pa.array(row))
         return pa.RecordBatch.from_arrays([query, near, pa.array(cosine)], names=["query", "near", "cosine"]).filter(pa.compute.not_equal(query, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        width = sent.value[1].shape[1]
-        keys, blocks, held = [], [], 0
+        axes = sent.value[2]
+        block, keys, rows, made = None, [], [], None
         for batch in batches:
-            at, rows = unit_rows(batch.column("vector"), width)
-            if len(at):
-                keys.append(batch.column("key").take(pa.array(at)))
-                blocks.append(rows.astype(np.float32))
-                held += len(at)
-            if held >= block:
-                yield answer(keys, blocks)
-                keys, blocks, held = [], [], 0
-        if held:
-            yield answer(keys, blocks)
+            at, kind = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if at[a] != block:
+                    block, keys, rows, made = at[a], [], [], None
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    keys.append(part.column("key"))
+                    rows.append(unit_rows(part.column("vector"), len(axes))[1].astype(np.float32))
+                elif keys:
+                    made = made or build(keys, rows, axes)
+                    for c in range(0, len(part), TOGETHER):
+                        yield answer(part.slice(c, TOGETHER), *made, axes)
 
     return run
 

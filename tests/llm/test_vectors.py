@@ -1,6 +1,6 @@
 import numpy as np
 
-from ordinalis.llm.vecsearch import chi_square_quantile, nearest
+from ordinalis.llm.vecsearch import Cells, chi_square_quantile, nearest
 
 
 def test_quantile():
@@ -18,9 +18,9 @@ def test_recall_and_bad_vectors(spark):
     asked = [f"p{k:04}" for k in range(0, 1200, 20)] + ["null", "zero", "nan", "absent"]
     queries = spark.createDataFrame([(q,) for q in asked + asked[:2]], "path string")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for block, chunk in ((400, 1000), (65536, 10)):
+    for block, sample in ((100, 300), (65536, 8192), (400, 4)):
         got = {}
-        for r in nearest(df, queries, "path", "vector", 5, block=block, chunk=chunk).collect():
+        for r in nearest(df, queries, "path", "vector", 5, block=block, sample=sample).collect():
             got.setdefault(r.query, set()).add(r.near)
         assert set(got) == set(asked[:60]) and all(len(v) == 5 for v in got.values())
         right = 0
@@ -57,3 +57,29 @@ def test_repeated_rows_and_copies(spark):
         for r in nearest(df.coalesce(1), spark.createDataFrame([(q,) for q in asked], "path string"), "path", "v", 5, block=block, leaf=leaf, miss=1e-9).collect():
             got.setdefault(r.query, set()).add(r.near)
         assert got == want
+
+
+def test_every_vector_is_a_query(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.5
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in nearest(df, df, "id", "v", 5, block=256, sample=500).collect():
+        got.setdefault(r.query, set()).add(r.near)
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    want = np.argsort(-score, axis=1)[:, :5]
+    assert len(got) == 2000 and sum(len(got[k] & set(want[k].tolist())) for k in range(2000)) >= 0.9 * 10_000
+
+
+def test_cells_hold_every_row_and_split_heavy_ones():
+    rng = np.random.default_rng(2)
+    low = np.concatenate([rng.normal(size=(3000, 4)), np.zeros((1500, 4))])
+    cells = Cells(low, 8, 450_000, 50_000)
+    cell = cells.of(low)
+    assert ((low >= cells.floor[cell]) & (low <= cells.ceil[cell])).all() and cells.blocks[cells.of(np.zeros((1, 4)))[0]] >= 2
+    assert cells.blocks.sum() < 20 and (cells.first == np.cumsum(cells.blocks) - cells.blocks).all()
+    query, reached = cells.reached(low[:50], np.full(50, 1e-9), 9.0)
+    assert {(q, c) for q, c in zip(range(50), cell[:50])} <= set(zip(query.tolist(), reached.tolist()))

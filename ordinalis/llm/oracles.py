@@ -46,6 +46,31 @@ _P4_PAIRS = f"""tr AS ({_FLAT} ({_shingles("train")})),
 pairs AS (SELECT DISTINCT least(a.id, b.id) AS x, greatest(a.id, b.id) AS y FROM tr a JOIN tr b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, a.d, b.id, b.d HAVING {_ALIKE})"""
 P4_FOUND = f"WITH {_P4_PAIRS} SELECT x AS petid_a, y AS petid_b FROM pairs"
 
+P4_GROUPS = f"""WITH RECURSIVE {_P4_PAIRS},
+rec AS (SELECT DISTINCT id FROM ({_shingles("train")})),
+ends AS (SELECT x AS a, y AS b FROM pairs UNION SELECT y, x FROM pairs),
+reach AS (SELECT id AS a, id AS b FROM rec UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b)
+SELECT a AS petid, min(b) AS group_key, (SELECT count(*) FROM ends e WHERE e.a = reach.a) AS n_links FROM reach GROUP BY a"""
+
+
+def _sourced(name: str) -> str:
+    return f"""SELECT DISTINCT '{name}' AS split, {_ID} AS id, source, Description AS d FROM {name}
+    WHERE Description IS NOT NULL AND PetID IS NOT NULL AND len(list_filter(regexp_split_to_array(lower(Description), '{_SPLIT}'), lambda x: x <> '')) >= 40"""
+
+
+P3_REPORT = f"""
+WITH tr AS ({_FLAT} ({_shingles("train")})), te AS ({_FLAT} ({_shingles("test")})),
+alike AS (SELECT a.id AS x, a.d AS xd, b.id AS y, b.d AS yd FROM tr a JOIN te b USING (s) GROUP BY a.id, a.d, b.id, b.d HAVING {_ALIKE}),
+hit AS (SELECT DISTINCT 'train' AS split, x AS id, xd AS d FROM alike UNION SELECT DISTINCT 'test', y, yd FROM alike),
+rec AS (SELECT r.split, r.source, r.id, max(CAST(h.id IS NOT NULL AS INTEGER)) AS hit FROM ({_sourced("train")} UNION ALL {_sourced("test")}) r LEFT JOIN hit h ON h.split = r.split AND h.id = r.id AND h.d = r.d GROUP BY ALL),
+{_PHOTO},
+named AS (SELECT path, folder, pet, number, regexp_extract(lower(replace(path, '\\', '/')), '(?:train|test)/(?:(.+)/)?[^/]+$', 1) AS source FROM photo WHERE folder <> '' AND number IS NOT NULL),
+both_ AS (SELECT a.path AS p, b.path AS q FROM named a JOIN named b ON a.pet = b.pet AND a.number = b.number WHERE a.folder = 'train' AND b.folder = 'test')
+SELECT 'text' AS kind, split, source, count(*) AS n_records, CAST(sum(hit) AS BIGINT) AS n_overlapping FROM rec GROUP BY split, source
+UNION ALL
+SELECT 'photo', folder, source, count(*), count(*) FILTER (path IN (SELECT p FROM both_ UNION SELECT q FROM both_)) FROM named GROUP BY folder, source
+"""
+
 P5_FOUND = """
 WITH raw AS (SELECT 'clip' AS encoder, path, img_emb FROM clip_img_emb UNION ALL SELECT 'siglip', path, img_emb FROM siglip_img_emb),
 sized AS (SELECT encoder, path, list_transform(img_emb, lambda x: CAST(x AS DOUBLE)) AS v FROM raw WHERE img_emb IS NOT NULL AND len(img_emb) > 0),
@@ -57,4 +82,4 @@ QUALIFY row_number() OVER (PARTITION BY q.encoder, q.path ORDER BY list_dot_prod
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND}

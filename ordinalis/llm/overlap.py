@@ -205,15 +205,26 @@ def found(train: DataFrame, test: DataFrame, index: DataFrame) -> DataFrame:
     return texts.select(*pick("text", "train_rec", "test_rec")).unionByName(photo_pairs(index).select(*pick("photo", "train_path", "test_path"))).distinct()
 
 
-def report(train: DataFrame, test: DataFrame, index: DataFrame) -> DataFrame:
-    """(kind, split, source, n_records, n_overlapping, mean_cover) per split and source; a null source has its own row. Photos have
-    no coverage; a record with several partners counts with its best one."""
+def _text_overlaps(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(split, source, rec, n_partners, cover) of every text record; a record with several partners or texts counts with its best cover,
+    and without any the last two are null."""
     members, pairs = overlaps(listing_rows(train, test))
-    best = lambda split: pairs.groupBy(F.col(f"{split}_cls").alias("cls")).agg(F.max(f"{split}_cover").alias("cover")).withColumn("split", F.lit(split))
-    texts = members.join(best("train").unionByName(best("test")), ["split", "cls"], "left")
-    texts = texts.groupBy("split", "source", "rec").agg(F.max("cover").alias("cover")).groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("cover").alias("n_overlapping"), F.avg("cover").alias("mean_cover")).select(F.lit("text").alias("kind"), "*")
+    best = lambda split, other: pairs.groupBy(F.col(f"{split}_cls").alias("cls")).agg(F.max(f"{split}_cover").alias("cover"), F.countDistinct(f"{other}_cls").alias("n_partners")).withColumn("split", F.lit(split))
+    texts = members.join(best("train", "test").unionByName(best("test", "train")), ["split", "cls"], "left")
+    return texts.groupBy("split", "source", "rec").agg(F.max("n_partners").alias("n_partners"), F.max("cover").alias("cover"))
+
+
+def coverage(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(split, source, petid, n_partners, cover) of every overlapping record: how many different texts of the other split it overlaps with,
+    and the part of its words that the best aligned one covers."""
+    return _text_overlaps(train, test).where(F.col("cover").isNotNull()).withColumnRenamed("rec", "petid")
+
+
+def report(train: DataFrame, test: DataFrame, index: DataFrame) -> DataFrame:
+    """(kind, split, source, n_records, n_overlapping) per split and source; a null source has its own row."""
+    texts = _text_overlaps(train, test).groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("cover").alias("n_overlapping")).select(F.lit("text").alias("kind"), "*")
     named = photo_names(index)
     hit = photo_pairs(index)
     hit = hit.select(F.col("train_path").alias("path")).unionByName(hit.select(F.col("test_path").alias("path"))).distinct().withColumn("hit", F.lit(1))
-    photos = named.join(hit, "path", "left").groupBy(F.col("folder").alias("split"), "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping")).select(F.lit("photo").alias("kind"), "*", F.lit(None).cast("double").alias("mean_cover"))
+    photos = named.join(hit, "path", "left").groupBy(F.col("folder").alias("split"), "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping")).select(F.lit("photo").alias("kind"), "*")
     return texts.unionByName(photos)

@@ -33,6 +33,10 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(*(table(spark, folder, t) for t in ("train", "test", "image_index")))
 
 
+def p3_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.coverage(table(spark, folder, "train"), table(spark, folder, "test"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.train_pairs(table(spark, folder, "train"))
 
@@ -79,4 +83,4 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p6_spans, p6_documents, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_masked, p3_found, p3_report, p3_cover, p4_found, p4_groups, p5_found, p6_found, p6_spans, p6_documents, p7_ids, p8_mix, p8_shares, p9_found, p9_profile)}

@@ -184,3 +184,17 @@ def test_photo_pairs(spark):
     paths = ["raw/train/a1b2c3d4e-1.jpg", "raw\\test\\A1B2C3D4E_01 (2).JPG", "raw/test/batch_1/IMG-a1b2c3d4e-1-copy.png", "raw/test/a1b2c3d4e-2.jpg", "raw/train/note.jpg", None]
     df = spark.createDataFrame([(p, 1) for p in paths + paths[:2]], "path string, folder int")
     assert {tuple(r) for r in overlap.photo_pairs(df).collect()} == {(paths[0], paths[1]), (paths[0], paths[2])}
+
+
+def test_report_and_coverage(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near = " ".join("x" if k == 30 else f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    train = spark.createDataFrame([("A", base, "s1"), ("A", base, "s1"), ("b", other, None), ("c", None, "s1"), (None, base, "s1")], "PetID string, Description string, source string")
+    test = spark.createDataFrame([("d", near, "s2"), ("e", base, "s2"), ("f", "short", "s2")], "PetID string, Description string, source string")
+    index = spark.createDataFrame([("raw/train/x/a1-1.jpg",), ("raw/test/y/A1_1.jpg",), ("raw/test/y/a2-1.jpg",), (None,)], "path string")
+    got = {(r.split, r.petid.lstrip("0")): (r.source, r.n_partners, round(r.cover, 3)) for r in overlap.coverage(train, test).collect()}
+    assert got == {("train", "a"): ("s1", 2, 1.0), ("test", "d"): ("s2", 1, round(59 / 60, 3)), ("test", "e"): ("s2", 1, 1.0)}
+    table = {(r.kind, r.split, r.source): (r.n_records, r.n_overlapping) for r in overlap.report(train, test, index).collect()}
+    assert table == {("text", "train", "s1"): (1, 1), ("text", "train", None): (1, 0), ("text", "test", "s2"): (2, 2), ("photo", "train", "x"): (1, 1), ("photo", "test", "y"): (2, 1)}
+    assert overlap.coverage(train.limit(0), test).count() == 0

@@ -37,3 +37,25 @@ def rows_of(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     named = keys.toDF("__key")
     few = keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     return rows.join(F.broadcast(named) if few else named.hint("merge"), F.col(key) == F.col("__key"), "left_semi")
+
+
+#: Tasks that share the pairs of a hot key.
+SPREAD = 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n_rows: int, *, hot_rows: int = HOT_ROWS, spread: int = SPREAD) -> DataFrame:
+    """Inner join of two tables of which neither has unique keys, for instance the members of a bucket with one another.
+
+    A key with more than one part in HOT_SHARE of the ``n_rows`` rows of ``left`` would make all its pairs in one task. Its left rows are
+    dealt to ``spread`` tasks by their hash and its right rows are sent to each of them; the result is that of one join. ``left`` should
+    be materialised: it is read three times where ``n_rows`` reaches ``hot_rows``.
+    """
+    if n_rows < hot_rows:
+        return left.hint("merge").join(right, key)
+    hot = left.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > n_rows / HOT_SHARE).select("__hot", F.lit(True).alias("__is"))
+    mark = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int")
+    dealt = mark(left).withColumn("__part", F.when(F.col("__is"), part).otherwise(F.lit(0))).drop("__hot", "__is")
+    every = F.explode(F.when(F.col("__is"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))
+    sent = mark(right).withColumn("__part", every).drop("__hot", "__is")
+    return dealt.hint("merge").join(sent, [key, "__part"]).drop("__part")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
 from ordinalis.llm.hooking import connected_components
-from ordinalis.operators.lookup import rows_of
+from ordinalis.operators.lookup import HOT_ROWS, rows_of, spread_join
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
@@ -62,21 +62,22 @@ def prepare(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARIT
     return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, schema)
 
 
-def meeting(classes: DataFrame, threshold: float) -> DataFrame:
-    """(c1, c2) of the classes that share a cell of some table; ``classes`` has cls, the sketch, first and second."""
+def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(c1, c2) of the classes that share a cell of some table; ``classes`` has cls, the sketch, first and second. The pairs of a bucket
+    that holds many classes are made by several tasks."""
     buckets = classes.select("cls", *S.SKETCH_COLUMNS, "second", F.posexplode("first").alias("i", "a")).select("cls", *S.SKETCH_COLUMNS, "second", F.xxhash64("i", "a").alias("bucket"))
     side = lambda c, mark: buckets.select("bucket", F.col("cls").alias(c), F.col("second").alias(f"{mark}second"), *(F.col(s).alias(f"{mark}{s}") for s in S.SKETCH_COLUMNS))
-    met = side("c1", "x").hint("merge").join(side("c2", "y"), "bucket")
+    met = spread_join(side("c1", "x"), side("c2", "y"), "bucket", classes.count(), hot_rows=hot_rows)
     cell = F.exists(F.zip_with("xsecond", "ysecond", lambda x, y: x == y), lambda same: same)
     return met.where((F.col("c1") < F.col("c2")) & S.close("x", "y", threshold) & cell).select("c1", "c2").distinct()
 
 
-def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY, *, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members(rec, cls), pairs(c1, c2, similarity)): texts with one shingle set are one class, so copies cost nothing further."""
     prepared = cut(prepared)
     members = prepared.select("rec", "cls").distinct()
     classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "first", "second")))
-    met = cut(meeting(cut(classes), threshold))
+    met = cut(meeting(cut(classes), threshold, hot_rows=hot_rows))
     asked = cut(met.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct())
     sets = rows_of(prepared.select("cls", "shingles"), "cls", asked).groupBy("cls").agg(F.first("shingles").alias("s"))
     both = met.join(sets.select(F.col("cls").alias("c1"), F.col("s").alias("a")).hint("merge"), "c1").join(sets.select(F.col("cls").alias("c2"), F.col("s").alias("b")).hint("merge"), "c2")
@@ -90,13 +91,13 @@ def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY) -> tuple[D
     return members, cut(both.mapInPandas(verify, "c1 binary, c2 binary, similarity double"))
 
 
-def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, **parameters) -> DataFrame:
+def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, *, hot_rows: int = HOT_ROWS, **parameters) -> DataFrame:
     """(a, b) of all pairs of different keys whose texts have at least the similarity ``threshold``, smaller key first.
 
     Rows with a null key or text, and texts under ``min_words`` words, have no pairs; repeated rows count once; a key with several
     texts pairs by any of them and never with itself. Empty input gives no rows.
     """
-    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold)
+    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold, hot_rows=hot_rows)
     left = members.select(F.col("rec").alias("x"), F.col("cls").alias("c1"))
     right = members.select(F.col("rec").alias("y"), F.col("cls").alias("c2"))
     across = pairs.select("c1", "c2").join(left, "c1").join(right, "c2").select("x", "y")
@@ -104,10 +105,10 @@ def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILA
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_groups(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, **parameters) -> DataFrame:
+def near_groups(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, *, hot_rows: int = HOT_ROWS, **parameters) -> DataFrame:
     """(rec, group_key, n_links): one row per text that takes part; group_key is the smallest key linked to it directly or through
     others, n_links the number of other keys with a similar text. Copies are never expanded into pairs."""
-    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold)
+    members, pairs = class_pairs(prepare(rows, key, text, threshold, **parameters), threshold, hot_rows=hot_rows)
     members = cut(members)
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("rec").alias("least"))
     ends = pairs.select(F.col("c1").alias("cls"), F.col("c2").alias("other")).unionByName(pairs.select(F.col("c2").alias("cls"), F.col("c1").alias("other")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
-from ordinalis.operators.lookup import HOT_ROWS, lookup, rows_of
+from ordinalis.operators.lookup import HOT_ROWS, lookup, rows_of, spread_join
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
@@ -72,7 +72,7 @@ def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -
     keys = classes.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS).join(ordered.select("cls", kept.alias("kept")).hint("merge"), "cls")
     keys = cut(keys.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS, F.explode("kept").alias("print")))
     side = lambda split, mark: keys.where(f"in_{split}").select("print", F.col("cls").alias(f"{split}_cls"), *(F.col(c).alias(f"{mark}{c}") for c in S.SKETCH_COLUMNS))
-    met = side("train", "t").hint("merge").join(side("test", "e"), "print")
+    met = spread_join(side("train", "t"), side("test", "e"), "print", n, hot_rows=hot_rows)
     return met.where((F.col("train_cls") != F.col("test_cls")) & S.close("t", "e", threshold)).select("train_cls", "test_cls").distinct()
 
 

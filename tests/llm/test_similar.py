@@ -29,12 +29,13 @@ def brute(a, b):
     return {(min(x, y), max(x, y)) for x, s in sets[0] for y, r in sets[1] if x != y and len(s & r) >= 0.5 * len(s | r)}
 
 
-def test_near_pairs_and_groups(spark):
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_near_pairs_and_groups(spark, hot_rows):
     texts = make_texts()
     rows = [(f"k{i:03}", t) for i, t in enumerate(texts)] + [("k000", texts[0]), ("zcopy", texts[0].upper() + "!!"), ("null", None), (None, texts[0]), ("short", "too short"), ("empty", "")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id string, body string, cls int, s1 string")
     want = brute([r for r in rows if r[0]], [r for r in rows if r[0]])
-    got = {(r.a, r.b) for r in neardup.near_pairs(df, "id", "body").collect()}
+    got = {(r.a, r.b) for r in neardup.near_pairs(df, "id", "body", hot_rows=hot_rows).collect()}
     assert got == want and ("k000", "zcopy") in got
     groups = {r.rec: (r.group_key, r.n_links) for r in neardup.near_groups(df, "id", "body").collect()}
     assert groups["zcopy"][0] == "k000" and "short" not in groups

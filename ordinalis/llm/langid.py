@@ -30,6 +30,8 @@ STATES = (*LANGS, UNKNOWN)
 LATIN = ("en", "ms", "de")
 #: At most this many labelled rows are used to fit the word scores; they are those with the smallest hashes.
 SAMPLE = 6000
+#: So many of them calibrate the confidence.
+CALIBRATION = 1500
 #: Penalties for a switch between and inside sentences, and the length from which texts are judged.
 BETWEEN, INSIDE, MIN_CHARS = 4.0, 14.0, 20
 #: What the words of a stretch must add up to in favour of its language.
@@ -127,11 +129,18 @@ class WordScores:
                     for i in range(len(w)):
                         grams[lang][f"^{w}$"[i : i + 3]] += math.log1p(c)
         whole = {lang: sum(grams[lang].values()) + 100.0 for lang in LATIN}
+        self.leads, self.rates = np.zeros(0), np.zeros(0)
         self.grams = {}
         for g in set().union(*grams.values()):
             logs = [math.log((grams[lang][g] + 0.5) / whole[lang]) for lang in LATIN]
             self.grams[g] = tuple(x - max(logs) for x in logs)
 
+    def sure(self, lead: float) -> float:
+        """The confidence in a language that leads the next best one by so much."""
+        if len(self.leads):
+            return float(np.interp(lead, self.leads, self.rates))
+        return float(1 / (1 + np.exp(-np.clip(lead, -30.0, 30.0))))
+
     def score(self, word: str) -> tuple[float, ...]:
         if (known := self.words.get(word)) is not None:
             return known
@@ -142,6 +151,38 @@ class WordScores:
         return tuple(max(0.5 * (x - max(sums)), -1.5) for x in sums)
 
 
+def calibrate(scores: WordScores, parsed: list[tuple[list[list[str]], str]], bins: int = 40) -> None:
+    """Fit the confidence: how often the beginning of a sentence, of 1, 2, 4, 8 words or the whole, points at the language of its text, by
+    the lead of the best language over the next, as a rising line through bins of equal size. Only texts count whose label and words
+    agree on their language; with fewer than 100 beginnings the confidence stays the logistic function of the lead."""
+    leads, right = [], []
+    for said, label in parsed:
+        if label not in LATIN or not said:
+            continue
+        k = LATIN.index(label)
+        table = [np.array([scores.score(w) for w in s]) for s in said]
+        if sum(t.sum(axis=0) for t in table).argmax() != k:
+            continue
+        for t in table:
+            for n in {1, 2, 4, 8, len(t)}:
+                if n <= len(t):
+                    sums = t[:n].sum(axis=0)
+                    leads.append(sums.max() - np.sort(sums)[-2])
+                    right.append(sums.argmax() == k)
+    if len(leads) < 100:
+        return
+    order = np.argsort(leads, kind="stable")
+    parts = [(x.mean(), (y.sum() + 1) / (len(y) + 2), len(y)) for x, y in zip(np.array_split(np.array(leads)[order], bins), np.array_split(np.array(right, float)[order], bins), strict=True)]
+    pooled: list[list[float]] = []
+    for x, rate, n in parts:  # neighbours that fall are pooled
+        pooled.append([x, rate, n])
+        while len(pooled) > 1 and pooled[-2][1] > pooled[-1][1]:
+            x2, r2, n2 = pooled.pop()
+            x1, r1, n1 = pooled.pop()
+            pooled.append([(x1 * n1 + x2 * n2) / (n1 + n2), (r1 * n1 + r2 * n2) / (n1 + n2), n1 + n2])
+    scores.leads, scores.rates = np.array([p[0] for p in pooled]), np.array([p[1] for p in pooled])
+
+
 def emissions(word: str, script: str, scores: WordScores) -> tuple[float, ...]:
     """One value per language of STATES."""
     if script == "latin":
@@ -214,8 +255,8 @@ def _best_path(words: list[tuple[int, int, str, str, bool]], rows: list[tuple[fl
 def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the maximal stretches in one language; none for texts without words.
 
-    The confidence is the posterior odds of the stretch's language against the next best one, from the stretch's own words; that of
-    ``und`` in Latin script is the share of unknown words.
+    The confidence is calibrated on the lead of the stretch's language over the next best one, from the stretch's own words (see
+    ``calibrate``); that of ``und`` in Latin script is the share of unknown words.
     """
     words = pieces(text) if text else []
     if not words:
@@ -230,7 +271,7 @@ def spans(text: str | None, scores: WordScores) -> list[tuple[int, int, str, flo
         sums = table[a:b].sum(axis=0)
         lang = STATES[path[a]]
         gap = sums[path[a]] - np.delete(sums, path[a]).max()
-        sure = float(1 / (1 + np.exp(-np.clip(gap, -30.0, 30.0))))
+        sure = scores.sure(gap)
         if lang in LATIN and b - a >= STRETCH:
             known = sum(w[2] in scores.words for w in words[a:b]) / (b - a)
             if known < KNOWN:
@@ -278,6 +319,7 @@ def fit_sentences(parsed: list[tuple[list[list[str]], str]], rounds: int = 3) ->
                 if sums[order[0]] - sums[order[1]] > 3.0:
                     counts[LATIN[order[0]]].update(sentence)
         scores = WordScores(counts)
+    calibrate(scores, parsed[:CALIBRATION])
     return scores
 
 
@@ -291,7 +333,7 @@ def fit_on(rows: DataFrame, key: str, text: str, label: str, *, sample: int = SA
         for batch in batches:
             yield pd.DataFrame({"t": batch["t"], "l": batch["l"], "s": ["\n".join(" ".join(s) for s in sentences(t)) for t in batch["t"]]})
 
-    made = picked.mapInPandas(parse, "t string, l string, s string").select("s", "l").toPandas().sort_values(["s", "l"])
+    made = picked.mapInPandas(parse, "t string, l string, s string").select("s", "l").toPandas().sort_values(["s", "l"]).sample(frac=1.0, random_state=0)
     return fit_sentences([([line.split(" ") for line in s.split("\n") if line], label) for s, label in made.itertuples(index=False)])
 
 

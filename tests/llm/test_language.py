@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -72,3 +73,24 @@ def test_documents(spark):
     assert got["aa"] == ("zh", 2) and got["ac"] == ("und", 0) and got["ad"] == ("und", 1) and "ab" not in got and len(got) == 15
     assert all(0 <= r.confidence <= 1 for r in langid.documents(df).collect())
     assert langid.documents(df.limit(0)).count() == 0
+
+
+def test_confidence_is_calibrated():
+    """On words that point at each language with known odds, the confidence is the share of right answers."""
+    rng = random.Random(3)
+    vocabulary = {"en": [f"e{chr(97 + k)}n" for k in range(20)], "ms": [f"m{chr(97 + k)}s" for k in range(20)], "de": [f"d{chr(97 + k)}e" for k in range(20)]}
+
+    def text(lang):
+        other = rng.choice([x for x in vocabulary if x != lang])
+        return " ".join(" ".join(rng.choice(vocabulary[lang if rng.random() < 0.7 else other]) for _ in range(6)).capitalize() + "." for _ in range(5))
+
+    rows = [(text(lang), lang) for lang in vocabulary for _ in range(120)]
+    scores = langid.fit(rows[::2])
+    sure, right = [], []
+    for t, lang in rows[1::2]:
+        for s in langid.sentences(t):
+            sums = [sum(x) for x in zip(*map(scores.score, s[:2]), strict=True)]
+            order = sorted(sums)
+            sure.append(scores.sure(order[-1] - order[-2]))
+            right.append(sums.index(order[-1]) == langid.LATIN.index(lang))
+    assert abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.06 and (scores.rates[1:] >= scores.rates[:-1]).all()

@@ -9,6 +9,7 @@ rows of the graded sample and the counts of words that make up a millionth of th
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ SUBORDINATORS = frozenset("that which who whom whose where when while because al
 PERSONS = frozenset("i you he she it we they me him her us them my your his our their its mum dad".split())
 
 _WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
-_TOKEN = re.compile(r"\S+")
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|<br>")
 
 
@@ -204,12 +204,11 @@ def corpus_rarity(documents: DataFrame, text: str = "text") -> Rarity:
     """Exact counts of the words of all documents; those with LEAST_SHARE or more reach the driver, a bounded number."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         part = lambda: pd.DataFrame({"h": np.array([hashed(w) for w in seen], np.int64), "n": np.array(list(seen.values()), np.int64)})
         for batch in batches:
             for t in batch["txt"]:
-                for w in _WORD.findall(t.lower()):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(_WORD.findall(t.lower()))
                 if len(seen) >= HELD:
                     yield part()
                     seen.clear()
@@ -239,7 +238,7 @@ def english_texts(rows: DataFrame, key: str, schema: str, rarity: Rarity, scores
         for batch in batches:
             use, made = [], []
             for t in batch["text"]:
-                reading = Reading(t, facts) if len(_TOKEN.findall(t)) >= MIN_WORDS else None
+                reading = Reading(t, facts) if len(t.split()) >= MIN_WORDS else None
                 use.append(reading is not None and reading.english() >= ENGLISH)
                 if use[-1]:
                     made.append(features(reading))

@@ -76,16 +76,23 @@ def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -
     return met.where((F.col("train_cls") != F.col("test_cls")) & S.close("t", "e", threshold)).select("train_cls", "test_cls").distinct()
 
 
-def matches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+class Text:
+    """The words of a text with what a comparison needs of them: its runs, the different ones, and the fingerprints with their first places."""
+
+    __slots__ = ("at", "kinds", "prints", "runs", "words")
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.runs = words, S.rolling(words, S.RUN)
+        self.kinds = np.unique(self.runs)
+        places = S.winnow(self.runs, WINDOW)
+        self.prints, first = np.unique(self.runs[places], return_index=True)
+        self.at = places[first]
+
+
+def matches(a: Text, b: Text) -> list[tuple[int, int]]:
     """The places at which a fingerprint of both texts stands; of one that stands several times in a text, its first place."""
-    found = []
-    for t in (a, b):
-        runs = S.rolling(t, S.RUN)
-        at = S.winnow(runs, WINDOW)
-        found.append((*np.unique(runs[at], return_index=True), at))
-    (va, ia, at), (vb, ib, bt) = found
-    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    return list(zip(at[ia[i]].tolist(), bt[ib[j]].tolist(), strict=True))
+    _, i, j = np.intersect1d(a.prints, b.prints, assume_unique=True, return_indices=True)
+    return list(zip(a.at[i].tolist(), b.at[j].tolist(), strict=True))
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -128,16 +135,18 @@ def extend(a: np.ndarray, b: np.ndarray, chained: list[tuple[int, int]]) -> list
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, int]:
-    """(similarity, words aligned) of two sequences of word hashes. The similarity is that of the aligned stretches where it reaches the
-    threshold, which is never above the true one, and else the true one."""
-    stretches = extend(a, b, chain(matches(a, b)))
-    sa, sb = S.rolling(a, S.RUN), S.rolling(b, S.RUN)
-    inside = [sa[x : x + n - S.RUN + 1] for x, _, n in stretches if n >= S.RUN]
-    sa, sb = np.unique(sa), np.unique(sb)
+def aligned(a: Text, b: Text, threshold: float) -> tuple[float, int]:
+    """(similarity, words aligned) of two texts. The similarity is that of the aligned stretches where it reaches the threshold, which is
+    never above the true one, and else the true one."""
+    stretches = extend(a.words, b.words, chain(matches(a, b)))
+    inside = [a.runs[x : x + n - S.RUN + 1] for x, _, n in stretches if n >= S.RUN]
     shared = len(np.unique(np.concatenate(inside))) if inside else 0
-    alike = shared / (len(sa) + len(sb) - shared)
-    return alike if alike >= threshold else S.similarity(sa, sb), sum(n for _, _, n in stretches)
+    alike = shared / (len(a.kinds) + len(b.kinds) - shared)
+    return alike if alike >= threshold else S.similarity(a.kinds, b.kinds), sum(n for _, _, n in stretches)
+
+
+#: Texts that a task keeps ready between pairs.
+KEPT = 4096
 
 
 def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int = S.MIN_WORDS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -156,11 +165,20 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int
     pairs = met.join(texts.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(texts.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, Text] = {}
+
+        def text(cls: bytes, words: np.ndarray) -> Text:
+            if cls not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[cls] = Text(np.asarray(words, np.int64).view(np.uint64))
+            return known[cls]
+
         for batch in batches:
             out = []
             with np.errstate(over="ignore"):
                 for p, q, a, b in batch[["train_cls", "test_cls", "a", "b"]].itertuples(index=False):
-                    alike, n = aligned(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), threshold)
+                    alike, n = aligned(text(p, a), text(q, b), threshold)
                     if alike >= threshold:
                         out.append((p, q, alike, n / len(a), n / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])

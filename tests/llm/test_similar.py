@@ -158,7 +158,7 @@ def test_alignment_gives_no_more_than_the_similarity():
         b = np.concatenate([a[20:50], a[:20]]) if rng.integers(2) else np.delete(a, rng.integers(0, 60, 5))
         with np.errstate(over="ignore"):
             true = S.similarity(S.shingle_set(a), S.shingle_set(b))
-            alike, words = overlap.aligned(a, b, 0.5)
+            alike, words = overlap.aligned(overlap.Text(a), overlap.Text(b), 0.5)
         assert alike <= true + 1e-12 and (alike >= 0.5) == (true >= 0.5) and words <= len(b)
 
 

@@ -95,9 +95,14 @@ _ONE_WORD = re.compile(_WORD)
 _MIXED = re.compile(r"(?<![a-z0-9])[+(]?[0-9oil](?:[ .()-]{0,2}[0-9oil]){7,15}(?![a-z0-9])")
 _HP_MIXED = re.compile(r"(?<=hp)[+(]?[0-9oil](?:[ .()-]{0,2}[0-9oil]){7,15}(?![a-z0-9])")
 _LOCAL = r"[a-z0-9](?:[a-z0-9._+%-]*[a-z0-9])?"
-_AT = r"(?:\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s+@\s+|@)"
-_DOT = r"(?:\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![a-z0-9._+%-])({_LOCAL}(?:\s+dot\s+{_LOCAL}){{0,3}})({_AT})([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+)")
+_AT = r"(?:\s*[(\[{]\s*at\s*[)\]}]\s*|\s+@\s+|@)"
+_SAID_DOT = r"(?:\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+)"
+_DOT = rf"(?:{_SAID_DOT}|\.)"
+# A plain "at" needs a spoken dot behind it: in "mail me at ann.lee @ post.net" the first one is a word.
+_DISGUISED = re.compile(
+    rf"(?<![a-z0-9._+%-])({_LOCAL}(?:\s+dot\s+{_LOCAL}){{0,3}})"
+    rf"(?:({_AT})([a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+)|(\s+at\s+)([a-z0-9-]+(?:\.[a-z0-9-]+)*{_SAID_DOT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*))"
+)
 _ANY_DOT = re.compile(_DOT)
 
 
@@ -122,10 +127,9 @@ def _dotted(m: re.Match, group: int) -> list:
     return [*made, (m.string[k : m.end(group)], k, m.end(group))]
 
 
-def _at_dot(m: re.Match) -> list | None:
-    if m.group(2).strip() == "at" and "dot" not in m.group(3):
-        return None
-    return [*_dotted(m, 1), ("@", m.start(2), m.end(2)), *_dotted(m, 3)]
+def _at_dot(m: re.Match) -> list:
+    at = 2 if m.group(2) else 4
+    return [*_dotted(m, 1), ("@", m.start(at), m.end(at)), *_dotted(m, at + 1)]
 
 
 def deobfuscate(text: str) -> Traced:

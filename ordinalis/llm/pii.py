@@ -169,9 +169,10 @@ _PHONE = re.compile(
 _STREET = r"(?:jalan|jln\.?|jl\.?|lorong|lrg\.?|lebuh|persiaran|psn\.?|pangsapuri|apartmen|kondominium)"
 _TAIL_WORD = r"[^\W\d_][\w'-]{0,60}+"
 _HOUSE = r"(?:(?:no\.?|lot|unit|blok|block|blk)\s*)?(?:[a-z]-)?\d+[a-z]?(?:-\d+){0,2}"
+_FREE = r"(?<![^\W一-鿿])(?<![/.-])"  # not inside a word; Chinese may stand right before one
 _ADDRESS = re.compile(
-    rf"(?<![\w/.-]){_HOUSE},?\s+{_STREET}\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?(?:\s\d+/\d+[a-z]?)?"
-    rf"|(?<![\w/.-]){_HOUSE},?\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?\s(?:street|lane|road|crescent|avenue|drive|close|court|terrace)\b"
+    rf"{_FREE}{_HOUSE},?\s+{_STREET}\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?(?:\s\d+/\d+[a-z]?)?"
+    rf"|{_FREE}{_HOUSE},?\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?\s(?:street|lane|road|crescent|avenue|drive|close|court|terrace)\b"
     rf"|{_STREET}\s+{_TAIL_WORD}(?:[ ]{_TAIL_WORD})?(?:\s\d+/\d+[a-z]?)?,\s*(?:no\.?|lot|unit|blok|block)\s*(?:[a-z]-)?\d+[a-z]?(?:-\d+){{0,2}}"
     r"|[一-鿿]{2}(?:大道|[街路巷])\s?\d+[号號]"
 )
@@ -198,7 +199,7 @@ _GAP = r"[ \t]*(?:\n|<br>)[ \t]*"
 _NAMES = [
     (cues, re.compile(p))
     for cues, p in (
-        ((), rf"\b{_TITLE}\s(?P<n>{_TITLED})(?![\w@])"),
+        ((), rf"(?<![^\W一-鿿]){_TITLE}\s(?P<n>{_TITLED})(?![\w@])"),
         (("请联系",), rf"请联系\s*(?P<n>{_TITLED})\s*(?:小姐|先生|女士)"),
         (("我叫",), rf"我叫\s*(?P<n>{_FULL})(?![\w@])"),
         (("தொடர்புக்கு",), rf"தொடர்புக்கு\s*(?P<n>{_TITLED})\s*அவர்கள்"),

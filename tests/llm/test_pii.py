@@ -11,6 +11,7 @@ CASES = [
     ("(ann-lee72 (at) mail.post (dot) test) x", [("email", "ann-lee72 (at) mail.post (dot) test")]),
     ("ann_far46 at post dot example dot net.", [("email", "ann_far46 at post dot example dot net")]),
     ("Email me at ann.lee @ post.invalid or at ann.lee at post dot example.", [("email", "ann.lee @ post.invalid"), ("email", "ann.lee at post dot example")]),
+    ("可以来No. 220, Jalan Pinang Damai 看牠。请找Mr Dalwin Farindale。", [("address", "No. 220, Jalan Pinang Damai"), ("name", "Dalwin Farindale")]),
     ("Meet me at the gate at noon.", []),
     ("Follow our page @paws91of7 for clips.", []),
     ("Call 016-107 5658 after six, or +60 11-126 3601.", [("phone", "016-107 5658"), ("phone", "+60 11-126 3601")]),

@@ -70,7 +70,8 @@ def zero_shot(items: DataFrame, key: str, vector: str, prototypes: DataFrame, sc
     """(key, grp, label, p): softmax of scale * cosine within each group of labels.
 
     ``prototypes`` has grp, label and prompt vectors; a label's prompts are averaged and normalised first. The prototypes are a
-    dictionary of prompts (tens of rows) and travel inside each row's expression, so nothing is joined row by row.
+    dictionary of prompts (tens of rows, at most 10,000), packed into one row a group; every item meets every group by a keyless join of
+    that bounded size.
     """
     table = prototypes.where(V.usable("vector")).groupBy("grp", "label").agg(vector_to_array(Summarizer.mean(array_to_vector(V.unit("vector")))).alias("m")).select("grp", "label", V.unit("m").alias("m"))
     count = table.limit(10_001).count()

@@ -35,7 +35,8 @@ def cross_table(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def spread_in_groups(df: DataFrame, group: str, y: str) -> DataFrame:
-    """(n_multi, mean_group_std, global_std): sample deviation inside groups averaged over groups, beside the population deviation."""
+    """(n_multi, mean_group_std, global_std): sample deviation inside groups averaged over groups, beside the population deviation. Both
+    sides of the keyless join are one row."""
     per = df.groupBy(group).agg(F.count("*").alias("n"), F.stddev_samp(y).alias("s"))
     inside = per.agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_multi"), F.avg("s").alias("mean_group_std"))
     return inside.join(df.agg(F.stddev_pop(y).alias("global_std")))

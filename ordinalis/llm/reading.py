@@ -1,7 +1,7 @@
 """Problem 9: reading level, by regularised ordinal regression over features of the text.
 
 Features are lexical diversity, word rarity against the whole corpus, connectives, a proxy of clause depth, and lengths of words and
-sentences, with quantiles and a plain grid of shares over the sentences because documents mix simple and demanding ones. A
+sentences, with quantiles and the shares of a plain grid over the sentences because documents mix simple and demanding ones. A
 proportional-odds model maps them to the bands of the graded sample. All text is read by the executors: the driver sees the feature
 rows of the graded sample and the counts of words that make up a millionth of the corpus or more.
 """
@@ -130,8 +130,9 @@ def _quantiles(table: np.ndarray, shares: list[float]) -> np.ndarray:
     return (ordered[low] * (1 - part) + ordered[np.minimum(low + 1, len(ordered) - 1)] * part).ravel()
 
 
-#: The grids of sentence features: mean letters of a word in steps of 0.75, words of a sentence in steps of 6.
-LETTER_GRID, WORD_GRID = np.arange(3.5, 8.1, 0.75), np.arange(6.5, 31, 6)
+#: The grid of sentences: mean letters of a word in steps of 0.75, times words of the sentence in steps of 6.
+LETTER_GRID, WORD_GRID = np.arange(3.5, 8.1, 0.75), np.arange(8.5, 21, 6)
+CELLS = (len(LETTER_GRID) + 1) * (len(WORD_GRID) + 1)
 
 
 def features(reading: Reading) -> np.ndarray:
@@ -144,7 +145,7 @@ def features(reading: Reading) -> np.ndarray:
     mean_length = sums[:, LENGTH] / sizes
     weight = sizes / n
     quart = _quantiles(np.column_stack([sizes, mean_length, long_share, sums[:, RARE] / sizes]), [0.15, 0.5, 0.85])
-    grids = [np.bincount(np.searchsorted(grid, v), weight, len(grid) + 1) for grid, v in ((LETTER_GRID, mean_length), (WORD_GRID, sizes))]
+    cell = np.searchsorted(LETTER_GRID, mean_length) * (len(WORD_GRID) + 1) + np.searchsorted(WORD_GRID, sizes)
     window = 40
     kinds = [len(set(part)) / len(part) for i in range(0, max(1, n - window // 2), window // 2) if (part := words[i : i + window])]
     low, means = reading.low, table[:, CONNECTS : PERSON + 1].mean(axis=0)
@@ -153,18 +154,18 @@ def features(reading: Reading) -> np.ndarray:
             [np.log1p(n), np.log(n / sentences), length.mean(), length.std(), (length >= 7).mean(), (length >= 10).mean(), (length >= 13).mean()],
             [syllables.mean(), (syllables >= 4).mean(), (syllables <= 1).mean(), rare.mean(), _quantiles(rare[:, None], [0.9])[0], (rare > 10).mean()],
             [sum(kinds) / len(kinds), len(set(words)) / np.sqrt(n), sums[:, CLAUSE].mean(), sum(reading.marks) / sentences, low.count(",") / n, sum(map(low.count, ";:()")) / n],
-            means, quart, *grids,
+            means, quart, np.bincount(cell, weight, CELLS),
         ]
     )
 
 
-FEATURES = 19 + 4 + 12 + len(LETTER_GRID) + 1 + len(WORD_GRID) + 1
+FEATURES = 19 + 4 + 12 + CELLS
 
 
 class OrdinalModel:
     """Proportional odds: P(band <= k) = sigmoid(cut_k - w.x), with an L2 penalty, over standardised features and their squares."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 5.0, steps: int = 600) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 20.0, steps: int = 600) -> None:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._design(x)
         n, d = z.shape

@@ -54,11 +54,11 @@ def prepare(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARIT
                         continue
                     sh = S.shingle_set(S.word_hashes(tokens), run)
                     first, second = S.band_values(sh, multipliers, m, depth)
-                    out.append((rec, S.class_of(sh), S.signed(sh), *S.sketch(sh, bits), first, second.astype(np.int32)))
+                    out.append((rec, S.class_of(sh), S.signed(sh), *S.sketch(sh, bits), first, second.astype(np.int16)))
             yield pd.DataFrame(out, columns=["rec", "cls", "shingles", *S.SKETCH_COLUMNS, "first", "second"])
 
     kind = rows.schema[key].dataType.simpleString()
-    schema = f"rec {kind}, cls binary, shingles array<long>, {', '.join(f'{c} long' for c in S.SKETCH_COLUMNS)}, first array<long>, second array<int>"
+    schema = f"rec {kind}, cls binary, shingles array<long>, {', '.join(f'{c} long' for c in S.SKETCH_COLUMNS)}, first array<long>, second array<smallint>"
     return rows.select(F.col(key).alias("rec"), F.col(text).alias("txt")).where("rec is not null and txt is not null").mapInPandas(make, schema)
 
 
@@ -75,11 +75,14 @@ def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -
 def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY, *, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members(rec, cls), pairs(c1, c2, similarity)): texts with one shingle set are one class, so copies cost nothing further."""
     prepared = cut(prepared)
-    members = prepared.select("rec", "cls").distinct()
-    classes = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "first", "second")))
-    met = cut(meeting(cut(classes), threshold, hot_rows=hot_rows))
-    asked = cut(met.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct())
-    sets = rows_of(prepared.select("cls", "shingles"), "cls", asked).groupBy("cls").agg(F.first("shingles").alias("s"))
+    merged = prepared.groupBy("cls").agg(*(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "first", "second")))
+    named = cut(merged.withColumn("id", F.monotonically_increasing_id()))  # short names, fixed by writing them down
+    names, classes = named.select("id", F.col("cls").alias("__cls")), named.drop("cls").withColumnRenamed("id", "cls")
+    members = prepared.select("rec", F.col("cls").alias("__cls")).distinct().join(names.hint("merge"), "__cls").select("rec", F.col("id").alias("cls"))
+    met = cut(meeting(classes, threshold, hot_rows=hot_rows))
+    asked = cut(rows_of(names, "id", cut(met.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct())))
+    words = rows_of(prepared.select("cls", "shingles"), "cls", asked.select("__cls")).groupBy(F.col("cls").alias("__cls")).agg(F.first("shingles").alias("s"))
+    sets = words.join(asked.hint("merge"), "__cls").select(F.col("id").alias("cls"), "s")
     both = met.join(sets.select(F.col("cls").alias("c1"), F.col("s").alias("a")).hint("merge"), "c1").join(sets.select(F.col("cls").alias("c2"), F.col("s").alias("b")).hint("merge"), "c2")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +91,7 @@ def class_pairs(prepared: DataFrame, threshold: float = S.SIMILARITY, *, hot_row
             made = pd.DataFrame({"c1": batch["c1"], "c2": batch["c2"], "similarity": np.array(alike, float)})
             yield made[made["similarity"] >= threshold]
 
-    return members, cut(both.mapInPandas(verify, "c1 binary, c2 binary, similarity double"))
+    return members, cut(both.mapInPandas(verify, "c1 long, c2 long, similarity double"))
 
 
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = S.SIMILARITY, *, hot_rows: int = HOT_ROWS, **parameters) -> DataFrame:

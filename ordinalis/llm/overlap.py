@@ -157,17 +157,20 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int
     lower bound (see ``aligned``).
     """
     prepared = cut(prepare(rows, min_words=min_words))
-    members = prepared.select("split", "rec", "source", "cls").distinct()
-    classes = cut(prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "prints"))))
+    merged = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "prints")))
+    named = cut(merged.withColumn("id", F.monotonically_increasing_id()))  # short names, fixed by writing them down
+    names, classes = named.select("id", F.col("cls").alias("__cls")), named.drop("cls").withColumnRenamed("id", "cls")
+    members = prepared.select("split", "rec", "source", F.col("cls").alias("__cls")).distinct().join(names.hint("merge"), "__cls").select("split", "rec", "source", F.col("id").alias("cls"))
     met = cut(meeting(classes, threshold, hot_rows=hot_rows))
-    asked = cut(met.select(F.explode(F.array("train_cls", "test_cls")).alias("cls")).distinct())
-    texts = rows_of(prepared.select("cls", "tokens"), "cls", asked).groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    asked = cut(rows_of(names, "id", cut(met.select(F.explode(F.array("train_cls", "test_cls")).alias("cls")).distinct())))
+    words = rows_of(prepared.select("cls", "tokens"), "cls", asked.select("__cls")).groupBy(F.col("cls").alias("__cls")).agg(F.first("tokens").alias("tokens"))
+    texts = words.join(asked.hint("merge"), "__cls").select(F.col("id").alias("cls"), "tokens")
     pairs = met.join(texts.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(texts.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, Text] = {}
+        known: dict[int, Text] = {}
 
-        def text(cls: bytes, words: np.ndarray) -> Text:
+        def text(cls: int, words: np.ndarray) -> Text:
             if cls not in known:
                 if len(known) >= KEPT:
                     known.clear()
@@ -183,7 +186,7 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int
                         out.append((p, q, alike, n / len(a), n / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])
 
-    near = pairs.mapInPandas(align, "train_cls binary, test_cls binary, similarity double, train_cover double, test_cover double")
+    near = pairs.mapInPandas(align, "train_cls long, test_cls long, similarity double, train_cover double, test_cover double")
     same = classes.where("in_train and in_test").select(F.col("cls").alias("train_cls"), F.col("cls").alias("test_cls"), *(F.lit(1.0).alias(c) for c in ("similarity", "train_cover", "test_cover")))
     return members, cut(near.unionByName(same))
 

@@ -72,8 +72,8 @@ def pairs_of(df):
     members, pairs = overlap.overlaps(df)
     rec = {}
     for r in members.collect():
-        rec.setdefault((r.split, bytes(r.cls)), []).append(r.rec)
-    return {tuple(sorted((a, b))) for p in pairs.collect() for a in rec["train", bytes(p.train_cls)] for b in rec["test", bytes(p.test_cls)]}
+        rec.setdefault((r.split, r.cls), []).append(r.rec)
+    return {tuple(sorted((a, b))) for p in pairs.collect() for a in rec["train", p.train_cls] for b in rec["test", p.test_cls]}
 
 
 def test_evenly_edited_pairs_meet(spark):

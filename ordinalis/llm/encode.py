@@ -1,24 +1,23 @@
 """Problem 7: exact encoding by a public byte-level BPE tokenizer, as a monoid tree reduction.
 
-A text is halved until pieces are small; pieces are encoded alone and neighbours are joined up the tree. The tokenizer cuts a
-text into words by a regular expression that scans left to right and encodes every word alone, so an encoding is a list of (word
-start, ids). A scan depends only on the text from its position on, hence two facts make the join exact: a word of the left piece
-stays if its match ended, with its one character of look-ahead, inside the piece; and once the scan of the joined text reaches a
-position where a word of the right piece starts, everything after it stays too. The join re-encodes a window from the last stable
-word of the left piece, growing it to the right until the scans meet; the tokens outside are kept as they are. Pieces are smaller than
-most documents, so all but the shortest texts pass through joins.
+A text is halved until pieces are small; pieces are encoded alone and neighbours are joined up the tree. The tokenizer cuts a text into
+words by a regular expression and encodes every word alone. No alternative of that expression goes on from a character that is no
+white space to white space, so a word begins at every white space right behind such a character, whatever stands before or after: a
+place where the tokens on both sides are stable. A join looks for the nearest such place on either side of the seam, in a window that
+grows from it, and encodes only what lies between the two anew; the tokens outside are kept as they are. Without such a place, as in
+a text that has no white space, the window grows to the whole piece. Pieces are smaller than most documents, so all but the
+shortest texts pass through joins.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from bisect import bisect_left
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 VOCABULARY, VOCABULARY_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.ordinalis.vocabulary"
 #: Pieces of at most this many characters are the leaves of the tree.
 LEAF = 256
-#: First width of a boundary window; it doubles until the scans meet.
+#: First width of a boundary window; it doubles until it holds a stable place.
 WINDOW = 64
 # Fixed value: the word pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,74 +42,39 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_WORD = regex.compile(PATTERN)
+#: A place where a word begins in any context; white space that both the expression and Python take for such.
+_STABLE = re.compile(r"(?<=\S)[ \t\n\r]")
 
 
-class Piece:
-    """An encoded stretch of text: its words' starts (relative) and the ids of all words in a row."""
+def _last_stable(text: str, a: int, b: int) -> int:
+    """The last stable place inside the piece a to b, or its beginning."""
+    width = WINDOW
+    while True:
+        low, found = max(a + 1, b - width), None
+        for found in _STABLE.finditer(text, low, b):
+            pass
+        if found:
+            return found.start()
+        if low == a + 1:
+            return a
+        width *= 2
 
-    __slots__ = ("ids", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int], ids: list[int]) -> None:
-        self.text, self.starts, self.ids = text, starts, ids
-
-
-def _leaf(text: str, enc) -> Piece:
-    return Piece(text, [m.start() for m in _WORD.finditer(text)], enc.encode_ordinary(text))
-
-
-def _tokens(piece: Piece, first: int, last: int, enc) -> int:
-    """How many ids the words ``first`` to ``last - 1`` of a piece have; few words, beside a seam."""
-    ends = [*piece.starts[first + 1 : last + 1], len(piece.text)][: last - first]
-    return sum(len(enc.encode_ordinary(piece.text[a:b])) for a, b in zip(piece.starts[first:last], ends, strict=True))
-
-
-def _join(left: Piece, right: Piece, enc) -> Piece:
-    """The encoding of the two texts in a row."""
-    if not left.starts or not right.starts:
-        return Piece(left.text + right.text, left.starts or [len(left.text) + s for s in right.starts], left.ids or right.ids)
-    n = len(left.text)
-    # A word that ends at least two characters before the seam cannot see the other side.
-    stable = len(left.starts)
-    while stable and (left.starts[stable] if stable < len(left.starts) else n) > n - 2:
-        stable -= 1
-    begin = left.starts[stable] if stable < len(left.starts) else n
-    text = left.text + right.text
-    starts, ids = left.starts[:stable], left.ids[: len(left.ids) - _tokens(left, stable, len(left.starts), enc)]
-    at, width = begin, WINDOW
-    while at < len(text):
-        stop = min(len(text), max(at, n) + width)
-        window = text[at:stop]
-        moved = False
-        for m in _WORD.finditer(window):
-            place = at + m.start()
-            if place >= n:
-                k = bisect_left(right.starts, place - n)
-                if k < len(right.starts) and right.starts[k] == place - n:
-                    return Piece(text, starts + [n + s for s in right.starts[k:]], ids + right.ids[_tokens(right, 0, k, enc) :])
-            if stop < len(text) and m.end() > len(window) - 2:
-                at = place  # touches the edge of the window: look again with a wider one
-                break
-            starts.append(place)
-            ids += enc.encode_ordinary(m.group())
-            moved = True
-        else:
-            at = stop
-        if not moved or at < stop:
-            width *= 2
-    return Piece(text, starts, ids)
-
-
-def _tree(text: str, enc, leaf: int) -> Piece:
-    if len(text) <= leaf:
-        return _leaf(text, enc)
-    half = len(text) // 2
-    return _join(_tree(text[:half], enc, leaf), _tree(text[half:], enc, leaf), enc)
+def _tree(text: str, a: int, b: int, enc, leaf: int) -> list[int]:
+    """The ids of the piece a to b."""
+    if b - a <= leaf:
+        return enc.encode_ordinary(text[a:b])
+    seam = (a + b) // 2
+    left, right = _tree(text, a, seam, enc, leaf), _tree(text, seam, b, enc, leaf)
+    begin, found = _last_stable(text, a, seam), _STABLE.search(text, seam + 1, b)
+    end = found.start() if found else b
+    kept = len(left) - len(enc.encode_ordinary(text[begin:seam]))
+    return [*left[:kept], *enc.encode_ordinary(text[begin:end]), *right[len(enc.encode_ordinary(text[seam:end])) :]]
 
 
 def encode(text: str | None, path: str = VOCABULARY, leaf: int = LEAF) -> list[int]:
     """Token ids of ``text`` without special tokens; null and empty texts have none ([])."""
-    return _tree(text, encoder(path), leaf).ids if text else []
+    return _tree(text, 0, len(text), encoder(path), leaf) if text else []
 
 
 def decode(ids: list[int], path: str = VOCABULARY) -> str:

@@ -18,10 +18,10 @@ def reference():
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
-PARTS = st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "中", "1", "23", "!", "?!", "\xa0", "😀", "'", " the", "<|endoftext|>"])
+PARTS = st.sampled_from(["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "中", "1", "23", "!", "?!", "\xa0", "😀", "'", " the", "<|endoftext|>", "\x1c", "\x85", "\u2028", "\r\n", "\u3000"])
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(PARTS, max_size=60).map("".join), st.integers(1, 20))
 def test_tree_equals_the_plain_encoding(reference, text, leaf):
     ids = encode.encode(text, leaf=leaf)

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ordinalis.llm.encode import encode_column, vocabulary_of
+from ordinalis.operators.lookup import SMALL_ROWS
 from ordinalis.session import cut
 
 #: Tokens to a block, slots to an output shard, documents to a bin of the running sum.
@@ -36,8 +37,13 @@ def pack(documents: DataFrame, targets: DataFrame, *, path: str | None = None, b
     bins and over bins, so a source of any size is never in one task.
     """
     wanted = documents.where("doc_id is not null and text is not null and text <> ''").join(targets.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "text")
-    once = wanted.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    tokens = cut(encode_column(wanted.join(once.hint("merge"), "doc_id"), ["doc_id", "source"], path=path or vocabulary_of(documents.sparkSession)).where(F.size("ids") > 0))
+    # Only the texts that have copies are looked up, so the others need not be shuffled.
+    digest = F.sha2("text", 256)
+    copied = cut(wanted.groupBy(digest.alias("h")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least"))
+    few = copied.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    known = wanted.join(F.broadcast(copied) if few else copied.hint("merge"), digest == F.col("h"), "left")
+    once = known.where(F.col("h").isNull() | (F.col("doc_id") == F.col("least"))).select("doc_id", "source", "text")
+    tokens = cut(encode_column(once, ["doc_id", "source"], path=path or vocabulary_of(documents.sparkSession)).where(F.size("ids") > 0))
     bins = max(1, -(-tokens.count() // BIN))
     placed = tokens.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bin", F.pmod("h", F.lit(bins)))
     sums = placed.groupBy("source", "bin").agg(F.sum(F.size("ids")).cast("long").alias("n"))

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from ordinalis.llm.groups import match_groups
-from ordinalis.llm.hooking import connected_components
+from ordinalis.llm.hooking import connected_components, roots
 
 SCHEMA = "pair_kind string, key_a string, key_b string, score double, is_match boolean, node string, component string"
 
@@ -51,3 +52,26 @@ def test_match_groups(spark):
         ("photo", "raw/B.jpg"): "0000a1b2c", ("photo", "raw/a.jpg"): "0000a1b2c", ("photo", "0000a1b2c"): "0000a1b2c",
     }
     assert match_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100, 10**9])
+def test_one_task_finishes_what_fits(spark, few):
+    rng = random.Random(6)
+    links = [(f"k{rng.randrange(300)}é", f"k{rng.randrange(300)}é") for _ in range(220)] + [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(40)]
+    df = spark.createDataFrame(links, "a string, b string")
+    got = {r.node: r.component for r in connected_components(df, few=few).collect()}
+    assert got == brute(links)
+
+
+def test_few_links_take_few_jobs(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(200)], "a int, b int")
+    spark.sparkContext.setJobGroup("few links", "")
+    assert {r.component for r in connected_components(df).collect()} == {0}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10
+
+
+def test_roots_of_a_long_chain():
+    order = np.random.default_rng(3).permutation(5000)
+    assert not roots(order[:-1], order[1:], 5001)[:5000].any() and roots(order[:-1], order[1:], 5001)[5000] == 5000

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,3 +145,151 @@ def sparse_knn_join(postings: DataFrame, docs: DataFrame, key: str, k: int, *, s
     bound = cut(first.groupBy("q").agg(F.min("sim").alias("least"), F.count("*").alias("n"))).where(F.col("n") >= k)
     prefix = ranked.join(bound.hint("merge"), "q", "left").where(F.col("rest") >= F.coalesce(F.col("least"), F.lit(0.0)) - 1e-6)
     return best(prefix.select("q", "term"))
+
+
+#: Documents and postings that a block of packed documents holds at most, and blocks of references that a task reads one after another.
+BLOCK, POSTINGS, RUN = 3_000, 3_000_000, 6
+#: Most frequent terms that are multiplied as a dense matrix, and the part of the documents from which a term is one of them.
+DENSE, SHARE = 4_096, 0.03
+#: Queries that are held against a block of references at once, and what single precision may be off by.
+TILE, ERROR = 128, 1e-5
+
+
+def dense_from(df: np.ndarray, n_docs: int) -> int:
+    """The number from which terms are frequent, of a vocabulary in order of document frequency."""
+    return max(int(np.searchsorted(df, SHARE * n_docs)), len(df) - DENSE)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(no, data): the documents (key, i, w) of every task in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, i, w, held, made = [], [], [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            data = pickle.dumps((keys, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(i), np.concatenate(w)), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([data], pa.binary())], ["no", "data"])
+
+        for batch in batches:
+            for key, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                keys.append(tuple(key.values()))
+                i.append(a.values.to_numpy())
+                w.append(b.values.to_numpy())
+                sizes.append(len(i[-1]))
+                held += sizes[-1]
+                if len(keys) >= BLOCK or held >= POSTINGS:
+                    yield block()
+                    keys, sizes, i, w, held, made = [], [], [], [], 0, made + 1
+        if keys:
+            yield block()
+
+    return rows.mapInArrow(run, "no long, data binary")
+
+
+class _References:
+    """The references of a block: their dense part, and the postings of the other terms by term."""
+
+    def __init__(self, data: bytes, n_terms: int, first: int) -> None:
+        keys, at, i, w = pickle.loads(data)
+        known = [j for j, (_, _, y, valid) in enumerate(keys) if y is not None and valid]
+        self.names, self.y = [keys[j][0] for j in known], [keys[j][2] for j in known]
+        self.fold = np.array([keys[j][1] for j in known], float)
+        self.parts = [(i[at[j] : at[j + 1]], w[at[j] : at[j + 1]]) for j in known]
+        row = np.repeat(np.arange(len(known)), [len(x) for x, _ in self.parts])
+        terms, weights = (np.concatenate([p[c] for p in self.parts]) if known else np.zeros(0, (np.int32, float)[c]) for c in (0, 1))
+        often = terms >= first
+        self.dense = np.zeros((len(known), n_terms - first), np.float32)
+        self.dense[row[often], terms[often] - first] = weights[often]
+        row, terms, weights = row[~often], terms[~often], weights[~often]
+        order = np.argsort(terms, kind="stable")
+        self.row, self.weight, self.df = row[order], weights[order], np.bincount(terms, minlength=first)
+        self.start = np.cumsum(self.df) - self.df
+
+    def near(self, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, first: int) -> np.ndarray:
+        """The similarities of ``n`` queries to every reference, in single precision."""
+        often = terms >= first
+        asked = np.zeros((n, self.dense.shape[1]), np.float32)
+        asked[row[often], terms[often] - first] = weights[often]
+        sim = asked @ self.dense.T
+        here = np.flatnonzero(~often)
+        here = here[self.df[terms[here]] > 0]
+        many = self.df[terms[here]]
+        total = np.cumsum(many)
+        for a, b in _pieces(total):
+            size, k = many[a:b], here[a:b]
+            place = np.arange(size.sum()) + np.repeat(self.start[terms[k]] - np.cumsum(size) + size, size)
+            sim += np.bincount(np.repeat(row[k] * sim.shape[1], size) + self.row[place], np.repeat(weights[k], size) * self.weight[place], sim.size).reshape(sim.shape)
+        return sim
+
+
+def _pieces(total: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of a running sum that each add up to about ``most``."""
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _first(found: list[tuple], k: int) -> list[tuple]:
+    """Of (query, reference, y, sim) the ``k`` nearest of every query."""
+    out, n, last = [], 0, None
+    for x in sorted(found, key=lambda x: (x[0], -x[3], x[1])):
+        n, last = (n + 1 if x[0] == last else 0), x[0]
+        if n < k:
+            out.append(x)
+    return out
+
+
+def packed_knn_join(rows: DataFrame, key: str, n_terms: int, first: int, k: int) -> DataFrame:
+    """(q, r, y, sim, rank) as of ``sparse_knn_join``, of packed documents: ``key`` is a struct of id, fold, y and valid in this order, i and w are the
+    numbers and weights of the terms, numbered by rising frequency. Terms from ``first`` on are frequent.
+
+    Every block of queries meets every block of references where both lie in the checkpoint folder, so no posting is shuffled. All
+    similarities of two blocks are made in single precision, frequent terms by a dense product and the others by their postings; what
+    comes within the error of a query's k-th is computed in full.
+    """
+    name, _, y_type, _ = (f.dataType.simpleString() for f in rows.schema[key].dataType.fields)
+    blocks = cut(_blocks(rows.select(key, "i", "w")))
+    left, right = blocks.toDF("no", "a"), blocks.select(F.col("data").alias("b")).coalesce(max(1, -(-blocks.count() // RUN)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, keys, found, flat = None, [], [], np.zeros(n_terms)
+        give = lambda: pd.DataFrame([(keys[q][0], *x) for q, *x in found], columns=["q", "r", "y", "sim"])
+        for batch in batches:
+            for no, a, b in batch.itertuples(index=False):
+                if no != number:
+                    yield give()
+                    number, found = no, []
+                    keys, at, i, w = pickle.loads(a)
+                    folds, least = np.array([x[1] for x in keys], float), np.zeros(len(keys))
+                known = _References(b, n_terms, first)
+                if not known.names:
+                    continue
+                own = {r: j for j, r in enumerate(known.names)}
+                for s in range(0, len(keys), TILE):
+                    e = min(s + TILE, len(keys))
+                    part = slice(at[s], at[e])
+                    sim = known.near(np.repeat(np.arange(e - s), np.diff(at[s : e + 1])), i[part], w[part], e - s, first)
+                    sim[folds[s:e, None] == known.fold[None, :]] = 0
+                    for q in range(s, e):
+                        if (j := own.get(keys[q][0])) is not None:
+                            sim[q - s, j] = 0
+                    top = np.partition(sim, len(known.names) - k, axis=1)[:, -k] if len(known.names) > k else np.zeros(e - s)
+                    ask, ref = np.nonzero((sim > 0) & (sim >= np.maximum(top - 2 * ERROR, least[s:e] - ERROR)[:, None]))
+                    for q, j in zip(*np.unique(ask, return_index=True)):
+                        mine = slice(at[s + q], at[s + q + 1])
+                        flat[i[mine]] = w[mine]
+                        for r in ref[j : j + np.searchsorted(ask[j:], q, side="right")]:
+                            terms, weights = known.parts[r]
+                            if (exact := round(float(flat[terms] @ weights), 9)) > 0:
+                                found.append((s + int(q), known.names[r], known.y[r], exact))
+                        flat[i[mine]] = 0
+                found = _first(found, k)
+                for n in range(k - 1, len(found)):
+                    if found[n - k + 1][0] == found[n][0]:
+                        least[found[n][0]] = found[n][3]
+        yield give()
+
+    both = left.join(right.hint("shuffle_replicate_nl"))
+    return _ranked(both.select("no", "a", "b").mapInPandas(run, f"q {name}, r {name}, y {y_type}, sim double"), k)

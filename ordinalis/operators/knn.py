@@ -69,20 +69,33 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def _best_of(sent, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, folds, asked, width = sent.value
+        single, least = asked.astype(np.float32), np.full(len(asked), -np.inf)
+        best = np.full((len(asked), k), -np.inf)
         for batch in batches:
             rows, good = _matrix(batch["vec"], width)
             batch, rows = batch[good].sort_values("r"), rows[good][np.argsort(batch["r"][good].to_numpy(), kind="stable")]
             if not len(batch):
                 continue
-            fold = batch["fold"].to_numpy(float)
-            for a in range(0, len(asked), 2048):
-                sim = np.round(asked[a : a + 2048] @ rows.T, 9)
-                sim[folds[a : a + 2048, None] == fold[None, :]] = -np.inf
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(sim, top, axis=1)
-                i, j = np.nonzero(np.isfinite(best))
-                at = top[i, j]
-                yield pd.DataFrame({"q": names[a + i], "r": batch["r"].to_numpy()[at], "y": batch["y"].to_numpy()[at], "sim": best[i, j]})
+            fold, columns = batch["fold"].to_numpy(float), rows.T.astype(np.float32)
+            for a in range(0, len(asked), 512):
+                part = slice(a, a + 512)
+                sim = single[part] @ columns  # no more than ERROR off, so whatever may be among the first k is computed in full
+                sim[folds[part, None] == fold[None, :]] = -np.inf
+                bound = least[part] - ERROR
+                if len(batch) > k and not np.isfinite(bound).all():
+                    bound = np.maximum(bound, np.partition(sim, len(batch) - k, axis=1)[:, -k] - 2 * ERROR)
+                i, j = np.nonzero((sim >= bound[:, None]) & (sim > -np.inf))
+                exact = np.round(np.einsum("ij,ij->i", asked[a + i], rows[j]), 9)
+                order = np.lexsort((j, -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = (place < k) & (exact >= least[a + i])
+                i, j, exact, place = i[keep], j[keep], exact[keep], place[keep]
+                found = np.full((len(bound), k), -np.inf)
+                found[i, place] = exact
+                best[part] = -np.sort(-np.concatenate([best[part], found], axis=1), axis=1)[:, :k]
+                least[part] = best[part, k - 1]
+                yield pd.DataFrame({"q": names[a + i], "r": batch["r"].to_numpy()[j], "y": batch["y"].to_numpy()[j], "sim": exact})
 
     return run
 

@@ -1,79 +1,165 @@
-"""Problem 3: records of the evaluation split that also stand in the training split, by winnowing fingerprints.
+"""Problem 3: records of the evaluation split that also stand in the training split, by bands of minhashes.
 
-Every text is reduced to the minima of a rolling hash of its runs of words over windows of such runs, its fingerprints. Two texts that
-share ``RUN + WINDOW - 1`` words in a row share one, and a pair at the threshold shares far more: in simulations of evenly spread and
-random substitutions, insertions, deletions and moved blocks at similarity 0.5 never less than 0.37 of the fingerprints of the larger
-text, where ``shared_part`` asks for 0.25. Whoever shares ``r`` of them also shares one that is not among the ``r - 1`` most frequent, so
-those of each text (by the exact number of join rows a fingerprint makes) need no place in the join. What frequent phrases cost is
-thus bounded by how rare a text's own part is, and no fingerprint is dropped for standing anywhere too often.
+Every text is reduced to ``S.SKETCH`` minhashes of its shingles; a band is a few of them together, and a pair meets if a band is equal.
+``band_depth`` takes their length from the threshold, so that a pair at it misses all bands with a probability of at most ``MISS``, pairs
+above it with less. A frequent phrase is one shingle among many and brings texts together only if it stands in all places of a band, so
+texts that share no more than phrases seldom meet, however many of them there are.
 
-The fingerprints of the pairs that met are matched, chained collinearly and extended word by word. If the aligned stretches hold
-enough common shingles the pair is found; else, as for texts in another order, the shingle sets decide. The stretches give the coverage.
+No band is shuffled. The texts of either split are packed into blocks, every block of one meets every block of the other where they
+lie in the checkpoint folder, and equal bands are looked up there by tables of 16 bits. Of those that meet, the minhashes tell who is compared.
+
+The fingerprints (the minima of a rolling hash over windows of runs of words) of the pairs left are matched, chained collinearly and
+extended word by word. If the aligned stretches hold enough common shingles the pair is found; else, as for texts in another order, the
+shingle sets decide. The stretches give the coverage.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm import shingles as S
-from ordinalis.operators.lookup import HOT_ROWS, lookup, rows_of, spread_join
+from ordinalis.operators.lookup import HOT_ROWS, rows_of
 from ordinalis.session import cut
 from ordinalis.sources.tables import canonical_id
 
 #: Runs in a window.
 WINDOW = 4
+#: Accepted probability to miss a pair at the threshold.
+MISS = 2e-5
+#: Texts of either split in a block, texts whose minhashes are made at once, and meetings that are looked at together.
+BLOCK, CHUNK, PIECE = 65_536, 2_048, 250_000
+
+
+def band_depth(threshold: float) -> int:
+    """Minhashes to a band: as many as ``MISS`` allows, so that chance meetings are fewest."""
+    depth = 1
+    while depth < 16 and (1 - threshold ** (depth + 1)) ** (S.SKETCH // (depth + 1)) <= MISS:
+        depth += 1
+    return depth
 
 
-def shared_part(threshold: float) -> float:
-    """The part of a text's fingerprints that a pair at ``threshold`` has in common at least."""
-    return threshold / 2
+#: A text in a block: the name of its sequence of words, and a byte of each of its minhashes.
+RECORD = np.dtype([("cls", "<u8", 2), ("minima", "u1", S.SKETCH)])
+
+
+def records(texts: list[list[str]]) -> np.ndarray:
+    """The ``RECORD`` of each of some lists of at least ``S.RUN`` words."""
+    out, counts = np.empty(len(texts), RECORD), np.array([len(t) for t in texts], np.int64)
+    hashes = S.word_hashes([w for t in texts for w in t])
+    out["minima"] = S.minhashes(S.joined_runs(hashes, counts), np.cumsum(counts) - counts, S.seeds(S.SKETCH, 3)).T
+    out["cls"] = np.frombuffer(b"".join(S.class_of(h) for h in np.split(hashes, np.cumsum(counts)[:-1])), "<u8").reshape(-1, 2)
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a contiguous array."""
+    size = rows.nbytes // len(rows)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(rows.tobytes())])
 
 
 def prepare(rows: DataFrame, *, min_words: int = S.MIN_WORDS) -> DataFrame:
-    """(split, rec, source, cls, n_prints, s1, ..., tokens, prints) of each row (split, rec, source, text) with at least ``min_words``
-    words; cls names the sequence of words."""
-    multipliers = S.seeds(S.SKETCH, 3)
-    names = ["split", "rec", "source", "cls", *S.SKETCH_COLUMNS, "tokens", "prints"]
+    """(split, rec, source, hash, cls, data) of each row (split, rec, source, text) with at least ``min_words`` words; hash is that of the text
+    as written, cls names the sequence of words, data is its ``RECORD``."""
+    least = max(min_words, S.RUN)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(start, CHUNK)
+                texts = [S.words(t) for t in batch["text"].to_pylist()]
+                long = [k for k, t in enumerate(texts) if len(t) >= least]
+                if not long:
+                    continue
+                with np.errstate(over="ignore"):
+                    made = records([texts[k] for k in long])
+                kept = batch.take(pa.array(long, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept[c] for c in ("split", "rec", "source", "hash")] + [_binary(np.ascontiguousarray(made["cls"])), _binary(made)], names=["split", "rec", "source", "hash", "cls", "data"])
+
+    kept = _hashed(rows).select("split", "rec", "source", "hash", "text")
+    return kept.mapInArrow(make, "split string, rec string, source string, hash long, cls binary, data binary")
+
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.where("rec is not null and text is not null").withColumn("hash", F.xxhash64("text"))
+
+
+def _blocks(prepared: DataFrame, split: str, n: int, block: int) -> DataFrame:
+    """(data): the different records of a split, one row for each block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            with np.errstate(over="ignore"):
-                for split, rec, source, t in batch.itertuples(index=False):
-                    tokens = S.words(t)
-                    if len(tokens) < max(min_words, S.RUN):
-                        continue
-                    h = S.word_hashes(tokens)
-                    runs = S.rolling(h, S.RUN)
-                    out.append((split, rec, source, S.class_of(h), *S.sketch(np.unique(runs), multipliers), S.signed(h), S.signed(np.unique(runs[S.winnow(runs, WINDOW)]))))
-            yield pd.DataFrame(out, columns=names)
-
-    schema = f"split string, rec string, source string, cls binary, {', '.join(f'{c} long' for c in S.SKETCH_COLUMNS)}, tokens array<long>, prints array<long>"
-    return rows.select("split", "rec", "source", "text").where("rec is not null and text is not null").mapInPandas(make, schema)
-
-
-def meeting(classes: DataFrame, threshold: float, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(train_cls, test_cls) of the classes of both splits that share a fingerprint; ``classes`` has cls, in_train, in_test, prints and
-    the sketch. Fingerprints of one split alone come into no join at all."""
-    flat = classes.select("cls", "in_train", "in_test", F.size("prints").alias("size"), F.explode("prints").alias("print"))
-    count = lambda side: F.sum(F.col(side).cast("long"))
-    weights = flat.groupBy("print").agg((count("in_train") * count("in_test")).alias("weight")).where("weight > 0")
-    n = classes.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
-    both = lookup(flat.select("cls", "size", "print"), "print", weights, "print", n, how="inner", hot_rows=hot_rows)
-    ordered = both.groupBy("cls").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("weight", "print"))).alias("o"))
-    least = F.ceil(F.col("size") * shared_part(threshold) - 1e-9)
-    kept = F.slice("o", 1, F.greatest(F.lit(0), F.size("o") - least + 1).cast("int"))["print"]
-    keys = classes.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS).join(ordered.select("cls", kept.alias("kept")).hint("merge"), "cls")
-    keys = cut(keys.select("cls", "in_train", "in_test", *S.SKETCH_COLUMNS, F.explode("kept").alias("print")))
-    side = lambda split, mark: keys.where(f"in_{split}").select("print", F.col("cls").alias(f"{split}_cls"), *(F.col(c).alias(f"{mark}{c}") for c in S.SKETCH_COLUMNS))
-    met = spread_join(side("train", "t"), side("test", "e"), "print", n, hot_rows=hot_rows)
-    return met.where((F.col("train_cls") != F.col("test_cls")) & S.close("t", "e", threshold)).select("train_cls", "test_cls").distinct()
+            held |= zip(batch["cls"].to_pylist(), batch["data"].to_pylist(), strict=True)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held.values())], pa.binary())], names=["data"])
+
+    return prepared.where(F.col("split") == split).select("cls", "data").repartition(max(1, -(-n // block)), "cls").mapInArrow(pack, "data binary")
+
+
+def bands_of(minima: np.ndarray, threshold: float) -> np.ndarray:
+    """16 bits for every band of the records of a block, a row to each band."""
+    depth = band_depth(threshold)
+    n = len(minima.T) // depth
+    parts = np.ascontiguousarray(minima.T)[: n * depth].reshape(n, depth, -1)
+    return (S.mix((parts * S.seeds(depth, 11)[:, None]).sum(axis=1, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
+def least_equal(threshold: float) -> float:
+    """Equal minhashes from which a pair may reach ``threshold``, with as small a probability to lose one as ``S.most_bits`` has."""
+    return S.SKETCH * threshold - S.DEVIATIONS * math.sqrt(S.SKETCH * threshold * (1 - threshold))
+
+
+def block_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places in a, places in b) of the records that have an equal band, close sketches (the low bits of their minhashes) and enough equal
+    minhashes, each pair once."""
+    most, least, cells = S.most_bits(threshold), least_equal(threshold), 1 << 16
+    minima_a, minima_b = (np.ascontiguousarray(x["minima"]) for x in (a, b))
+    sketch_a, sketch_b = (np.packbits(x & 1, axis=1).view(np.uint64) for x in (minima_a, minima_b))
+    found = [np.zeros(0, np.int64)]
+    for band_a, band_b in zip(bands_of(minima_a, threshold), bands_of(minima_b, threshold), strict=True):
+        order, held = np.argsort(band_a, kind="stable").astype(np.int32), np.bincount(band_a, minlength=cells)
+        first, count = (np.cumsum(held) - held)[band_b], held[band_b]
+        ends = np.cumsum(count)
+        total = int(ends[-1])
+        edges = np.unique(np.searchsorted(ends, np.arange(0, total, PIECE), side="left")).tolist()
+        for start, stop in zip(edges, [*edges[1:], len(b)] if total else [], strict=True):
+            c = count[start:stop]
+            right = np.repeat(np.arange(start, stop, dtype=np.int32), c)
+            left = order[np.arange(len(right)) + np.repeat(first[start:stop] - (ends[start:stop] - c) + ends[start] - count[start], c)]
+            bits = np.bitwise_count(sketch_a[left] ^ sketch_b[right])
+            near = np.flatnonzero(np.einsum("ij->i", bits, dtype=np.uint16) <= most)
+            left, right = left[near], right[near]
+            for k in range(0, len(near), CHUNK):
+                x, y = left[k : k + CHUNK], right[k : k + CHUNK]
+                near = (minima_a[x] == minima_b[y]).sum(axis=1) >= least
+                found.append(x[near].astype(np.int64) * len(b) + y[near])
+        found = [np.unique(np.concatenate(found))]
+    return np.divmod(found[0], len(b))
+
+
+def meeting(prepared: DataFrame, threshold: float, *, block: int = BLOCK) -> DataFrame:
+    """(train_cls, test_cls) of the classes of either split that share a band and have minhashes enough in common, among them those that stand in both."""
+    n = dict(prepared.groupBy("split").count().collect())
+    side = lambda split: cut(_blocks(prepared, split, n.get(split, 0), block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch["a"], batch["b"], strict=True):
+                a, b = (np.frombuffer(z.as_buffer(), RECORD) for z in (x, y))
+                i, j = block_pairs(a, b, threshold)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([_binary(np.ascontiguousarray(a["cls"][i])), _binary(np.ascontiguousarray(b["cls"][j]))], names=["train_cls", "test_cls"])
+
+    # each row is a block, so a task has one pair of them
+    return side("train").toDF("a").hint("shuffle_replicate_nl").crossJoin(side("test").toDF("b")).mapInArrow(run, "train_cls binary, test_cls binary")
 
 
 class Text:
@@ -154,23 +240,27 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int
 
     ``rows`` has split ('train' or 'test'), rec, source and text. One class holds all records with the same words, so copies are
     compared once; a class that stands in both splits is a pair with itself. Null and short texts take no part. ``similarity`` is a
-    lower bound (see ``aligned``).
+    lower bound (see ``aligned``). No task holds more than ``hot_rows`` texts of a split, but for chance.
     """
     prepared = cut(prepare(rows, min_words=min_words))
-    merged = prepared.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") == "test").alias("in_test"), *(F.first(c).alias(c) for c in (*S.SKETCH_COLUMNS, "prints")))
-    named = cut(merged.withColumn("id", F.monotonically_increasing_id()))  # short names, fixed by writing them down
-    names, classes = named.select("id", F.col("cls").alias("__cls")), named.drop("cls").withColumnRenamed("id", "cls")
-    members = prepared.select("split", "rec", "source", F.col("cls").alias("__cls")).distinct().join(names.hint("merge"), "__cls").select("split", "rec", "source", F.col("id").alias("cls"))
-    met = cut(meeting(classes, threshold, hot_rows=hot_rows))
-    asked = cut(rows_of(names, "id", cut(met.select(F.explode(F.array("train_cls", "test_cls")).alias("cls")).distinct())))
-    words = rows_of(prepared.select("cls", "tokens"), "cls", asked.select("__cls")).groupBy(F.col("cls").alias("__cls")).agg(F.first("tokens").alias("tokens"))
-    texts = words.join(asked.hint("merge"), "__cls").select(F.col("id").alias("cls"), "tokens")
-    pairs = met.join(texts.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(texts.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
+    members = prepared.select("split", "rec", "source", "cls").distinct()
+    met = cut(meeting(prepared, threshold, block=min(BLOCK, hot_rows)))
+    apart = met.where("train_cls <> test_cls")
+    asked = cut(rows_of(prepared.select("cls", "hash"), "cls", cut(apart.select(F.explode(F.array("train_cls", "test_cls")).alias("cls")).distinct())).groupBy("cls").agg(F.min("hash").alias("hash")))
+    wanted = rows_of(_hashed(rows).select("hash", "text"), "hash", cut(asked.select("hash").distinct())).distinct()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [S.word_hashes(S.words(t)) for t in batch["text"]]
+            yield pd.DataFrame({"cls": [S.class_of(h) for h in hashes], "tokens": [S.signed(h) for h in hashes]})
+
+    texts = cut(wanted.select("text").mapInPandas(split, "cls binary, tokens array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens")))
+    pairs = apart.join(texts.select(F.col("cls").alias("train_cls"), F.col("tokens").alias("a")).hint("merge"), "train_cls").join(texts.select(F.col("cls").alias("test_cls"), F.col("tokens").alias("b")).hint("merge"), "test_cls")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, Text] = {}
+        known: dict[bytes, Text] = {}
 
-        def text(cls: int, words: np.ndarray) -> Text:
+        def text(cls: bytes, words: np.ndarray) -> Text:
             if cls not in known:
                 if len(known) >= KEPT:
                     known.clear()
@@ -186,8 +276,8 @@ def overlaps(rows: DataFrame, threshold: float = S.SIMILARITY, *, min_words: int
                         out.append((p, q, alike, n / len(a), n / len(b)))
             yield pd.DataFrame(out, columns=["train_cls", "test_cls", "similarity", "train_cover", "test_cover"])
 
-    near = pairs.mapInPandas(align, "train_cls long, test_cls long, similarity double, train_cover double, test_cover double")
-    same = classes.where("in_train and in_test").select(F.col("cls").alias("train_cls"), F.col("cls").alias("test_cls"), *(F.lit(1.0).alias(c) for c in ("similarity", "train_cover", "test_cover")))
+    near = pairs.mapInPandas(align, "train_cls binary, test_cls binary, similarity double, train_cover double, test_cover double")
+    same = met.where("train_cls = test_cls").select("train_cls", "test_cls", *(F.lit(1.0).alias(c) for c in ("similarity", "train_cover", "test_cover")))
     return members, cut(near.unionByName(same))
 
 

@@ -67,6 +67,18 @@ def rolling(hashes: np.ndarray, length: int, starts: np.ndarray | None = None) -
     return mix((sums[stop] - sums[starts]) * down[starts] + (stop - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def joined_runs(hashes: np.ndarray, counts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The hashes ``rolling`` makes of the runs of texts of ``counts`` words, at least ``run`` each, that stand one after another; the places at the
+    end of a text where no run starts repeat its last one."""
+    total = np.full(len(hashes), run, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(run):
+        total[: len(hashes) - k] += hashes[k:] * np.uint64(pow(_BASE, k, 1 << 64))
+    out, ends = mix(total), np.cumsum(counts)
+    for k in range(1, run):
+        out[ends - k] = out[ends - run]
+    return out
+
+
 def shingle_set(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.unique(rolling(hashes, run))
 
@@ -90,6 +102,20 @@ def minhash(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).min(axis=1)
 
 
+def minhashes(shingles: np.ndarray, starts: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A byte of the minimum of every hash function over the sets that begin at ``starts``, a row to each function. The minima are made in 32
+    bits, of which a processor multiplies many at once, and scrambled before they are cut."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    least, held = np.empty((len(multipliers), len(starts)), np.uint32), np.empty_like(x)
+    for row, m in zip(least, (multipliers >> np.uint64(32)).astype(np.uint32) | np.uint32(1), strict=True):
+        np.minimum.reduceat(np.multiply(x, m, out=held), starts, out=row)
+    least ^= least >> np.uint32(16)
+    least *= np.uint32(0x7FEB352D)
+    least ^= least >> np.uint32(15)
+    least *= np.uint32(0x846CA68B)
+    return (least >> np.uint32(24)).astype(np.uint8)
+
+
 def band_values(shingles: np.ndarray, multipliers: np.ndarray, bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """One value per band of ``depth`` minhashes, for two collections of ``bands`` bands each."""
     sig = minhash(shingles, multipliers).reshape(2 * bands, depth)

@@ -131,6 +131,54 @@ def test_frequent_phrases_do_not_hide_a_pair(spark):
     assert pairs_of(sides_of(spark, sides)) == brute(sides["train"], sides["test"])
 
 
+def phrase_texts(n, seed, own):
+    """Texts of five out of thirty sentences, every sixth with a rewrite of itself."""
+    rng = random.Random(seed)
+    phrases = [[f"p{s}x{i}" for i in range(12)] for s in range(30)]
+    out = []
+    for k in range(n):
+        t = [w for s in rng.sample(phrases, 5) for w in s]
+        t[rng.randrange(60)] = f"{own}{k}"
+        out.append(t)
+        if k % 6 == 0:
+            out.append([f"{own}{k}y{i}" if i in (9, 27, 45) else w for i, w in enumerate(t)])
+    return out
+
+
+def test_phrases_bring_few_texts_together(monkeypatch):
+    """Where most texts share a fingerprint, few share a band, so the meetings do not grow as all pairs do; and no pair is lost."""
+    sides = [phrase_texts(900, 1, "a"), phrase_texts(300, 2, "b")]
+    sides[1] += [t[:30] + [f"z{k}"] + t[30:] for k, t in enumerate(sides[0][:200])] + sides[0][200:210]
+    with np.errstate(over="ignore"):
+        a, b = (overlap.records(side) for side in sides)
+        prints = [[set(overlap.Text(S.word_hashes(t)).prints.tolist()) for t in side] for side in sides]
+    n, shared = len(a) * len(b), sum(bool(p & q) for p in prints[0] for q in prints[1])
+    met = sum(int((x[:, None] == y[None, :]).sum()) for x, y in zip(overlap.bands_of(a["minima"], 0.5), overlap.bands_of(b["minima"], 0.5), strict=True))
+    sets = [[frozenset(zip(t, t[1:], t[2:])) for t in side] for side in sides]
+    want = {(i, j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if len(x & y) >= 0.5 * len(x | y)}
+    assert shared > 0.5 * n and met < 0.4 * n
+    for piece in (overlap.PIECE, 7):
+        monkeypatch.setattr(overlap, "PIECE", piece)
+        found = list(zip(*(x.tolist() for x in overlap.block_pairs(a, b, 0.5)), strict=True))
+        assert len(found) == len(set(found)) and want <= set(found) and len(want) > 200
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_bands_of_minhashes_follow_the_threshold(threshold):
+    depth = overlap.band_depth(threshold)
+    assert depth > 1 and (1 - threshold**depth) ** (S.SKETCH // depth) <= overlap.MISS
+
+
+def test_joined_runs_are_those_of_each_text():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (3, 40, 5, 77)]
+    with np.errstate(over="ignore"):
+        joined = np.split(S.joined_runs(np.concatenate(texts), np.array([3, 40, 5, 77])), [3, 43, 48])
+        for t, got in zip(texts, joined, strict=True):
+            runs = S.rolling(t, S.RUN)
+            assert (got[: len(runs)] == runs).all() and set(got.tolist()) == set(runs.tolist())
+
+
 def test_chain_and_extension():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.int64)
     b = np.array([9, 1, 2, 3, 4, 0, 6, 7, 8], np.int64)

@@ -106,10 +106,12 @@ def _blocks(prepared: DataFrame, split: str, n: int, block: int) -> DataFrame:
 
 def bands_of(minima: np.ndarray, threshold: float) -> np.ndarray:
     """16 bits for every band of the records of a block, a row to each band."""
-    depth = band_depth(threshold)
-    n = len(minima.T) // depth
-    parts = np.ascontiguousarray(minima.T)[: n * depth].reshape(n, depth, -1)
-    return (S.mix((parts * S.seeds(depth, 11)[:, None]).sum(axis=1, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    depth, columns = band_depth(threshold), np.ascontiguousarray(minima.T)
+    out = np.empty((len(columns) // depth, len(minima)), np.uint16)
+    for k, row in enumerate(out):  # one by one, because the sums of all would take more memory than the block
+        parts = columns[k * depth : (k + 1) * depth] * S.seeds(depth, 11)[:, None]
+        row[:] = S.mix(parts.sum(axis=0, dtype=np.uint64)) >> np.uint64(48)
+    return out
 
 
 def least_equal(threshold: float) -> float:
